@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +34,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def arrow_rows(spark: SparkSession) -> None:
-    """Bounds Arrow batches by rows, so that what Python holds follows from the longest texts."""
+    """Bounds Arrow batches by rows, so that what Python holds follows from the longest texts, and
+    lets Python workers on this machine import this package from where the driver has it."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH", ""), root]))
 
 
 def let(value: Column, body) -> Column:
