@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, mixing, pii, quality_rules, simhash, toxicity
+from . import class_lm, decontaminate, html_extract, mixing, pii, quality_rules, simhash, toxicity
 from .oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -52,8 +52,16 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    model = class_lm.fit(docs, ~held_out)
+    found = class_lm.score(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_text, op2_simhash, op3_toxicity, op5_decontamination, op6_pii, op7_quality_rules, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_text, op2_simhash, op3_toxicity, op5_decontamination, op6_pii, op7_quality_rules, op8_class_lm, op10_mixing)}
