@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .license_templates import TEMPLATES
+
 #: Words and lines as the operators see them; blank texts have none.
 _WORDS = r"CASE WHEN trim(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN []::VARCHAR[] ELSE regexp_split_to_array(trim(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\x20\x09-\x0D]+') END"
 
@@ -52,3 +54,20 @@ FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source LEFT JOIN x ON d.source
 """
 
 ORACLES = {"op7_quality_rules": _OP7, "op10_mixing": _OP10}
+
+
+def _license_scan(least: float = 0.8) -> str:
+    """Containment in the whole document; notices lie in one place, so that is the same."""
+    rows = ", ".join(f"({k}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for k, (name, text) in enumerate(TEMPLATES))
+    return rf"""
+WITH t AS (SELECT template_id, license, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM (VALUES {rows}) v(template_id, license, text)),
+ts AS (SELECT DISTINCT template_id, license, array_to_string(w[i + 1:i + 5], ' ') AS s FROM (SELECT *, unnest(range(len(w) - 4)) AS i FROM t WHERE len(w) >= 5)),
+n AS (SELECT template_id, count(*) AS n FROM ts GROUP BY template_id),
+d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM documents),
+ds AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1:i + 5], ' ') AS s FROM (SELECT *, unnest(range(len(w) - 4)) AS i FROM d WHERE len(w) >= 5))
+SELECT doc_id, CAST(template_id AS INT) AS template_id, license, CAST(count(*) AS DOUBLE) / n AS containment
+FROM ts JOIN n USING (template_id) JOIN ds USING (s) GROUP BY doc_id, template_id, license, n HAVING CAST(count(*) AS DOUBLE) / n >= {least}
+"""
+
+
+ORACLES["op4_license_scan"] = _license_scan()
