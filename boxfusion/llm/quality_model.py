@@ -1,8 +1,8 @@
 """Quality classifier by weak labels.
 
 Heuristic labelers vote on each text for good or bad quality, or abstain.  They overlap, and none is
-right always; expectation-maximisation over the counts of vote patterns estimates the accuracy of
-each and the posterior of each pattern.  Posteriors are the labels from which a linear scorer over
+right always; expectation-maximisation over the counts of vote patterns estimates how each
+votes on good and on bad texts and the posterior of each pattern.  Posteriors are the labels from which a linear scorer over
 hashed features of the words is trained; it alone scores the texts."""
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows
 
-LABELERS = ("length", "symbols", "bars", "capitals", "repeats", "endings", "word_length", "function_words")
+LABELERS = ("length", "symbols", "bars", "capitals", "repeats", "runs", "variety", "endings", "word_length", "function_words")
 #: Frequent short words of English, French, German and Spanish prose.
 FUNCTION_WORDS = frozenset("the of and to in is that it for was a be with as by this are on at from le la les de des et un une en que qui est dans pour par au du sur pas avec der die das und ist von den mit dem im zu nicht ein eine als auch el los las y es por con se una para no del su al lo".split())
 SYMBOLS = frozenset("#*$%&|<>")
@@ -33,12 +33,14 @@ def votes(text: str | None) -> tuple[int, ...]:
     words = (text or "").split()
     n = len(words)
     if not n:
-        return (-1, 0, 0, 0, 0, 0, 0, 0)
+        return (-1, *(0,) * (len(LABELERS) - 1))
     symbols = sum(1 for w in words if not SYMBOLS.isdisjoint(w))
     bars = words.count("|")
     upper = sum(1 for w in words if len(w) > 1 and w.isupper())
     windows = Counter(zip(words, words[1:], words[2:], strict=False))
     repeated = sum(c for c in windows.values() if c > 1)
+    same = sum(map(str.__eq__, words, words[1:]))
+    distinct = len(set(words))
     lines = [x for x in map(str.strip, text.split("\n")) if x]
     ended = sum(1 for x in lines if ENDINGS.search(x))
     mean = sum(map(len, words)) / n
@@ -48,39 +50,49 @@ def votes(text: str | None) -> tuple[int, ...]:
         return 1 if good else -1 if bad else 0
 
     return (
-        vote(n >= 80, n < 30),
-        vote(symbols <= 0.02 * n, symbols > 0.15 * n),
-        vote(bars <= 0.01 * n, bars > 0.1 * n),
-        vote(upper <= 0.03 * n, upper > 0.3 * n),
-        vote(repeated <= 0.05 * n, repeated > 0.3 * n) if n >= 10 else 0,
+        vote(n >= 40, n < 3),
+        vote(symbols <= 0.15 * n, True),
+        vote(bars <= 0.1 * n, True),
+        vote(upper <= 0.3 * n, True),
+        vote(repeated <= 0.3 * n, True) if n >= 10 else 0,
+        vote(same <= 0.2 * n, True) if n >= 10 else 0,
+        vote(distinct >= 0.3 * n, distinct < 0.15 * min(n, 2000)) if n >= 30 else 0,
         vote(ended >= 0.8 * len(lines), ended < 0.4 * len(lines)),
         vote(3 <= mean <= 9, mean < 2 or mean > 12),
         vote(common >= 0.12 * n, common < 0.04 * n) if n >= 20 else 0,
     )
 
 
-def accuracies(counts: dict[tuple[int, ...], int], rounds: int = 100) -> tuple[np.ndarray, float, dict[tuple[int, ...], float]]:
-    """By expectation-maximisation: of each labeler the chances to be right on good and on bad texts
-    when it votes, the share of good texts, and the posterior of each pattern."""
+#: Labelers that look for one fault: most bad texts, which have others, pass them.
+ONE_SIDED = ("symbols", "bars", "capitals", "repeats", "runs")
+#: Where expectation-maximisation starts: chances of the votes -1 and 1, if cast, on bad and on good texts.
+START = {True: ((0.25, 0.75), (0.02, 0.98)), False: ((0.45, 0.55), (0.06, 0.94))}
+
+
+def accuracies(counts: dict[tuple[int, ...], int], rounds: int = 100, prior: float = 20.0) -> tuple[np.ndarray, float, dict[tuple[int, ...], float]]:
+    """By expectation-maximisation: the chances of each labeler's votes -1 and 1, if it votes, on bad (0)
+    and on good (1) texts, the share of good texts, and the posterior of each pattern.  The start counts as
+    ``prior`` texts of either kind, so that the two kinds keep their meaning."""
     patterns = np.array(sorted(counts), int).reshape(-1, len(LABELERS))
     n = np.array([counts[tuple(p)] for p in patterns.tolist()], float)
-    right, share = np.full((2, len(LABELERS)), 0.75), 0.75  # rows: bad, good
+    start = np.array([START[x in ONE_SIDED] for x in LABELERS]).transpose(1, 0, 2)
+    chance, share = start + 1e-4, 0.8
+    cast = np.stack([patterns == v for v in (-1, 1)], axis=2)
     post = np.full(len(n), 0.5)
     for _ in range(rounds):
-        good = np.where(patterns > 0, np.log(right[1]), np.where(patterns < 0, np.log(1 - right[1]), 0)).sum(axis=1) + math.log(share)
-        bad = np.where(patterns < 0, np.log(right[0]), np.where(patterns > 0, np.log(1 - right[0]), 0)).sum(axis=1) + math.log(1 - share)
-        post = 1 / (1 + np.exp(np.clip(bad - good, -500, 500)))
-        for row, weight, sign in ((1, n * post, 1), (0, n * (1 - post), -1)):
-            agree, cast = (weight[:, None] * (patterns == sign)).sum(axis=0), (weight[:, None] * (patterns != 0)).sum(axis=0)
-            # ten votes of the start; a labeler may be no guide to one kind, but is no worse than chance on both
-            right[row] = np.clip((agree + 7.5) / (cast + 10), 0.02, 0.98)
+        bad, good = ((cast * np.log(chance[k])).sum(axis=(1, 2)) for k in (0, 1))
+        post = 1 / (1 + np.exp(np.clip(bad - good + math.log((1 - share) / share), -500, 500)))
+        for k, weight in ((0, n * (1 - post)), (1, n * post)):
+            seen = (weight[:, None, None] * cast).sum(axis=0) + prior * start[k] + 1e-2
+            chance[k] = seen / seen.sum(axis=1, keepdims=True)
         share = float(np.clip((n * post).sum() / n.sum(), 0.05, 0.95))
-    return right, share, dict(zip(map(tuple, patterns.tolist()), post.tolist(), strict=True))
+    return chance, share, dict(zip(map(tuple, patterns.tolist()), post.tolist(), strict=True))
 
 
 class Hasher:
     """Hashed features of texts: shapes of words and of pairs of neighbours, and words of up to four
-    letters; a text's values are shares of its words."""
+    letters, as shares of a text's words; and two of its own, how many words equal the one before and
+    how few are distinct."""
 
     def __init__(self, most: int = 300_000) -> None:
         self.most, self.of = most, {}
@@ -109,20 +121,22 @@ class Hasher:
         pairs = (a[:-1, 0] * 31 + a[1:, 0]) % BUCKETS
         all_ids = np.r_[a[:, 0] % BUCKETS, pairs, a[a[:, 1] >= 0, 1]]
         index, count = np.unique(all_ids, return_counts=True)
-        return np.r_[index, (size * 7919 + 17) % BUCKETS], np.r_[np.sqrt(count / max(1, len(words))), 1.0]
+        n = max(1, len(words))
+        same, distinct = sum(map(str.__eq__, words, words[1:])) / n, len(set(words)) / min(n, 2000)
+        return np.r_[index, (size * 7919 + 17) % BUCKETS, BUCKETS, BUCKETS + 1], np.r_[np.sqrt(count / n), 1.0, math.sqrt(same), 1 - min(1.0, distinct)]
 
 
 @dataclass(frozen=True)
 class Model:
     weights: np.ndarray
     bias: float
-    right: np.ndarray
+    chance: np.ndarray
     share: float
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray, float]], rounds: int = 12, rate: float = 0.5, decay: float = 1e-5, seed: int = 3) -> tuple[np.ndarray, float]:
     """Logistic weights by stochastic steps with per-weight rates; labels are probabilities."""
-    w, g, bias, gb = np.zeros(BUCKETS), np.full(BUCKETS, 1e-2), 0.0, 1e-2
+    w, g, bias, gb = np.zeros(BUCKETS + 2), np.full(BUCKETS + 2, 1e-2), 0.0, 1e-2
     pick = np.random.default_rng(seed)
     for _ in range(rounds):
         for k in pick.permutation(len(rows)):
@@ -147,11 +161,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: i
             seen.update(map(votes, b.column(0).to_pylist()))
         yield pa.RecordBatch.from_arrays([pa.array(map(list, seen), pa.list_(pa.int32())), pa.array(seen.values(), pa.int64())], ["votes", "n"])
 
-    # 3 ** 8 patterns at most
+    # 3 ** 10 patterns at most
     counts = {tuple(r["votes"]): r["n"] for r in docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(count, "votes array<int>, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()}
     if not counts:
         return None
-    right, share, posterior = accuracies(counts)
+    chance, share, posterior = accuracies(counts)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -164,7 +178,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: i
     # at most BUCKETS features a row, a few hundred as a rule
     rows = [(np.array(r["i"], np.int64), np.array(r["v"]), r["y"]) for r in sample.mapInArrow(featurise, "i array<int>, v array<float>, y double").toLocalIterator()]
     weights, bias = train(rows)
-    return Model(weights.astype(np.float32), bias, right, share)
+    return Model(weights.astype(np.float32), bias, chance, share)
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
