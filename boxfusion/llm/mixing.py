@@ -56,42 +56,76 @@ def boundary(histogram: DataFrame) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), most: int = 3, size: Column | None = None) -> DataFrame:
-    """Per row of ``docs``: its id, size (words unless ``size`` is given), source_size, target and
-    taken, the words that the mix takes of it, repeats counted.
+def _key(source: Column) -> Column:
+    return F.when(source.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), source))
 
-    Null texts and sizes count 0; a null source is a source of its own; rows with equal ids are
-    taken together or not at all; an empty table gives no rows.  Each source's taken words differ
-    from its target by at most half the words of the documents that share the boundary's 36 bits,
-    as a rule one document.  No document is taken more than ``most`` times."""
-    bits = sum(LEVELS)
-    slim = cut(
-        docs.select(
-            F.col(id_col).alias("id"),
-            F.col(source_col).cast("string").alias("source"),
-            (F.coalesce(size.cast("long"), F.lit(0)) if size is not None else count_words(F.col(text_col))).alias("size"),
-            row_hash(F.col(id_col)).alias("hash"),
-        ).withColumn("key", F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("source"))))
-    )
-    shift = bits - LEVELS[0]
+
+def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, size: Column | None) -> tuple[Column, Column, Column]:
+    """Key of the source, size and hash of a row of ``docs``."""
+    words = F.coalesce(size.cast("long"), F.lit(0)) if size is not None else count_words(F.col(text_col).cast("string"))
+    return _key(F.col(source_col).cast("string")), words, row_hash(F.col(id_col))
+
+
+def plan_mix(slim: DataFrame, weights: tuple[float, ...], most: int) -> tuple[DataFrame, DataFrame]:
+    """Of ``slim`` (key, source, size, hash): the first histogram (key, bucket, words), and for each key
+    source_size, target, copies (whole ones) and limit (hashes below it are taken once more)."""
+    shift = sum(LEVELS) - LEVELS[0]
     first = cut(slim.groupBy("key", "source", F.shiftright("hash", shift).alias("bucket")).agg(F.sum("size").alias("words")))
-    totals = first.groupBy("key", "source").agg(F.sum("words").alias("source_size"))
-    plan = source_targets(totals.select("source", "source_size"), weights, most).withColumn("key", F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("source")))).drop("source")
-    # whole copies; the 1e-9 keeps a ratio of 3 from turning into 2.999...
-    plan = cut(plan.withColumn("copies", F.when(F.col("source_size") > 0, F.least(F.lit(most), F.floor(F.col("target") / F.col("source_size") + F.lit(1e-9)))).otherwise(F.lit(0))).withColumn("need", F.greatest(F.lit(0.0), F.col("target") - F.col("copies") * F.col("source_size"))))
+    totals = first.groupBy("source").agg(F.sum("words").alias("source_size"))
+    # copies: the 1e-9 keeps a ratio of 3 from turning into 2.999...
+    copies = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.floor(F.col("target") / F.col("source_size") + F.lit(1e-9)))).otherwise(F.lit(0)).cast("long")
+    plan = source_targets(totals, weights, most).withColumn("key", _key(F.col("source"))).withColumn("copies", copies)
+    plan = cut(plan.withColumn("need", F.greatest(F.lit(0.0), F.col("target") - F.col("copies") * F.col("source_size"))).drop("source"))
 
     edge = boundary(first.join(plan.filter(F.col("copies") < most).select("key", "need"), "key").select("key", "need", "bucket", "words"))
     for width in LEVELS[1:]:
         shift -= width
-        edge = edge.withColumnRenamed("bucket", "upper").drop("words")
+        edge = edge.select("key", "need", F.col("bucket").alias("upper"))
         inside = slim.withColumn("upper", F.shiftright("hash", shift + width)).join(edge, ["key", "upper"])
-        edge = boundary(
-            inside.groupBy("key", "need", "upper", F.shiftright("hash", shift).alias("bucket")).agg(F.sum("size").alias("words"))
-        )
+        edge = boundary(inside.groupBy("key", "need", "upper", F.shiftright("hash", shift).alias("bucket")).agg(F.sum("size").alias("words")))
     # the boundary's last bucket is taken if that brings the sum nearer to the target
     edge = edge.select("key", (F.col("bucket") + F.when(2 * F.col("need") >= F.col("words"), 1).otherwise(0)).alias("limit"))
+    everything = F.when((F.col("need") > 0) & (F.col("copies") < most), F.lit(1 << sum(LEVELS))).otherwise(F.lit(0))
+    return first, plan.join(edge, "key", "left").withColumn("limit", F.coalesce("limit", everything)).drop("need")
+
+
+def _taken(size: Column) -> Column:
+    return (size * (F.col("copies") + (F.col("hash") < F.col("limit")).cast("long"))).cast("long")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), most: int = 3, size: Column | None = None) -> DataFrame:
+    """Per row of ``docs``: its id, size (words unless ``size`` is given), source_size, target and
+    taken, the words that the mix takes of it, repeats counted.
+
+    Null texts and sizes count 0; a null source is a source of its own; rows with equal ids are
+    taken together or not at all; an empty table gives no rows.  Each source's taken words differ
+    from its target by at most half the words of the documents that share the boundary's 36 bits,
+    as a rule one document.  No document is taken more than ``most`` times."""
+    key, words, place = _sizes(docs, id_col, text_col, source_col, size)
+    slim = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), key.alias("key"), words.alias("size"), place.alias("hash")))
+    first, plan = plan_mix(slim, weights, most)
     # one row for each source and bucket: rows of a hot source meet it in many tasks
-    plan = plan.join(edge, "key", "left").withColumn("limit", F.coalesce("limit", F.when((F.col("need") > 0) & (F.col("copies") < most), F.lit(1 << bits)).otherwise(F.lit(0))))
     by_bucket = first.select("key", "bucket").join(plan, "key")
-    taken = F.col("size") * (F.col("copies") + (F.col("hash") < F.col("limit")).cast("long"))
-    return slim.withColumn("bucket", F.shiftright("hash", bits - LEVELS[0])).join(by_bucket, ["key", "bucket"]).select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"))
+    found = slim.withColumn("bucket", F.shiftright("hash", sum(LEVELS) - LEVELS[0])).join(by_bucket, ["key", "bucket"])
+    return found.select(F.col("id").alias(id_col), "size", "source_size", "target", _taken(F.col("size")).alias("taken"))
+
+
+def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), most: int = 3, size: Column | None = None, most_sent: int = 20_000) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with ``size``, ``taken`` and ``copies`` (taken / size).
+    Rows of size 0 go; columns of ``docs`` of these names give way.  As ``mix`` otherwise.
+
+    The plan goes to every task if it has at most ``most_sent`` sources, so that texts are not
+    shuffled; else rows meet it by source and hash bucket."""
+    key, words, place = _sizes(docs, id_col, text_col, source_col, size)
+    slim = cut(docs.select(F.col(source_col).cast("string").alias("source"), key.alias("key"), words.alias("size"), place.alias("hash")))
+    first, plan = plan_mix(slim, weights, most)
+    plan = cut(plan.select(F.col("key").alias("__key__"), F.col("copies").alias("__copies__"), F.col("limit").alias("__limit__")))
+    rows = docs.withColumns({"__key__": key, "__size__": words, "__hash__": place, "__bucket__": F.shiftright(place, sum(LEVELS) - LEVELS[0])})
+    if plan.count() <= most_sent:
+        met = rows.join(F.broadcast(plan), "__key__")
+    else:
+        met = rows.join(first.select(F.col("key").alias("__key__"), F.col("bucket").alias("__bucket__")).join(plan, "__key__"), ["__key__", "__bucket__"])
+    copies = F.col("__copies__") + (F.col("__hash__") < F.col("__limit__")).cast("long")
+    met = met.filter((F.col("__size__") > 0) & (copies > 0))
+    new = {"size": F.col("__size__"), "taken": F.col("__size__") * copies, "copies": copies}
+    return met.select(*[c for c in docs.columns if c not in new], *[v.alias(k) for k, v in new.items()])

@@ -66,15 +66,8 @@ def window_hashes(w: Column, n: int = 3) -> Column:
     return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)]))).otherwise(F.array().cast("array<bigint>"))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, max_repeat: float = 0.5, max_lost: float = 0.5) -> DataFrame:
-    """Per row of ``docs`` its id, figures, ``base_failed``, ``kept`` and ``clean_text``, the lines
-    that pass joined by line feeds.
-
-    A document is kept if it has ``min_words`` words, no more than ``max_repeat`` of them lie in
-    repeated windows of three, and the failing lines hold no more than ``max_lost`` of its
-    characters.  Null and empty texts have no words and are not kept; rows are judged one by one, so
-    repeated rows and ties have no bearing.  Window hashes have 64 bits."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def verdict(text: Column, min_words: int = 50, max_repeat: float = 0.5, max_lost: float = 0.5) -> Column:
+    """The figures of one text as a struct, with ``base_failed``, ``kept`` and ``clean_text``."""
     measured = let(
         words(text),
         lambda w: F.struct(
@@ -95,10 +88,41 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
             ),
         ),
     )
-    d = docs.select(F.col(id_col), measured.alias("m"), by_line.alias("l"), count_of(text, SYMBOLS).cast("long").alias("n_symbols"))
-    failed = (F.col("m.n_words") < min_words) | (100 * F.col("m.n_repeat_words") > F.lit(100 * max_repeat).cast("long") * F.col("m.n_words"))
-    lost = F.col("l.line_chars") - F.col("l.clean_chars")
-    return d.select(
-        id_col, "m.n_words", "m.word_chars", "n_symbols", "l.n_dup_lines", "m.n_repeat_words", failed.alias("base_failed"),
-        (~failed & (lost <= max_lost * F.col("l.line_chars"))).alias("kept"), "l.clean_text",
-    )
+
+    def judged(m: Column, l: Column) -> Column:  # noqa: E741
+        failed = (m["n_words"] < min_words) | (100 * m["n_repeat_words"] > F.lit(100 * max_repeat).cast("long") * m["n_words"])
+        return F.struct(
+            m["n_words"].alias("n_words"), m["word_chars"].alias("word_chars"), count_of(text, SYMBOLS).cast("long").alias("n_symbols"),
+            l["n_dup_lines"].alias("n_dup_lines"), m["n_repeat_words"].alias("n_repeat_words"), failed.alias("base_failed"),
+            (~failed & (l["line_chars"] - l["clean_chars"] <= max_lost * l["line_chars"])).alias("kept"), l["clean_text"].alias("clean_text"),
+        )
+
+    return let(measured, lambda m: let(by_line, lambda l: judged(m, l)))
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: float) -> DataFrame:
+    """Per row of ``docs`` its id, figures, ``base_failed``, ``kept`` and ``clean_text``, the lines
+    that pass joined by line feeds.
+
+    A document is kept if it has ``min_words`` words, no more than ``max_repeat`` of them lie in
+    repeated windows of three, and the failing lines hold no more than ``max_lost`` of its
+    characters.  Null and empty texts have no words and are not kept; rows are judged one by one, so
+    repeated rows and ties have no bearing; an empty table gives no rows.  Window hashes have 64
+    bits."""
+    v = verdict(F.coalesce(F.col(text_col).cast("string"), F.lit("")), **limits)
+    return docs.select(F.col(id_col), F.inline(F.array(v)))
+
+
+def clean(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", **limits: float) -> DataFrame:
+    """The rows of ``docs`` that are kept, with the failing lines out of ``text_col``; ``length_col``,
+    if there is such a column, follows.  Texts in which no line fails stay as they are."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    # the generator evaluates the verdict once, which a filter on it would do twice
+    kept = F.filter(F.array(verdict(text, **limits)), lambda v: v["kept"])
+    hold = "__kept__"
+    out = docs.select("*", F.explode(F.transform(kept, lambda v: v["clean_text"])).alias(hold))
+    blank = F.translate(F.col(hold), "\n", "") == F.translate(text, "\n", "")
+    out = out.withColumn(text_col, F.when(blank, F.col(text_col)).otherwise(F.col(hold)))
+    if length_col in docs.columns:
+        out = out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
+    return out.drop(hold)

@@ -245,14 +245,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     that links of at most ``most`` differing bits reach.  All links are found.
 
     Equal fingerprints meet in one node first, so copies cost nothing further.  Null, empty and
-    blank texts have fingerprint 0 and are linked as any other; repeated ids give repeated rows; an
-    empty table gives no rows."""
+    blank texts have fingerprint 0 and are linked as any other; repeated ids give repeated rows; rows
+    without an id are linked to nothing of their own; an empty table gives no rows."""
     prints = cut(fingerprints(docs, id_col, text_col, shingle))
-    nodes = cut(prints.groupBy("code").agg(F.min("id").alias("id")))
+    nodes = cut(prints.filter("id is not null").groupBy("code").agg(F.min("id").alias("id")))
     tree = cut(index(nodes, blocks, most))
     found = components(links(tree, most))
     named = nodes.join(found, "id", "left").select("code", F.coalesce("component_id", "id").alias("component_id"))
-    return prints.join(named, "code").select(F.col("id").alias(id_col), "code", "component_id")
+    return prints.join(named, "code", "left").select(F.col("id").alias(id_col), "code", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more: int) -> DataFrame:
+    """``docs`` with one document of each component, that of the least id.
+
+    Rows without an id stay, as nothing can name them; of rows with the same id one stays."""
+    found = near_duplicates(docs, id_col, text_col, **more)
+    hold = "__id__"
+    stays = cut(found.filter(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias(hold)).agg(F.count("*").alias("n")))
+    kept = docs.join(stays.select(hold), docs[id_col].cast("long") == stays[hold], "left_semi")
+    if stays.filter("n > 1").limit(1).count():
+        kept = kept.dropDuplicates([id_col])
+    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
 
 
 def hex_code(code: Column) -> Column:
