@@ -68,8 +68,8 @@ def read_flawed(spark: SparkSession, path: str, expert: str, frame: str = "globa
 
 def _exploded(spark: SparkSession, path: str, tokens: DataFrame | None) -> DataFrame:
     raw = spark.read.schema(SUBMISSION).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    raw = raw.filter(F.when(F.col("results").isNull(), F.raise_error(F.lit(f"{path} has no results"))).otherwise(F.lit(True)))
-    rows = raw.select(F.explode("results").alias("sample_token", "boxes"))
+    # within explode, as a filter before it would give way to the not-null check that explode implies
+    rows = raw.select(F.explode(F.coalesce("results", F.raise_error(F.lit(f"{path} has no results")))).alias("sample_token", "boxes"))
     rows = rows.filter(F.when(F.col("sample_token") == "", F.raise_error(F.lit(f"{path} has an empty token"))).otherwise(F.lit(True)))
     if tokens is not None:
         rows = rows.join(tokens.select("sample_token").distinct(), "sample_token", "left_semi")
