@@ -3,8 +3,8 @@
 A page is a sequence of tags and of blocks of words.  Each word has the score of its block: log odds,
 learned from labelled pages, of the tags and class names around it, of its links, length and
 punctuation.  Each tag has a negative score, learned from the same pages.  One linear scan finds the
-contiguous region of the greatest sum; within it, blocks whose own score is negative (an advert amid
-an article) are left out."""
+contiguous region of the greatest sum, which then takes in what else the innermost element around it
+holds; blocks whose own score is negative (an advert amid an article) are left out."""
 
 from __future__ import annotations
 
@@ -33,6 +33,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: Elements that a new one of the same kind ends.
 SELF_ENDING = frozenset("p li dt dd tr td th option".split())
 
+CONTAINERS = frozenset(("div", "article", "main", "section"))
+
 
 @dataclass
 class Block:
@@ -42,15 +44,17 @@ class Block:
     words: int
     linked: int
     features: tuple[str, ...]
+    within: tuple[int, ...] = ()  # the CONTAINERS around it, by number, outermost first
 
 
 def parse(html: str) -> list[Block | int]:
     """The page as blocks, and between them the number of tags."""
     out: list[Block | int] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[str, ...], int]] = []
     chunks: list[str] = []
     around: tuple[str, ...] | None = None
-    tags = linked = in_link = 0
+    within: tuple[int, ...] = ()
+    number = tags = linked = in_link = 0
     at, end = 0, len(html)
 
     def flush() -> None:
@@ -61,19 +65,20 @@ def parse(html: str) -> list[Block | int]:
                 out.append(tags)
                 tags = 0
             n = text.count(" ") + 1
-            out.append(Block(text, n, linked, _block_features(around or (), text, n, linked)))
+            out.append(Block(text, n, linked, _block_features(around or (), text, n, linked), within))
         chunks.clear()
         linked, around = 0, None
 
     def add(raw: str) -> None:
-        nonlocal linked, around
+        nonlocal linked, around, within
         if raw:
             text = unescape(raw) if "&" in raw else raw
             chunks.append(text)
             if in_link:
                 linked += len(text.split())
             if around is None and not text.isspace():
-                around = tuple(dict.fromkeys(f for _, fs in stack for f in fs))
+                around = tuple(dict.fromkeys(f for _, fs, _ in stack for f in fs))
+                within = tuple(k for n, _, k in stack if n in CONTAINERS)
 
     while at < end:
         m = TOKEN.search(html, at)
@@ -92,9 +97,9 @@ def parse(html: str) -> list[Block | int]:
         if name not in INLINE:
             flush()
         if m[1] or m[4]:
-            if any(n == name for n, _ in stack):
+            if any(n == name for n, _, _ in stack):
                 while stack:
-                    n, _ = stack.pop()
+                    n, _, _ = stack.pop()
                     in_link -= n == "a"
                     if n == name:
                         break
@@ -106,7 +111,8 @@ def parse(html: str) -> list[Block | int]:
                 open_at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name or stack[k][0] in ("ul", "ol", "dl", "table", "div", "article", "section", "td")), -1)
                 if open_at >= 0 and stack[open_at][0] == name:
                     del stack[open_at]
-            stack.append((name, _tag_features(name, m[3] or m[6] or "", any(n in ("article", "main") for n, _ in stack))))
+            stack.append((name, _tag_features(name, m[3] or m[6] or "", any(n in ("article", "main") for n, _, _ in stack)), number))
+            number += 1
             in_link += name == "a"
     flush()
     if tags:
@@ -189,7 +195,12 @@ def extract(html: str | None, weights: Weights | None = None) -> str:
     tokens = parse(html)
     each = [w.block(t) if isinstance(t, Block) else w.tag for t in tokens]
     start, end = best_region([s * (t.words if isinstance(t, Block) else t) for s, t in zip(each, tokens, strict=True)])
-    return " ".join(t.text for s, t in zip(each[start:end], tokens[start:end], strict=True) if isinstance(t, Block) and s > 0)
+    good = [(k, t) for k, (s, t) in enumerate(zip(each, tokens, strict=True)) if isinstance(t, Block) and s > 0]
+    region = [t for k, t in good if start <= k < end]
+    # an advert amid a text may cost more than what stands beyond it brings: the region grows to the
+    # good blocks of the innermost element that holds all of it
+    home = next((n for n in reversed(region[0].within) if all(n in t.within for t in region)), None) if region else None
+    return " ".join(t.text for k, t in good if start <= k < end or (home is not None and home in t.within))
 
 
 @lru_cache(1)

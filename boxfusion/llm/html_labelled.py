@@ -40,6 +40,11 @@ def pages(n: int = 400, seed: int = 7) -> list[str]:
         parts = [MARK + say(1, 90, r.choice((".", ".", ".", "!"))) for _ in range(r.randint(3, 9))]
         title = [] if "{head}" in layout else [head]
         body = "".join(f"<h1>{t}</h1>" for t in title) + "".join(f"<{'p' if r.random() < 0.85 else r.choice(('h2', 'blockquote', 'pre', 'li', 'td'))}>{p}" + "</p>" * (r.random() < 0.9) for p in parts)
+        if r.random() < 0.4:  # an advert, form or notice amid the main text
+            at = body.rindex("<", 0, len(body) // 2 + 30) if body.startswith("<h1>") else 0
+            while at and not body[at:].startswith(("<p>", "<h2>")):
+                at = body.rfind("<", 0, at)
+            body = body[: max(at, 0)] + fill(r.choice(ASIDES)) + body[max(at, 0) :]
         aside = [fill(x) for x in r.sample(ASIDES, r.randint(2, 5))]
         cut = r.randint(0, len(aside))
         before = [fill(r.choice(MENUS)), *([fill(r.choice(HEADERS))] if r.random() < 0.6 else []), *aside[:cut]]
