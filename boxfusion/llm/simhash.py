@@ -1,11 +1,16 @@
 """SimHash near-duplicates: fingerprints linked through a Gray-order hierarchical index.
 
-The index, from the top: masked patterns, each a choice of ``agree`` of ``blocks`` blocks of the
-fingerprint, under which every pair with at most blocks - agree differing bits shares a value;
-below each pattern and value, leaves of the fingerprints in the order of their Gray rank, each
-with the mask of the bits that all its members share; within a leaf, groups of 16 with their masks.
-Differing bits add up on the way down, and a group whose shared bits differ too much goes whole.
-A value that a third of all fingerprints share becomes many leaves, spread over tasks.
+The index, from the top: masked patterns, each a choice of the fingerprint's bits; under each pattern
+and value of its bits, leaves of fingerprints in the order of their Gray rank, each with the mask of
+the bits that all its members share; within a leaf, groups of 16 with their masks.  Differing bits
+add up on the way down, and a group whose shared bits differ too much goes whole.  A value that a
+third of all fingerprints share becomes many leaves, spread over tasks.
+
+For few differing bits the patterns are all choices of blocks, under one of which any such pair
+agrees, so that no link is lost (``block_patterns``).  Copies at a word similarity of 0.8 differ in
+some ten bits, at which no such choice is selective: for these the patterns are random choices of
+bits, enough for a known recall (``sampled_patterns``), and a sketch of one-bit MinHashes, carried
+beside the fingerprint, tells copies from what merely shares bits.
 
 Only links that hold components together leave a leaf, a star for each of its components, so that
 no group yields all its pairs; components then come from joining stars until nothing changes.
@@ -24,46 +29,77 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, cut
 
 BITS = 64
-LEAF, GROUP = 512, 16
+LEAF, GROUP, SKETCH = 512, 16, 128
 
 
-def fingerprint(text: str | None, n: int = 4, seed: int = 42) -> int:
-    """Of the ``n``-word shingles of ``text`` with A-Z lower-cased, the bits set in over half of
-    their XXH64; 0 if it is null or has no word; the whole sequence if it has fewer words."""
+def shingle_hashes(text: str | None, n: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of the ``n``-word shingles of ``text`` with A-Z lower-cased, repeats included; of the whole
+    sequence if it has fewer words; none if it is null or has no word."""
     from xxhash import xxh64_intdigest
 
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not w:
-        return 0
+        return np.empty(0, np.uint64)
     shingles = map(b" ".join, zip(*(w[k:] for k in range(n)), strict=False)) if len(w) >= n else [b" ".join(w)]
-    h = np.fromiter((xxh64_intdigest(s, seed) for s in shingles), np.uint64)
+    return np.fromiter((xxh64_intdigest(s, seed) for s in shingles), np.uint64)
+
+
+def simhash(h: np.ndarray) -> int:
+    """The bits set in over half of ``h``; 0 if there is none."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(h), 4096):  # a long text's bits are not held at once
         ones += np.unpackbits(h[at : at + 4096, None].view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int((np.uint64(1) << np.flatnonzero(2 * ones > len(h)).astype(np.uint64)).sum()) if (2 * ones > len(h)).any() else 0
+    return sum(1 << int(b) for b in np.flatnonzero(2 * ones > len(h)))
+
+
+def fingerprint(text: str | None, n: int = 4) -> int:
+    return simhash(shingle_hashes(text, n))
+
+
+def sketch(h: np.ndarray) -> tuple[int, int]:
+    """SKETCH one-bit MinHashes of the set of ``h``: two texts of similarity J agree in each with the
+    chance (1 + J) / 2."""
+    r = np.random.default_rng(SKETCH)
+    factor, shift = r.integers(0, 1 << 31, SKETCH, np.uint32) * np.uint32(2) + np.uint32(1), r.integers(0, 1 << 32, SKETCH, np.uint32)
+    least = np.full(SKETCH, np.uint32(0xFFFFFFFF))
+    x = (h >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(x), 2048):
+        least = np.minimum(least, (x[at : at + 2048, None] * factor + shift).min(axis=0))
+    mixed = least * np.uint32(0x9E3779B1)
+    a, b = np.packbits((mixed >> np.uint32(31)).astype(np.uint8), bitorder="little").view(np.uint64)
+    return int(a), int(b)
 
 
 def _signed(values: list[int] | np.ndarray) -> np.ndarray:
     return np.asarray(values, np.uint64).view(np.int64)
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 4) -> DataFrame:
-    """(id, code): the fingerprint's bits as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 4, sketched: bool = False) -> DataFrame:
+    """(id, code, s1, s2): bits as signed longs; the sketch is 0 unless asked for."""
     arrow_rows(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            codes = _signed([fingerprint(t, shingle) for t in b.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codes, pa.int64())], ["id", "code"])
+            out = [(simhash(h), *(sketch(h) if sketched and len(h) else (0, 0))) for h in (shingle_hashes(t, shingle) for t in b.column(1).to_pylist())]
+            columns = _signed([v for row in out for v in row]).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(columns[:, k]) for k in range(3))], ["id", "code", "s1", "s2"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, code long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, code long, s1 long, s2 long")
 
 
-def patterns(blocks: int, agree: int) -> list[int]:
-    """Masks of ``agree`` of ``blocks`` near-equal blocks."""
+def block_patterns(blocks: int, most: int) -> list[list[int]]:
+    """All choices of blocks - most of near-equal blocks: any pair of at most ``most`` differing bits
+    agrees under one of them."""
     edges = [BITS * k // blocks for k in range(blocks + 1)]
-    block = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in itertools.pairwise(edges)]
-    return [sum(c) for c in itertools.combinations(block, agree)]
+    return [[b for k in c for b in range(edges[k], edges[k + 1])] for c in itertools.combinations(range(blocks), blocks - most)]
+
+
+def sampled_patterns(n: int = 48, width: int = 14, seed: int = 1) -> list[list[int]]:
+    """``n`` random choices of ``width`` bits.  A pair of d differing bits is met with the chance
+    1 - (1 - C(64 - d, width) / C(64, width)) ** n: for 48 of 14 bits 0.998 at 8, 0.97 at 10, 0.84
+    at 12 differing bits."""
+    r = np.random.default_rng(seed)
+    return [sorted(r.choice(BITS, width, replace=False).tolist()) for _ in range(n)]
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -81,21 +117,33 @@ def shared(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return ~(all_set ^ any_set), all_set
 
 
-def near(a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places in ``a`` and ``b``, each in Gray order, of pairs with at most ``most`` differing bits:
+def alike(x: np.ndarray, y: np.ndarray, most: int, apart: int | None) -> np.ndarray:
+    """Whether fingerprints (first column) differ in at most ``most`` bits and, if ``apart`` is given,
+    sketches (the others) in at most that many."""
+    ok = np.bitwise_count(x[..., 0] ^ y[..., 0]) <= most
+    if apart is not None:
+        ok &= np.bitwise_count(x[..., 1] ^ y[..., 1]).astype(np.int16) + np.bitwise_count(x[..., 2] ^ y[..., 2]) <= apart
+    return ok
+
+
+def near(a: np.ndarray, b: np.ndarray, most: int, apart: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``a`` and ``b`` (rows of code and sketch, each in Gray order) of pairs that are alike:
     groups of both are compared by their shared bits, and only what remains is by members."""
     if not len(a) or not len(b):
         return np.empty(0, np.int64), np.empty(0, np.int64)
     sa, sb = np.arange(0, len(a), GROUP), np.arange(0, len(b), GROUP)
-    (ma, va), (mb, vb) = shared(a, sa), shared(b, sb)
+    (ma, va), (mb, vb) = shared(a[:, 0], sa), shared(b[:, 0], sb)
     ga, gb = np.nonzero(np.bitwise_count((va[:, None] ^ vb) & ma[:, None] & mb) <= most)
     found = []
     for at in range(0, len(ga), 4096):
         i = sa[ga[at : at + 4096], None] + np.arange(GROUP)
         j = sb[gb[at : at + 4096], None] + np.arange(GROUP)
         x, y = a[np.minimum(i, len(a) - 1)], b[np.minimum(j, len(b) - 1)]
-        k, p, q = np.nonzero((np.bitwise_count(x[:, :, None] ^ y[:, None, :]) <= most) & (i < len(a))[:, :, None] & (j < len(b))[:, None, :])
-        found.append((i[k, p], j[k, q]))
+        near_codes = (np.bitwise_count(x[:, :, None, 0] ^ y[:, None, :, 0]) <= most) & (i < len(a))[:, :, None] & (j < len(b))[:, None, :]
+        k, p, q = np.nonzero(near_codes)
+        i, j = i[k, p], j[k, q]
+        ok = alike(a[i], b[j], most, apart)
+        found.append((i[ok], j[ok]))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
 
 
@@ -115,69 +163,89 @@ def stars(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np
             return ids[keep], low[keep]
 
 
+def dealt(nodes: DataFrame, patterns: list[list[int]]) -> DataFrame:
+    """(bucket, rank, s1, s2, id): each row of ``nodes`` under each pattern.  ``bucket``: the pattern and
+    the value of its bits; ``rank``: in Gray order, from which the code can be had back."""
+    fields = ("bucket", "rank", "s1", "s2", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            code, s1, s2, ids = (np.asarray(c, np.int64) for c in b.columns)
+            u = code.view(np.uint64)
+            rank = gray_rank(u).view(np.int64)
+            for k, bits in enumerate(patterns):
+                value = np.full(len(u), np.uint64(k << 40))
+                for at, bit in enumerate(bits):
+                    value |= (u >> np.uint64(bit) & np.uint64(1)) << np.uint64(at)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (value.view(np.int64), rank, s1, s2, ids)], list(fields))
+
+    return nodes.select("code", "s1", "s2", "id").mapInArrow(run, ", ".join(f"{f} long" for f in fields))
+
+
 def leaves(rows: DataFrame) -> DataFrame:
-    """Of ``rows`` (pattern, value, code, id): leaves of at most LEAF codes in Gray order.  Rows are
-    dealt by ranges of pattern, value and rank, so that one value may fill many tasks."""
-    schema = "pattern int, value long, mask long, bits long, codes array<long>, ids array<long>"
+    """Of sorted ``rows`` (bucket, rank, s1, s2, id): leaves of at most LEAF members of one bucket, with
+    the mask and the bits of what they share; rows: code and sketch of each member, one after another."""
+    schema = "bucket long, mask long, bits long, rows array<long>, ids array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = [np.empty(0, np.int64)] * 4
+        held: list[np.ndarray] = [np.empty(0, np.int64)] * 5
         for b in itertools.chain(batches, [None]):
             if b is not None:
                 held = [np.concatenate([h, np.asarray(b.column(k), np.int64)]) for k, h in enumerate(held)]
-            p, v, c, ids = held
-            if not len(p):
+            bucket = held[0]
+            if not len(bucket):
                 continue
-            starts = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (v[1:] != v[:-1])])
-            ends = np.r_[starts[1:], len(p)]
+            starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            ends = np.r_[starts[1:], len(bucket)]
             cuts = np.unique(np.concatenate([starts, *(np.arange(s, e, LEAF) for s, e in zip(starts, ends, strict=True) if e - s > LEAF)]))
-            last = len(p) if b is None else cuts[-1]  # the last leaf may go on
+            last = len(bucket) if b is None else cuts[-1]  # the last leaf may go on
             begin = cuts[cuts < last]
             if len(begin):
-                mask, bits = shared(c[:last], begin)
-                at = pa.array(np.r_[begin, last].astype(np.int32))
+                rank = held[1][:last].view(np.uint64)
+                code = (rank ^ (rank >> np.uint64(1))).view(np.int64)
+                mask, bits = shared(code, begin)
+                at = np.r_[begin, last].astype(np.int32)
+                flat = np.stack([code, held[2][:last], held[3][:last]], axis=1).ravel()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(p[begin].astype(np.int32)), pa.array(v[begin]), pa.array(mask), pa.array(bits), pa.ListArray.from_arrays(at, pa.array(c[:last])), pa.ListArray.from_arrays(at, pa.array(ids[:last]))],
-                    ["pattern", "value", "mask", "bits", "codes", "ids"],
+                    [pa.array(bucket[begin]), pa.array(mask), pa.array(bits), pa.ListArray.from_arrays(pa.array(at * 3), pa.array(flat)), pa.ListArray.from_arrays(pa.array(at), pa.array(held[4][:last]))],
+                    ["bucket", "mask", "bits", "rows", "ids"],
                 )
             held = [x[last:] for x in held]
 
     return rows.mapInArrow(run, schema)
 
 
-def index(codes: DataFrame, blocks: int = 6, most: int = 4) -> DataFrame:
-    """The leaves of all ``codes`` (code, id), which must be distinct."""
-    masks = [m - (1 << BITS) if m >> (BITS - 1) else m for m in patterns(blocks, blocks - most)]
-    rank = F.col("code")
-    for s in (1, 2, 4, 8, 16, 32):
-        rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, s))
-    n = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranked = codes.select("code", "id", rank.alias("rank"))
-    dealt = ranked.select("code", "id", "rank", F.posexplode(F.array(*[F.col("code").bitwiseAND(F.lit(m)) for m in masks])).alias("pattern", "value"))
-    return leaves(dealt.repartitionByRange(n, "pattern", "value", "rank").sortWithinPartitions("pattern", "value", "rank").select("pattern", "value", "code", "id"))
+def index(nodes: DataFrame, patterns: list[list[int]]) -> DataFrame:
+    """The leaves of all ``nodes`` (code, s1, s2, id), whose codes must be distinct.  Rows are dealt by
+    ranges of bucket and rank, so that one bucket may fill many tasks."""
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = dealt(nodes, patterns).repartitionByRange(n, "bucket", "rank").sortWithinPartitions("bucket", "rank")
+    return leaves(rows)
+
 
+def links(tree: DataFrame, most: int = 4, apart: int | None = None) -> DataFrame:
+    """(src, dst): stars over what is alike within leaves, and between leaves of one bucket whose shared
+    bits differ in at most ``most``."""
 
-def links(tree: DataFrame, most: int = 4) -> DataFrame:
-    """(src, dst): stars over what is linked within leaves, and between leaves of one value whose
-    shared bits differ in at most ``most``."""
+    def rows_of(values: np.ndarray) -> np.ndarray:
+        return np.asarray(values, np.int64).view(np.uint64).reshape(-1, 3)
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            codes, ids = b.column(0), b.column(1)
-            at = np.asarray(codes.offsets, np.int64)
-            c, k = np.asarray(codes.values, np.int64).view(np.uint64), np.asarray(ids.values, np.int64)
+            at = np.asarray(b.column(1).offsets, np.int64)
+            low, high = at[0], at[-1]
+            c, k = rows_of(np.asarray(b.column(0).values)[low * 3 : high * 3]), np.asarray(b.column(1).values, np.int64)[low:high]
             size = np.diff(at)
             leaf = np.repeat(np.arange(len(size)), size)
-            c, k = c[at[0] : at[-1]], k[at[0] : at[-1]]
             small = (size <= GROUP)[leaf]
-            found = []
-            for d in range(1, GROUP):  # leaves of one group, all together
-                i = np.flatnonzero(small[:-d] & (leaf[:-d] == leaf[d:])) if len(leaf) > d else np.empty(0, np.int64)
-                i = i[np.bitwise_count(c[i] ^ c[i + d]) <= most]
+            found = [(np.empty(0, np.int64),) * 2]
+            for d in range(1, min(GROUP, len(leaf))):  # leaves of one group, all together
+                i = np.flatnonzero(small[:-d] & (leaf[:-d] == leaf[d:]))
+                i = i[alike(c[i], c[i + d], most, apart)]
                 found.append((i, i + d))
             for n in np.flatnonzero(size > GROUP):
-                s, e = at[n] - at[0], at[n + 1] - at[0]
-                i, j = near(c[s:e], c[s:e], most)
+                s, e = at[n] - low, at[n + 1] - low
+                i, j = near(c[s:e], c[s:e], most, apart)
                 found.append((i[i < j] + s, j[i < j] + s))
             i, j = (np.concatenate(x) for x in zip(*found, strict=True))
             # ids of different leaves may be equal; they are one document all the same
@@ -189,28 +257,19 @@ def links(tree: DataFrame, most: int = 4) -> DataFrame:
         for b in batches:
             for r in b.to_pylist():
                 ids = np.r_[np.asarray(r["ids"], np.int64), np.asarray(r["other_ids"], np.int64)]
-                i, j = near(np.asarray(r["codes"], np.int64).view(np.uint64), np.asarray(r["other_codes"], np.int64).view(np.uint64), most)
+                i, j = near(rows_of(r["rows"]), rows_of(r["other_rows"]), most, apart)
                 src, dst = stars(ids, i, j + len(r["ids"]))
                 yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
 
-    own = tree.select("codes", "ids").mapInArrow(within, "src long, dst long")
-    # leaves of values that have more than one
-    many = tree.groupBy("pattern", "value").count().filter("count > 1").select("pattern", "value")
-    heads = heads_of(tree).join(many, ["pattern", "value"])
-    pairs = (
-        heads.alias("a")
-        .join(heads.select("pattern", "value", F.col("leaf").alias("other"), F.col("mask").alias("other_mask"), F.col("bits").alias("other_bits")).alias("b"), ["pattern", "value"])
-        .filter((F.col("leaf") < F.col("other")) & (F.bit_count(F.col("bits").bitwiseXOR(F.col("other_bits")).bitwiseAND(F.col("mask")).bitwiseAND(F.col("other_mask"))) <= most))
-        .select("pattern", "value", "leaf", "other")
-    )
-    body = tree.select("pattern", "value", F.get("ids", F.lit(0)).alias("leaf"), "codes", "ids")
-    joined = pairs.join(body, ["pattern", "value", "leaf"]).join(body.select("pattern", "value", F.col("leaf").alias("other"), F.col("codes").alias("other_codes"), F.col("ids").alias("other_ids")), ["pattern", "value", "other"])
-    return own.unionByName(joined.select("codes", "ids", "other_codes", "other_ids").mapInArrow(across, "src long, dst long"))
-
-
-def heads_of(tree: DataFrame) -> DataFrame:
-    """A leaf's pattern, value, name (its first id) and shared bits."""
-    return tree.select("pattern", "value", F.get("ids", F.lit(0)).alias("leaf"), "mask", "bits")
+    own = tree.filter(F.size("ids") > 1).select("rows", "ids").mapInArrow(within, "src long, dst long")
+    many = tree.groupBy("bucket").count().filter("count > 1").select("bucket")
+    heads = tree.select("bucket", F.get("ids", F.lit(0)).alias("leaf"), "mask", "bits").join(many, "bucket")
+    others = heads.select("bucket", F.col("leaf").alias("other"), F.col("mask").alias("other_mask"), F.col("bits").alias("other_bits"))
+    differ = F.bit_count(F.col("bits").bitwiseXOR(F.col("other_bits")).bitwiseAND(F.col("mask")).bitwiseAND(F.col("other_mask")))
+    pairs = heads.join(others, "bucket").filter((F.col("leaf") < F.col("other")) & (differ <= most)).select("bucket", "leaf", "other")
+    body = tree.select("bucket", F.get("ids", F.lit(0)).alias("leaf"), "rows", "ids")
+    joined = pairs.join(body, ["bucket", "leaf"]).join(body.select("bucket", F.col("leaf").alias("other"), F.col("rows").alias("other_rows"), F.col("ids").alias("other_ids")), ["bucket", "other"])
+    return own.unionByName(joined.select("rows", "ids", "other_rows", "other_ids").mapInArrow(across, "src long, dst long"))
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -240,26 +299,29 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components still change after {most_rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, most: int = 4, blocks: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, most: int = 4, patterns: list[list[int]] | None = None, apart: int | None = None) -> DataFrame:
     """Per row of ``docs``: its id, ``code`` (the fingerprint) and ``component_id``, the least id
-    that links of at most ``most`` differing bits reach.  All links are found.
+    that links reach: of at most ``most`` differing bits and, if ``apart`` is given, sketches of at
+    most that many.  All links are found under block patterns, which are the default.
 
     Equal fingerprints meet in one node first, so copies cost nothing further.  Null, empty and
     blank texts have fingerprint 0 and are linked as any other; repeated ids give repeated rows; rows
     without an id are linked to nothing of their own; an empty table gives no rows."""
-    prints = cut(fingerprints(docs, id_col, text_col, shingle))
-    nodes = cut(prints.filter("id is not null").groupBy("code").agg(F.min("id").alias("id")))
-    tree = cut(index(nodes, blocks, most))
-    found = components(links(tree, most))
+    prints = cut(fingerprints(docs, id_col, text_col, shingle, apart is not None))
+    nodes = cut(prints.filter("id is not null").groupBy("code").agg(F.min(F.struct("id", "s1", "s2")).alias("n")).select("code", "n.*"))
+    tree = cut(index(nodes, patterns or block_patterns(most + 2, most)))
+    found = components(links(tree, most, apart))
     named = nodes.join(found, "id", "left").select("code", F.coalesce("component_id", "id").alias("component_id"))
-    return prints.join(named, "code", "left").select(F.col("id").alias(id_col), "code", "component_id")
+    return prints.select("id", "code").join(named, "code", "left").select(F.col("id").alias(id_col), "code", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more: int) -> DataFrame:
-    """``docs`` with one document of each component, that of the least id.
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more: object) -> DataFrame:
+    """``docs`` with one document of each group of copies, that of the least id.  Copies share shingles
+    of five words at a similarity of 0.8 or so: fingerprints differ in at most 14 bits and sketches in
+    at most 17 of 128, where 0.8 gives 13 on average; ``more`` replaces these.
 
     Rows without an id stay, as nothing can name them; of rows with the same id one stays."""
-    found = near_duplicates(docs, id_col, text_col, **more)
+    found = near_duplicates(docs, id_col, text_col, **({"shingle": 5, "most": 14, "patterns": sampled_patterns(), "apart": 17} | more))
     hold = "__id__"
     stays = cut(found.filter(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias(hold)).agg(F.count("*").alias("n")))
     kept = docs.join(stays.select(hold), docs[id_col].cast("long") == stays[hold], "left_semi")

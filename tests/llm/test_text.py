@@ -111,8 +111,8 @@ def test_index_loses_no_link_in_crowds(spark):
     """One value of many codes makes several leaves."""
     r = random.Random(2)
     codes = sorted({(0xABCDEF << 40) ^ sum(1 << b for b in r.sample(range(22), r.randint(0, 9))) for _ in range(3000)} | {r.getrandbits(64) for _ in range(500)})
-    rows = spark.createDataFrame([(int(np.uint64(c).astype(np.int64)), k) for k, c in enumerate(codes)], "code long, id long")
-    found = simhash.components(simhash.links(simhash.index(rows))).toPandas()
+    rows = spark.createDataFrame([(int(np.uint64(c).astype(np.int64)), 0, 0, k) for k, c in enumerate(codes)], "code long, s1 long, s2 long, id long")
+    found = simhash.components(simhash.links(simhash.index(rows, simhash.block_patterns(6, 4)))).toPandas()
     a = np.array(codes, np.uint64)
     low = np.arange(len(a))
     i, j = np.nonzero(np.bitwise_count(a[:, None] ^ a) <= 4)
@@ -127,6 +127,25 @@ def test_index_loses_no_link_in_crowds(spark):
     assert (got == low).all()
 
 
+def test_copies_at_word_similarity(spark):
+    """Copies of 0.85 and more are found but for a few; texts of 0.5 and less stay apart."""
+    r = random.Random(8)
+    say = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+    sets = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    rows, close, far = [], [], []
+    for k in range(0, 600, 2):
+        a = say(r.randint(80, 400))
+        b = list(a)
+        for p in r.sample(range(len(b)), max(1, int(len(b) * r.choice((0.004, 0.01, 0.12, 0.2))))):
+            b[p] = "changed"
+        rows += [(k, " ".join(a)), (k + 1, " ".join(b))]
+        j = len(sets(a) & sets(b)) / len(sets(a) | sets(b))
+        (close if j >= 0.85 else far if j <= 0.5 else []).append(k + 1)
+    kept = {x["doc_id"] for x in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(range(0, 600, 2)) <= kept and set(far) <= kept and len(far) > 100
+    assert len(kept & set(close)) <= 0.03 * len(close) and len(close) > 100
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(100, 160)] + [(200, k) for k in range(201, 260)] + [(7, 3), (3, 7), (5, 5)]
     got = {r["id"]: r["component_id"] for r in simhash.components(spark.createDataFrame(edges, "src long, dst long")).collect()}
