@@ -105,3 +105,25 @@ def log_summary(log: DataFrame, fields: list[str], ts: str = "ts") -> DataFrame:
     """(field, greatest value, when) of a hardware log; of equals the first time."""
     one = log.agg(*[F.min(F.when(F.col(f).isNotNull(), F.struct((-F.col(f).cast("double")).alias("v"), F.col(ts).alias("t")))).alias(f) for f in fields])
     return one.select(F.inline(F.array(*[F.struct(F.lit(f).alias("field"), (-F.col(f"`{f}`.v")).alias("peak"), F.col(f"`{f}`.t").alias("at")) for f in fields])))
+
+
+def describe(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """count, mean, sample deviation, least, quartiles (linear between values) and greatest, one row for
+    each of ``columns``."""
+    names = ("count", "mean", "std", "min", "p25", "p50", "p75", "max")
+
+    def of(c: str):
+        values = (F.count(c), F.avg(c), F.stddev_samp(c), F.min(c), F.percentile(c, F.lit(0.25)), F.percentile(c, F.lit(0.5)), F.percentile(c, F.lit(0.75)), F.max(c))
+        return F.struct(F.lit(c).alias("feature"), *[v.cast("double").alias(n) for n, v in zip(names, values, strict=True)]).alias(c)
+
+    return rows.agg(*[of(c) for c in columns]).select(F.inline(F.array(*[F.col(c) for c in columns])))
+
+
+def router_table(rows: DataFrame, scores: list[str], by: str = "class_id", label: str = "label") -> DataFrame:
+    """(by, n, positive_rate, one average precision for each of ``scores``): classes with positives."""
+    from boxfusion.operators.metrics import average_precision
+
+    out = rows.groupBy(by).agg(F.count("*").alias("n"), F.avg(label).alias("positive_rate")).filter("positive_rate > 0")
+    long = rows.select(by, label, F.inline(F.array(*[F.struct(F.lit(s).alias("model"), F.col(s).cast("double").alias("score")) for s in scores])))
+    ap = average_precision(long, [by, "model"], "score", label).groupBy(by).pivot("model", scores).agg(F.first("ap"))
+    return out.join(ap.select(by, *[F.col(f"`{s}`").alias(f"{s}_ap") for s in scores]), by)

@@ -5,6 +5,8 @@ the arrays below; ``train_perceptron`` trains Spark's own perceptron where none
 
 from __future__ import annotations
 
+import json
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -88,6 +90,40 @@ class NeuralRouter:
         return out if self.knots is None else np.interp(out, *self.knots)
 
 
+def save(routers: dict[str, NeuralRouter | None], path: str) -> None:
+    """One file of arrays for each router, and a list of trained classes and of those without one."""
+    os.makedirs(path, exist_ok=True)
+    meta = {"trained": [], "fallback": [], "kinds": {}}
+    for name, r in routers.items():
+        if r is None:
+            meta["fallback"].append(name)
+            continue
+        meta["trained"].append(name)
+        meta["kinds"][name] = [r.kind, r.heads]
+        flat = {k: v for k, v in r.weights.items() if k != "layers"} | {f"layer{n}.{k}": v for n, layer in enumerate(r.weights["layers"]) for k, v in layer.items()}
+        knots = {} if r.knots is None else {"knots.x": r.knots[0], "knots.y": r.knots[1]}
+        np.savez(f"{path}/{name}.npz", **flat, **{"scale.mean": r.mean, "scale.std": r.std}, **knots)
+    with open(f"{path}/meta.json", "w") as f:
+        json.dump(meta, f)
+
+
+def load(path: str) -> dict[str, NeuralRouter | None]:
+    with open(f"{path}/meta.json") as f:
+        meta = json.load(f)
+    out: dict[str, NeuralRouter | None] = dict.fromkeys(meta["fallback"])
+    for name in meta["trained"]:
+        a = dict(np.load(f"{path}/{name}.npz"))
+        layers: dict[int, dict] = {}
+        for k in [k for k in a if k.startswith("layer") and "." in k]:
+            n, key = k.removeprefix("layer").split(".", 1)
+            layers.setdefault(int(n), {})[key] = a.pop(k)
+        mean, std = a.pop("scale.mean"), a.pop("scale.std")
+        knots = (a.pop("knots.x"), a.pop("knots.y")) if "knots.x" in a else None
+        kind, heads = meta["kinds"][name]
+        out[name] = NeuralRouter(kind, a | {"layers": [layers[n] for n in sorted(layers)]}, mean, std, heads, knots)
+    return out
+
+
 def predict(rows: DataFrame, routers: dict[object, NeuralRouter], features: list[str], class_col: str = "class_name", name: str = "p") -> DataFrame:
     """``rows`` with the probability of their class's router, null without one.  All routers go to
     every task; each batch is scored class by class."""

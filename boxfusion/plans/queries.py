@@ -497,6 +497,35 @@ def best_expert_delta(spark: SparkSession, d: str) -> DataFrame:
     return rounded(analytics.best_expert(each.unionByName(fused)), "fused_value", "best_value", "delta")
 
 
+_DESCRIBE = ("detection_score", "max_peer_iou", "dist_from_ego")
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, CAST(count({c}) AS DOUBLE) AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, min({c}) AS min, round(quantile_cont({c}, 0.25), 6) AS p25, round(quantile_cont({c}, 0.5), 6) AS p50, round(quantile_cont({c}, 0.75), 6) AS p75, round(max({c}), 6) AS max FROM rows"
+        for c in _DESCRIBE
+    ),
+    **_ROWS,
+)
+def describe(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(analytics.describe(router_rows(spark, d), list(_DESCRIBE)), "mean", "std", "p25", "p50", "p75", "max")
+
+
+def _ap_of(s: str) -> str:
+    steps = f"SELECT class_id, {s} AS s, sum(label) AS t, count(*) AS n FROM rows GROUP BY ALL"
+    upto = "SELECT *, sum(t) OVER w AS tp, sum(n) OVER w AS seen, sum(t) OVER (PARTITION BY class_id) AS pos FROM st WINDOW w AS (PARTITION BY class_id ORDER BY s DESC)"
+    return f"(WITH st AS ({steps}), cu AS ({upto}) SELECT class_id, sum(t/pos*tp/seen) AS ap FROM cu GROUP BY class_id)"
+
+
+@query(
+    f"SELECT class_id, n, round(positive_rate, 6) AS positive_rate, round(a.ap, 6) AS detection_score_ap, round(b.ap, 6) AS max_peer_iou_ap FROM (SELECT class_id, count(*) AS n, avg(label) AS positive_rate FROM rows GROUP BY class_id) JOIN {_ap_of('detection_score')} a USING (class_id) JOIN {_ap_of('round(max_peer_iou, 9)')} b USING (class_id) WHERE positive_rate > 0",
+    **_ROWS,
+)
+def router_table(spark: SparkSession, d: str) -> DataFrame:
+    rows = router_rows(spark, d).withColumn("max_peer_iou", F.round("max_peer_iou", 9))
+    return rounded(analytics.router_table(rows, ["detection_score", "max_peer_iou"]), "positive_rate", "detection_score_ap", "max_peer_iou_ap")
+
+
 # -- whole pipelines ----------------------------------------------------------------------------
 
 

@@ -315,7 +315,7 @@ def test_trees(spark, tmp_path):
     assert back["bus"] is None and back["car"].calibration == pytest.approx(out["car"].calibration)
 
 
-def test_neural(spark):
+def test_neural(spark, tmp_path):
     from boxfusion.operators.ml import neural
 
     # a transformer whose layers add nothing reads the norm of its own token
@@ -332,6 +332,9 @@ def test_neural(spark):
     got = neural.predict(rows, {"car": router}, ["a", "b"]).toPandas().sort_values("k")
     assert got.p.isna().sum() == 25 and got.p[got.k < 25].between(0.1, 0.9).all()
     assert got.p.to_numpy()[:25] == pytest.approx(router.predict(got[["a", "b"]].to_numpy()[:25]))
+    neural.save({"car": router, "bus": None}, str(tmp_path / "n"))
+    back = neural.load(str(tmp_path / "n"))
+    assert back["bus"] is None and back["car"].predict(np.ones((2, 2))) == pytest.approx(router.predict(np.ones((2, 2))))
     knots = neural.isotonic(spark.createDataFrame([(0.1, 0), (0.4, 1), (0.5, 0), (0.9, 1)], "p double, label int"))
     v = spark.createDataFrame([(0.05,), (0.45,), (0.95,)], "p double").select(neural.calibrated(F.col("p"), knots).alias("v")).toPandas().v
     assert v.to_numpy() == pytest.approx(np.interp([0.05, 0.45, 0.95], *knots)) and v.is_monotonic_increasing
