@@ -53,5 +53,5 @@ def summary(rows: DataFrame, **more: object) -> DataFrame:
 
 def winsorise(rows: DataFrame, column: str = "dist_from_ego", factor: float = 3.0, at: float = 0.99) -> DataFrame:
     """Values above ``factor`` times the quantile ``at`` become that."""
-    cap = rows.agg((F.percentile(column, F.lit(at)) * factor).alias("__cap__"))
-    return rows.crossJoin(F.broadcast(cap)).withColumn(column, F.least(column, "__cap__")).drop("__cap__")  # one row
+    cap = rows.agg(F.percentile(column, F.lit(at)) * factor).scalar()
+    return rows.withColumn(column, F.least(F.col(column), cap))

@@ -21,9 +21,9 @@ def frames_without_gt(frames: DataFrame, gt_frames: DataFrame, frame: list[str])
 
 def same_frames(a: DataFrame, b: DataFrame, frame: list[str]) -> DataFrame:
     """One row: frames of either side that the other lacks."""
-    a, b = a.select(*frame).distinct(), b.select(*frame).distinct()
-    one = a.join(b, frame, "left_anti").agg(F.count("*").alias("only_first"))
-    return one.crossJoin(b.join(a, frame, "left_anti").agg(F.count("*").alias("only_second")))  # one row each
+    a, b = a.select(*frame).distinct().withColumn("first", F.lit(True)), b.select(*frame).distinct().withColumn("second", F.lit(True))
+    both = a.join(b, frame, "full")
+    return both.agg(F.count_if(F.col("second").isNull()).alias("only_first"), F.count_if(F.col("first").isNull()).alias("only_second"))
 
 
 def label_boxes(boxes: DataFrame, gts: DataFrame, frame: list[str], class_col: str = "class_name", expert: str = "expert", order: tuple[str, ...] = ("expert_ord", "box_pos"), criterion: str = "iou", config: FusionConfig = FusionConfig()) -> DataFrame:

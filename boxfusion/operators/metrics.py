@@ -56,7 +56,9 @@ def detection_ap(preds: DataFrame, gts: DataFrame, frame: list[str], class_col:
     gain = F.greatest(F.col("precision") - min_precision, F.lit(0.0))
     ap = best.groupBy(*by).agg((F.sum(gain) / (100 - round(100 * min_recall)) / (1 - min_precision)).alias("ap"))
     every = n_gt.select(class_col, F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"))
-    every = every.crossJoin(F.broadcast(preds.select(*model).distinct())) if model else every  # classes, thresholds and models are few
+    if model:  # models, like classes and thresholds, are few
+        named = preds.agg(F.collect_set(F.struct(*model)).alias("m")).scalar()
+        every = every.withColumn("m", F.explode(named)).select("m.*", class_col, "threshold")
     return every.join(ap, by, "left").select(*by, F.coalesce("ap", F.lit(0.0)).alias("ap"))
 
 
@@ -136,11 +138,13 @@ def detection_score(ap: DataFrame, errors: DataFrame, model: tuple[str, ...] = (
     """(model, mean_ap, one mean for each error, nds): classes for which an error is undefined do not
     count in its mean.  ap: as of detection_ap; errors: as of tp_errors."""
     names = [e for e in ERRORS if e in errors.columns]
-    a = ap.groupBy(*model).agg(F.avg("ap").alias("mean_ap"))
-    e = errors.groupBy(*model).agg(*[F.avg(F.when(~F.isnan(n), F.col(n))).alias(n) for n in names])
-    both = a.join(e, list(model)) if model else a.crossJoin(e)  # one row each
+    one = [] if model else [F.lit(0).alias("__all__")]
+    a = ap.groupBy(*model, *one).agg(F.avg("ap").alias("mean_ap"))
+    e = errors.groupBy(*model, *one).agg(*[F.avg(F.when(~F.isnan(n), F.col(n))).alias(n) for n in names])
+    key = list(model) or ["__all__"]
+    both = a.join(e, key)
     total = sum((1 - F.least(F.lit(1.0), F.coalesce(n, F.lit(1.0))) for n in names), F.lit(0.0))
-    return both.withColumn("nds", (5 * F.col("mean_ap") + total) / (5 + len(names)))
+    return both.withColumn("nds", (5 * F.col("mean_ap") + total) / (5 + len(names))).drop("__all__")
 
 
 def in_range(boxes: DataFrame, ego: DataFrame, frame: list[str], class_col: str = "class_name") -> DataFrame:

