@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from .common import arrow_rows, cut
 
@@ -22,6 +23,7 @@ NUMBER = re.compile(r"[+-]?[0-9][0-9.,:/]*")
 MEASURE = re.compile(r"([$€£¥]?)([+-]?[0-9][0-9.,:/]*)([a-zA-Z%°µ²³/]{0,6})")
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg lb lbs oz t ml l cl dl gal s sec min h hr hrs ms kb mb gb tb hz khz mhz ghz w kw kwh mw v a n j kj cal kcal pa kpa bar °c °f c f k % percent usd eur gbp dollars euros pounds cents meters metres miles kilometers kilograms grams liters litres hours minutes seconds days weeks months years".split())
 EDGE = "\"'“”‘’«»()[]{}<>.,;:!?…*#$%&|"
+SENTENCE_ENDS = frozenset(".!?:;\"”»)…")
 LITERAL, NUM, NAME, UNIT = 0, 1, 2, 3
 #: Tokens of one window, and how many of them must be literal.
 WINDOW, LEAST_LITERAL = 8, 4
@@ -29,52 +31,76 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SCHEMA = "doc long, place int, hash long, slots array<string>"
 
 
+def member(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
+    k = np.searchsorted(sorted_values, x)
+    return sorted_values[np.minimum(k, len(sorted_values) - 1)] == x if len(sorted_values) else np.zeros(len(x), bool)
+
+
 class Tokens:
     """Template tokens of words, remembered: the hash and kind of each word amid a sentence and at
-    its beginning, whether it ends one, and the word as a value."""
+    its beginning, and whether it ends one."""
 
-    def __init__(self, most: int = 400_000) -> None:
-        self.most = most
+    def __init__(self, known: np.ndarray | None = None, most: int = 400_000) -> None:
+        self.known, self.most = known, most
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.table, self.ends = np.empty((1024, 4), np.uint64), np.empty(1024, bool)
+        self.table = np.empty((1024, 7), np.uint64)  # hash and kind, amid and at the beginning; ends; both known
+        self.filled = 0
+        self.new: tuple[list[int], ...] = ([], [], [], [], [])
 
     def add(self, word: str) -> int:
-        from xxhash import xxh64_intdigest
-
-        core = word.strip(EDGE) or word
-        low = core.lower()
-        kind = name = LITERAL
-        m = MEASURE.fullmatch(core)
-        if m and (m[1] or not m[3] or m[3].lower() in UNITS):
-            kind = name = NUM
-            token = name_token = f"<num{m[1]}{'u' if m[3] else ''}>"
-        elif low in UNITS and len(low) > 2:
-            kind = name = UNIT
-            token = name_token = "<unit>"
+        if word.islower() and word.isalpha() and word not in UNITS:  # most words
+            h = name_h = xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+            kind = name = LITERAL
+            ends = False
         else:
-            token = name_token = low
-            if core[0].isupper() and core[1:].islower():
+            core = word.strip(EDGE) or word
+            low = core.lower()
+            kind = name = LITERAL
+            token, name_token = low, None
+            plain = core.isalpha()
+            m = None if plain else MEASURE.fullmatch(core)
+            if m and (m[1] or not m[3] or m[3].lower() in UNITS):
+                kind = name = NUM
+                token = f"<num{m[1]}{'u' if m[3] else ''}>"
+            elif len(low) > 2 and low in UNITS:
+                kind = name = UNIT
+                token = "<unit>"
+            elif core[0].isupper() and core[1:].islower():
                 name, name_token = NAME, "<name>"
+            h = xxh64_intdigest(token.encode("utf-8", "surrogatepass"))
+            name_h = xxh64_intdigest(name_token.encode()) if name_token else h
+            ends = word[-1] in SENTENCE_ENDS
+        new = self.new
+        new[0].append(h)
+        new[1].append(name_h)
+        new[2].append(kind)
+        new[3].append(name)
+        new[4].append(ends)
         self.place[word] = k = len(self.place)
-        if k == len(self.ends):
-            self.table, self.ends = np.concatenate([self.table, self.table]), np.concatenate([self.ends, self.ends])
-        self.table[k] = xxh64_intdigest(token.encode("utf-8", "surrogatepass")), xxh64_intdigest(name_token.encode("utf-8", "surrogatepass")), kind, name
-        self.ends[k] = word[-1] in ".!?:;\"”»)…"
         return k
 
-    def of(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Words, hashes of their template tokens, and kinds."""
+    def of(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Words, hashes of their template tokens, kinds, and whether the tokens are known."""
         words = text.split()
         if len(self.place) > self.most:
             self.clear()
         get, add = self.place.get, self.add
         at = np.fromiter([k if (k := get(w)) is not None else add(w) for w in words], np.int64, len(words))
-        first = np.r_[True, self.ends[at[:-1]]] if len(at) else np.empty(0, bool)
+        if n := len(self.new[0]):
+            while self.filled + n > len(self.table):
+                self.table = np.concatenate([self.table, np.empty_like(self.table)])
+            for column, held in enumerate(self.new):
+                self.table[self.filled : self.filled + n, column] = held
+                held.clear()
+            for column in (0, 1):
+                self.table[self.filled : self.filled + n, 5 + column] = 1 if self.known is None else member(self.known, self.table[self.filled : self.filled + n, column])
+            self.filled += n
         t = self.table[at]
-        return words, np.where(first, t[:, 0], t[:, 1]), np.where(first, t[:, 2], t[:, 3]).astype(np.int8)
+        first = np.r_[True, t[:-1, 4] > 0] if len(at) else np.empty(0, bool)
+        return words, np.where(first, t[:, 0], t[:, 1]), np.where(first, t[:, 2], t[:, 3]).astype(np.int8), np.where(first, t[:, 5], t[:, 6]) > 0
 
 
 def window_hashes(tokens: np.ndarray, n: int) -> np.ndarray:
@@ -91,19 +117,15 @@ def windows(texts: DataFrame, id_col: str, text_col: str, lengths: list[int] | N
     arrow_rows(texts.sparkSession)
     shared = texts.sparkSession.sparkContext.broadcast(only)
 
-    def member(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
-        k = np.searchsorted(sorted_values, x)
-        return sorted_values[np.minimum(k, len(sorted_values) - 1)] == x if len(sorted_values) else np.zeros(len(x), bool)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, tokens = shared.value, Tokens()
+        known = shared.value
+        tokens = Tokens(known and known[0])
         for b in batches:
             out: list[list] = [[], [], [], []]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if not text:
                     continue
-                words, h, kinds = tokens.of(text)
-                good = member(known[0], h) if known is not None else np.ones(len(h), bool)
+                words, h, kinds, good = tokens.of(text)
                 for n in lengths or [min(window, len(h))]:
                     if not 0 < n <= len(h):
                         continue

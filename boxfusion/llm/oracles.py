@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import EDGE, SENTENCE_ENDS, UNITS
 from .license_templates import TEMPLATES
 
 #: Words and lines as the operators see them; blank texts have none.
@@ -71,3 +72,35 @@ FROM ts JOIN n USING (template_id) JOIN ds USING (s) GROUP BY doc_id, template_i
 
 
 ORACLES["op4_license_scan"] = _license_scan()
+
+
+def _decontamination(window: int = 8, literal: int = 4, least: float = 0.5) -> str:
+    """Token by token, window by window; windows join as texts instead of hashes."""
+    quote = lambda xs: ", ".join("'" + x.replace("'", "''") + "'" for x in xs)
+    edge = EDGE.replace("'", "''")
+    return rf"""
+WITH s AS (SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+w AS (SELECT side, id, regexp_extract_all(coalesce(text, ''), '\S+') AS ws FROM s),
+u AS (SELECT side, id, generate_subscripts(ws, 1) AS p, unnest(ws) AS w FROM w),
+c AS (SELECT *, CASE WHEN trim(w, '{edge}') = '' THEN w ELSE trim(w, '{edge}') END AS core, coalesce(lag(right(w, 1)) OVER (PARTITION BY side, id ORDER BY p) IN ({quote(sorted(SENTENCE_ENDS))}), true) AS first FROM u),
+r AS (SELECT *, regexp_extract(core, '^([$€£¥]?)([+-]?[0-9][0-9.,:/]*)([a-zA-Z%°µ²³/]{{0,6}})$', ['cur', 'num', 'unit']) AS m FROM c),
+k AS (SELECT *, CASE WHEN m.num <> '' AND (m.cur <> '' OR m.unit = '' OR lower(m.unit) IN ({quote(sorted(UNITS))})) THEN 1 WHEN len(core) > 2 AND lower(core) IN ({quote(sorted(UNITS))}) THEN 3
+        WHEN NOT first AND regexp_full_match(core, '\p{{Lu}}[^\p{{Lu}}\p{{Lt}}]*\p{{Ll}}[^\p{{Lu}}\p{{Lt}}]*') THEN 2 ELSE 0 END AS kind FROM r),
+g AS (SELECT side, id, list(CASE kind WHEN 1 THEN '<num' || m.cur || CASE WHEN m.unit = '' THEN '' ELSE 'u' END || '>' WHEN 2 THEN '<name>' WHEN 3 THEN '<unit>' ELSE lower(core) END ORDER BY p) AS t, list(kind ORDER BY p) AS ks,
+        list(kind || trim(w, '{edge}') ORDER BY p) AS v FROM k GROUP BY side, id),
+l AS (SELECT DISTINCT least({window}, len(t)) AS n FROM g WHERE side = 1),
+a AS (SELECT side, id, t, ks, v, n, unnest(range(1, len(t) - n + 2)) AS i FROM g JOIN l ON len(t) >= n AND (side = 0 OR n = least({window}, len(t)))),
+x AS (SELECT side, id, n, i, array_to_string(t[i:i + n - 1], ' ') AS h, [v[z] FOR z IN range(i, i + n) IF ks[z] <> 0] AS slots FROM a WHERE len([z FOR z IN range(i, i + n) IF ks[z] = 0]) >= least({literal}, n)),
+b AS (SELECT * FROM x WHERE side = 1),
+total AS (SELECT id AS item_id, count(*) AS item_windows FROM b GROUP BY id),
+m AS (SELECT d.id AS doc_id, b.id AS item_id, d.i - b.i AS lag, b.i AS place, d.slots, b.slots AS item_slots FROM x d JOIN b ON d.side = 0 AND d.n = b.n AND d.h = b.h WHERE len(d.slots) = len(b.slots)),
+sl AS (SELECT DISTINCT doc_id, item_id, lag, unnest(slots) AS mine, unnest(item_slots) AS theirs FROM m),
+bad AS (SELECT doc_id, item_id, lag FROM sl GROUP BY doc_id, item_id, lag, theirs HAVING count(*) > 1 UNION SELECT doc_id, item_id, lag FROM sl GROUP BY doc_id, item_id, lag, mine HAVING count(*) > 1),
+e AS (SELECT m.*, bad.lag IS NOT NULL AS flaw FROM m LEFT JOIN bad USING (doc_id, item_id, lag))
+SELECT doc_id, item_id, count(DISTINCT place) FILTER (NOT flaw) AS matched, any_value(item_windows) AS item_windows, count(DISTINCT place) FILTER (NOT flaw) / any_value(item_windows) AS coverage,
+  CAST(max(len(slots)) AS INT) AS slots, NOT bool_or(flaw) AS consistent
+FROM e JOIN total USING (item_id) GROUP BY doc_id, item_id HAVING count(DISTINCT place) FILTER (NOT flaw) / any_value(item_windows) >= {least}
+"""
+
+
+ORACLES["op5_decontamination"] = _decontamination()
