@@ -284,12 +284,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = cut(edges.filter("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
     before = state(edges)
     for _ in range(most_rounds):
+        # the least neighbours are written first: only a join of two plain shuffles is split where a node
+        # has a large share of all edges
         both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        least = both.groupBy("src").agg(F.min("dst").alias("least"))
+        least = cut(both.groupBy("src").agg(F.min("dst").alias("least")))
         # large star: greater neighbours go to the least
-        large = both.join(least, "src").filter("dst > src").select(F.col("dst").alias("src"), F.least("src", "least").alias("dst")).distinct()
+        large = cut(both.join(least, "src").filter("dst > src").select(F.col("dst").alias("src"), F.least("src", "least").alias("dst")).distinct())
         # small star: lesser neighbours and the node itself go to the least
-        least = large.groupBy("src").agg(F.min("dst").alias("least"))
+        least = cut(large.groupBy("src").agg(F.min("dst").alias("least")))
         small = large.join(least, "src").filter("dst <> least").select(F.col("dst").alias("src"), F.col("least").alias("dst"))
         edges = cut(small.unionByName(least.select("src", F.col("least").alias("dst"))).distinct())
         now = state(edges)
