@@ -5,7 +5,8 @@ bucket; running sums tell up to which bucket the budget reaches, and only the bu
 boundary is looked at again, twice, by further bits.  What remains is one hash threshold for each
 source, so that documents are chosen by a filter: nothing is sorted, and a larger budget always
 holds what a smaller one holds.  Budgets beyond one pass over a source give whole copies of it and
-a threshold for the remainder.
+a threshold for the remainder; one document beyond the threshold, of the size that fits best, closes
+the gap that whole documents leave.
 """
 
 from __future__ import annotations
@@ -68,7 +69,8 @@ def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, size: C
 
 def plan_mix(slim: DataFrame, weights: tuple[float, ...], most: int) -> tuple[DataFrame, DataFrame]:
     """Of ``slim`` (key, source, size, hash): the first histogram (key, bucket, words), and for each key
-    source_size, target, copies (whole ones) and limit (hashes below it are taken once more)."""
+    source_size, target, copies (whole ones), limit (hashes below it are taken once more) and extra
+    (so is this one hash)."""
     shift = sum(LEVELS) - LEVELS[0]
     first = cut(slim.groupBy("key", "source", F.shiftright("hash", shift).alias("bucket")).agg(F.sum("size").alias("words")))
     totals = first.groupBy("source").agg(F.sum("words").alias("source_size"))
@@ -83,14 +85,20 @@ def plan_mix(slim: DataFrame, weights: tuple[float, ...], most: int) -> tuple[Da
         edge = edge.select("key", "need", F.col("bucket").alias("upper"))
         inside = slim.withColumn("upper", F.shiftright("hash", shift + width)).join(edge, ["key", "upper"])
         edge = boundary(inside.groupBy("key", "need", "upper", F.shiftright("hash", shift).alias("bucket")).agg(F.sum("size").alias("words")))
-    # the boundary's last bucket is taken if that brings the sum nearer to the target
-    edge = edge.select("key", (F.col("bucket") + F.when(2 * F.col("need") >= F.col("words"), 1).otherwise(0)).alias("limit"))
+    # below the boundary's last bucket all are taken; then that one of the rest that comes nearest to
+    # what is missing.  Sources are parted by bucket again, so that none meets in one task
+    edge = edge.select("key", F.col("bucket").alias("limit"), F.col("need").alias("rest"))
+    place = F.shiftright("hash", sum(LEVELS) - LEVELS[0]).alias("bucket")
+    cells = slim.groupBy("key", place, "hash").agg(F.sum("size").alias("words"))
+    open_ = cells.join(first.select("key", "bucket").join(edge, "key"), ["key", "bucket"]).filter((F.col("hash") >= F.col("limit")) & (F.abs(F.col("words") - F.col("rest")) < F.col("rest")))
+    extra = open_.groupBy("key").agg(F.min(F.struct(F.abs(F.col("words") - F.col("rest")).alias("off"), "hash")).alias("e")).select("key", F.col("e.hash").alias("extra"))
     everything = F.when((F.col("need") > 0) & (F.col("copies") < most), F.lit(1 << sum(LEVELS))).otherwise(F.lit(0))
-    return first, plan.join(edge, "key", "left").withColumn("limit", F.coalesce("limit", everything)).drop("need")
+    plan = plan.join(edge, "key", "left").join(extra, "key", "left")
+    return first, plan.withColumns({"limit": F.coalesce("limit", everything), "extra": F.coalesce("extra", F.lit(-1))}).drop("need", "rest")
 
 
-def _taken(size: Column) -> Column:
-    return (size * (F.col("copies") + (F.col("hash") < F.col("limit")).cast("long"))).cast("long")
+def _once_more(hash_: Column, limit: Column, extra: Column) -> Column:
+    return ((hash_ < limit) | (hash_ == extra)).cast("long")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), most: int = 3, size: Column | None = None) -> DataFrame:
@@ -99,15 +107,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Null texts and sizes count 0; a null source is a source of its own; rows with equal ids are
     taken together or not at all; an empty table gives no rows.  Each source's taken words differ
-    from its target by at most half the words of the documents that share the boundary's 36 bits,
-    as a rule one document.  No document is taken more than ``most`` times."""
+    from its target by at most half the words of the document on the boundary, and as a rule by far
+    less, since of all documents beyond it the one that fills the gap best is taken too.  No document is taken more than ``most`` times."""
     key, words, place = _sizes(docs, id_col, text_col, source_col, size)
     slim = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), key.alias("key"), words.alias("size"), place.alias("hash")))
     first, plan = plan_mix(slim, weights, most)
     # one row for each source and bucket: rows of a hot source meet it in many tasks
     by_bucket = first.select("key", "bucket").join(plan, "key")
     found = slim.withColumn("bucket", F.shiftright("hash", sum(LEVELS) - LEVELS[0])).join(by_bucket, ["key", "bucket"])
-    return found.select(F.col("id").alias(id_col), "size", "source_size", "target", _taken(F.col("size")).alias("taken"))
+    return found.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * (F.col("copies") + _once_more(F.col("hash"), F.col("limit"), F.col("extra")))).cast("long").alias("taken"))
 
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), most: int = 3, size: Column | None = None, most_sent: int = 20_000) -> DataFrame:
@@ -119,13 +127,13 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     key, words, place = _sizes(docs, id_col, text_col, source_col, size)
     slim = cut(docs.select(F.col(source_col).cast("string").alias("source"), key.alias("key"), words.alias("size"), place.alias("hash")))
     first, plan = plan_mix(slim, weights, most)
-    plan = cut(plan.select(F.col("key").alias("__key__"), F.col("copies").alias("__copies__"), F.col("limit").alias("__limit__")))
+    plan = cut(plan.select(F.col("key").alias("__key__"), F.col("copies").alias("__copies__"), F.col("limit").alias("__limit__"), F.col("extra").alias("__extra__")))
     rows = docs.withColumns({"__key__": key, "__size__": words, "__hash__": place, "__bucket__": F.shiftright(place, sum(LEVELS) - LEVELS[0])})
     if plan.count() <= most_sent:
         met = rows.join(F.broadcast(plan), "__key__")
     else:
         met = rows.join(first.select(F.col("key").alias("__key__"), F.col("bucket").alias("__bucket__")).join(plan, "__key__"), ["__key__", "__bucket__"])
-    copies = F.col("__copies__") + (F.col("__hash__") < F.col("__limit__")).cast("long")
+    copies = F.col("__copies__") + _once_more(F.col("__hash__"), F.col("__limit__"), F.col("__extra__"))
     met = met.filter((F.col("__size__") > 0) & (copies > 0))
     new = {"size": F.col("__size__"), "taken": F.col("__size__") * copies, "copies": copies}
     return met.select(*[c for c in docs.columns if c not in new], *[v.alias(k) for k, v in new.items()])

@@ -49,7 +49,9 @@ n AS (SELECT *, greatest(0, target - copies * source_size) AS need FROM p),
 c AS (SELECT source, h, sum(size) AS words FROM d GROUP BY source, h),
 b AS (SELECT c.source, c.h, c.words, n.need, sum(c.words) OVER (PARTITION BY c.source ORDER BY c.h) - c.words AS before
       FROM c JOIN n ON c.source IS NOT DISTINCT FROM n.source WHERE n.copies < 3),
-x AS (SELECT source, h, before + words <= need OR (before <= need AND 2 * (need - before) >= words) AS chosen FROM b)
+e AS (SELECT source, h AS edge, need - before AS rest FROM b WHERE before <= need AND before + words > need),
+f2 AS (SELECT b.source, arg_min(b.h, (abs(b.words - e.rest), b.h)) AS extra FROM b JOIN e ON b.source IS NOT DISTINCT FROM e.source WHERE b.h >= e.edge AND abs(b.words - e.rest) < e.rest GROUP BY b.source),
+x AS (SELECT b.source, b.h, b.before + b.words <= b.need OR b.h = coalesce(f2.extra, -1) AS chosen FROM b LEFT JOIN f2 ON b.source IS NOT DISTINCT FROM f2.source)
 SELECT d.doc_id, d.size, n.source_size, n.target, CAST(d.size * (n.copies + CASE WHEN coalesce(x.chosen, false) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source LEFT JOIN x ON d.source IS NOT DISTINCT FROM x.source AND d.h = x.h
 """
