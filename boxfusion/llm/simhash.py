@@ -6,11 +6,11 @@ the bits that all its members share; within a leaf, groups of 16 with their mask
 add up on the way down, and a group whose shared bits differ too much goes whole.  A value that a
 third of all fingerprints share becomes many leaves, spread over tasks.
 
-For few differing bits the patterns are all choices of blocks, under one of which any such pair
-agrees, so that no link is lost (``block_patterns``).  Copies at a word similarity of 0.8 differ in
-some ten bits, at which no such choice is selective: for these the patterns are random choices of
-bits, enough for a known recall (``sampled_patterns``), and a sketch of one-bit MinHashes, carried
-beside the fingerprint, tells copies from what merely shares bits.
+The patterns are all choices of blocks, under one of which any pair of few differing bits agrees, so
+that no link is lost (``block_patterns``).  Copies at a word similarity of 0.8 differ in some ten
+bits, at which no such choice is selective: these are proposed by bands of MinHashes, indexed the
+same way over sketches of one-bit MinHashes, and each link is verified by the exact similarity of
+the shingle sets before it counts (``copies``).
 
 Only links that hold components together leave a leaf, a star for each of its components, so that
 no group yields all its pairs; components then come from joining stars until nothing changes.
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,16 @@ from .common import arrow_rows, cut
 
 BITS = 64
 LEAF, GROUP, SKETCH = 512, 16, 128
+#: MinHashes of a band.  A pair of similarity J meets with the chance 1 - (1 - J ** BAND) ** (SKETCH / BAND),
+#: all but 5e-8 at 0.8.
+BAND = 4
+#: Differing bits of sketches up to which a pair is a candidate: at a similarity of 0.8 they are 12.8 on
+#: average, 3.4 their standard deviation.
+APART = 30
+#: Documents and shingles of a block, of which two at a time are verified in one task.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: Candidates that are told to all tasks by id; if there are more, they join.
+MOST_SENT = 2_000_000
 
 
 def shingle_hashes(text: str | None, n: int, seed: int = 42) -> np.ndarray:
@@ -56,37 +67,73 @@ def fingerprint(text: str | None, n: int = 4) -> int:
     return simhash(shingle_hashes(text, n))
 
 
-def sketch(h: np.ndarray) -> tuple[int, int]:
-    """SKETCH one-bit MinHashes of the set of ``h``: two texts of similarity J agree in each with the
-    chance (1 + J) / 2."""
+def minhashes(h: np.ndarray) -> np.ndarray:
+    """SKETCH MinHashes of the set of ``h``."""
     r = np.random.default_rng(SKETCH)
     factor, shift = r.integers(0, 1 << 31, SKETCH, np.uint32) * np.uint32(2) + np.uint32(1), r.integers(0, 1 << 32, SKETCH, np.uint32)
     least = np.full(SKETCH, np.uint32(0xFFFFFFFF))
     x = (h >> np.uint64(32)).astype(np.uint32)
     for at in range(0, len(x), 2048):
         least = np.minimum(least, (x[at : at + 2048, None] * factor + shift).min(axis=0))
+    return least
+
+
+def sketch(least: np.ndarray) -> np.ndarray:
+    """One bit of each of the MinHashes ``least``, as two words: two texts of similarity J agree in each
+    with the chance (1 + J) / 2."""
     mixed = least * np.uint32(0x9E3779B1)
-    a, b = np.packbits((mixed >> np.uint32(31)).astype(np.uint8), bitorder="little").view(np.uint64)
-    return int(a), int(b)
+    return np.packbits((mixed >> np.uint32(31)).astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def band_hashes(least: np.ndarray) -> np.ndarray:
+    """One value for each band of MinHashes, equal if the bands are."""
+    v = np.arange(SKETCH // BAND, dtype=np.uint64)
+    for column in least.reshape(-1, BAND).T:
+        v = (v ^ (v >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + column
+    return v ^ (v >> np.uint64(32))
 
 
 def _signed(values: list[int] | np.ndarray) -> np.ndarray:
     return np.asarray(values, np.uint64).view(np.int64)
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 4, sketched: bool = False) -> DataFrame:
-    """(id, code, s1, s2): bits as signed longs; the sketch is 0 unless asked for."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 4) -> DataFrame:
+    """(id, code, s1, s2): bits as signed longs; the sketch is 0."""
     arrow_rows(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [(simhash(h), *(sketch(h) if sketched and len(h) else (0, 0))) for h in (shingle_hashes(t, shingle) for t in b.column(1).to_pylist())]
-            columns = _signed([v for row in out for v in row]).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(columns[:, k]) for k in range(3))], ["id", "code", "s1", "s2"])
+            codes = pa.array(_signed([fingerprint(t, shingle) for t in b.column(1).to_pylist()]))
+            none = pa.array(np.zeros(len(codes), np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), codes, none, none], ["id", "code", "s1", "s2"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, code long, s1 long, s2 long")
 
 
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, key, more, rank, s1, s2, bands): ``key`` and ``more`` are equal for equal shingle sets; then the
+    Gray rank of the sketch's first word, the sketch, and the hashes of the bands, null if there is no shingle."""
+    arrow_rows(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_intdigest
+
+        for b in batches:
+            keys, sketches, bands = [], [], []
+            for t in b.column(1).to_pylist():
+                h = np.unique(shingle_hashes(t, shingle))
+                digest = xxh3_128_intdigest(h.tobytes())
+                keys.append((digest >> 64, digest & (1 << 64) - 1))
+                least = minhashes(h) if len(h) else None
+                sketches.append((0, 0) if least is None else sketch(least))
+                bands.append(None if least is None else band_hashes(least).view(np.int64))
+            (key, more), (s1, s2) = (np.array(x, np.uint64).reshape(-1, 2).T.copy() for x in (keys, sketches))
+            columns = [pa.array(_signed(x)) for x in (key, more, gray_rank(s1), s1, s2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns, pa.array(bands, pa.list_(pa.int64()))], ["id", "key", "more", "rank", "s1", "s2", "bands"])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, key long, more long, rank long, s1 long, s2 long, bands array<long>")
+
+
 def block_patterns(blocks: int, most: int) -> list[list[int]]:
     """All choices of blocks - most of near-equal blocks: any pair of at most ``most`` differing bits
     agrees under one of them."""
@@ -94,14 +141,6 @@ def block_patterns(blocks: int, most: int) -> list[list[int]]:
     return [[b for k in c for b in range(edges[k], edges[k + 1])] for c in itertools.combinations(range(blocks), blocks - most)]
 
 
-def sampled_patterns(n: int = 48, width: int = 14, seed: int = 1) -> list[list[int]]:
-    """``n`` random choices of ``width`` bits.  A pair of d differing bits is met with the chance
-    1 - (1 - C(64 - d, width) / C(64, width)) ** n: for 48 of 14 bits 0.998 at 8, 0.97 at 10, 0.84
-    at 12 differing bits."""
-    r = np.random.default_rng(seed)
-    return [sorted(r.choice(BITS, width, replace=False).tolist()) for _ in range(n)]
-
-
 def gray_rank(codes: np.ndarray) -> np.ndarray:
     """The rank of each code among all in Gray order."""
     x = codes.astype(np.uint64)
@@ -216,11 +255,15 @@ def leaves(rows: DataFrame) -> DataFrame:
 
 
 def index(nodes: DataFrame, patterns: list[list[int]]) -> DataFrame:
-    """The leaves of all ``nodes`` (code, s1, s2, id), whose codes must be distinct.  Rows are dealt by
-    ranges of bucket and rank, so that one bucket may fill many tasks."""
-    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = dealt(nodes, patterns).repartitionByRange(n, "bucket", "rank").sortWithinPartitions("bucket", "rank")
-    return leaves(rows)
+    """The leaves of all ``nodes`` (code, s1, s2, id), whose codes must be distinct."""
+    return tree_of(dealt(nodes, patterns))
+
+
+def tree_of(rows: DataFrame) -> DataFrame:
+    """The leaves of ``rows`` (bucket, rank, s1, s2, id), which are dealt by ranges of bucket and rank, so
+    that one bucket may fill many tasks."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return leaves(rows.repartitionByRange(n, "bucket", "rank").sortWithinPartitions("bucket", "rank"))
 
 
 def links(tree: DataFrame, most: int = 4, apart: int | None = None) -> DataFrame:
@@ -301,29 +344,112 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components still change after {most_rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, most: int = 4, patterns: list[list[int]] | None = None, apart: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, most: int = 4) -> DataFrame:
     """Per row of ``docs``: its id, ``code`` (the fingerprint) and ``component_id``, the least id
-    that links reach: of at most ``most`` differing bits and, if ``apart`` is given, sketches of at
-    most that many.  All links are found under block patterns, which are the default.
+    that links of at most ``most`` differing bits reach.  All links are found.
 
     Equal fingerprints meet in one node first, so copies cost nothing further.  Null, empty and
     blank texts have fingerprint 0 and are linked as any other; repeated ids give repeated rows; rows
     without an id are linked to nothing of their own; an empty table gives no rows."""
-    prints = cut(fingerprints(docs, id_col, text_col, shingle, apart is not None))
+    prints = cut(fingerprints(docs, id_col, text_col, shingle))
     nodes = cut(prints.filter("id is not null").groupBy("code").agg(F.min(F.struct("id", "s1", "s2")).alias("n")).select("code", "n.*"))
-    tree = cut(index(nodes, patterns or block_patterns(most + 2, most)))
-    found = components(links(tree, most, apart))
+    tree = cut(index(nodes, block_patterns(most + 2, most)))
+    found = components(links(tree, most))
     named = nodes.join(found, "id", "left").select("code", F.coalesce("component_id", "id").alias("component_id"))
     return prints.select("id", "code").join(named, "code", "left").select(F.col("id").alias(id_col), "code", "component_id")
 
 
+def similar(ids: np.ndarray, sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Stars over the components of ``sets`` (each of distinct values, none empty) by links of a Jaccard
+    similarity of at least ``least``: every set that is reached is held against all that are not."""
+    size = np.array([len(x) for x in sets])
+    flat, token = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.r_[0, np.cumsum(size)]
+    rest, rest_token = np.arange(len(sets)), token
+    src, dst = [], []
+
+    def leave(go: np.ndarray) -> None:
+        nonlocal rest, rest_token
+        rest_token = rest_token[np.repeat(~go, size[rest])]
+        rest = rest[~go]
+
+    while len(rest) > 1:
+        seed = int(rest[0])
+        leave(np.arange(len(rest)) == 0)
+        queue = [seed]
+        while queue and len(rest):
+            x = queue.pop()
+            held = np.zeros(len(flat), np.int64)
+            held[token[start[x] : start[x + 1]]] = 1
+            both = np.add.reduceat(held[rest_token], np.r_[0, np.cumsum(size[rest])[:-1]])
+            hit = both / (size[x] + size[rest] - both) >= least
+            if hit.any():
+                queue += rest[hit].tolist()
+                src.append(ids[rest[hit]])
+                dst.append(np.full(int(hit.sum()), ids[seed]))
+                leave(hit)
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *src]), np.concatenate([none, *dst])
+
+
+def verified(docs: DataFrame, clusters: DataFrame, id_col: str, text_col: str, shingle: int, least: float) -> DataFrame:
+    """(src, dst): stars over the exact links of documents within ``clusters`` (id, component_id).
+
+    A cluster is dealt into blocks, and any two of its blocks meet in a task, so that no pair is
+    left out and no task has more than two blocks."""
+    arrow_rows(docs.sparkSession)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    if clusters.limit(MOST_SENT + 1).count() <= MOST_SENT:  # only these texts are shuffled
+        ids = docs.sparkSession.sparkContext.broadcast(pa.array([r["id"] for r in clusters.select("id").collect()], pa.int64()))
+    else:
+        ids, texts = None, texts.join(clusters.select("id"), "id", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if ids is not None:
+                b = b.filter(pc.is_in(b.column(0), ids.value))
+            sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array(sets, pa.list_(pa.int64()))], ["id", "size", "shingles"])
+
+    sets = cut(texts.mapInArrow(run, "id long, size int, shingles array<long>").filter("size > 0").join(clusters, "id"))
+    blocks = sets.groupBy("component_id").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")).filter("blocks > 1")
+    met = sets.join(F.broadcast(blocks), "component_id", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    met = met.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.filter("own <> other or blocks = 1").select("component_id", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "id", "shingles")
+
+    def exact(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        held = [np.asarray(x.values, np.int64) for x in t.column("shingles")]
+        ids = t.column("id").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        src, dst = similar(ids[order], [held[k] for k in order], least)
+        return pa.table({"src": pa.array(src), "dst": pa.array(dst)})
+
+    return met.groupBy("component_id", "one", "two").applyInArrow(exact, "src long, dst long")
+
+
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """Per row of ``docs``: its id and ``component_id``, the least id reached by links of texts whose sets
+    of ``shingle``-word shingles have a Jaccard similarity of at least ``least``.
+
+    Equal sets meet in one node.  Bands of MinHashes and sketches propose pairs; their components are
+    the clusters within which every link is verified.  Ids and odd texts as in ``near_duplicates``."""
+    prints = cut(shingle_sets(docs, id_col, text_col, shingle))
+    nodes = cut(prints.filter("id is not null").groupBy("key", "more").agg(F.min(F.struct("id", "rank", "s1", "s2", "bands")).alias("n")).select("key", "more", "n.*"))
+    tree = cut(tree_of(nodes.filter("bands is not null").select(F.explode("bands").alias("bucket"), "rank", "s1", "s2", "id")))
+    # the sketch's first word stands for the fingerprint: its differing bits are among the sketch's
+    near_ = components(links(tree, APART, APART))
+    clusters = cut(near_.unionByName(near_.select(F.col("component_id").alias("id"), "component_id")).distinct())
+    found = components(verified(docs, clusters, id_col, text_col, shingle, least))
+    named = nodes.join(found, "id", "left").select("key", "more", F.coalesce("component_id", "id").alias("component_id"))
+    return prints.select("id", "key", "more").join(named, ["key", "more"], "left").select(F.col("id").alias(id_col), "component_id")
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more: object) -> DataFrame:
-    """``docs`` with one document of each group of copies, that of the least id.  Copies share shingles
-    of five words at a similarity of 0.8 or so: fingerprints differ in at most 14 bits and sketches in
-    at most 17 of 128, where 0.8 gives 13 on average; ``more`` replaces these.
+    """``docs`` with one document of each group of ``copies``, that of the least id.
 
     Rows without an id stay, as nothing can name them; of rows with the same id one stays."""
-    found = near_duplicates(docs, id_col, text_col, **({"shingle": 5, "most": 14, "patterns": sampled_patterns(), "apart": 17} | more))
+    found = copies(docs, id_col, text_col, **more)
     hold = "__id__"
     stays = cut(found.filter(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias(hold)).agg(F.count("*").alias("n")))
     kept = docs.join(stays.select(hold), docs[id_col].cast("long") == stays[hold], "left_semi")

@@ -147,6 +147,34 @@ def test_copies_at_word_similarity(spark):
     assert len(kept & set(close)) <= 0.03 * len(close) and len(close) > 100
 
 
+def test_copies_equal_brute_force(spark, monkeypatch):
+    """Pairs at 0.5 to 0.85 and a crowd of several blocks: the links are those of an exact similarity of 0.8."""
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    r = random.Random(5)
+    say = lambda n: [f"w{r.randrange(3000)}" for _ in range(n)]
+    texts, crowd = [], say(150)
+    for k in range(300):
+        a = say(r.randint(60, 300))
+        b = list(a)
+        for p in r.sample(range(len(b)), int(len(b) * r.uniform(0.015, 0.08))):
+            b[p] = "changed"
+        texts += [a, b]
+    for k in range(90):
+        b = list(crowd)
+        for p in r.sample(range(len(b)), k % 5):
+            b[p] = f"new{k}"
+        texts.append(b)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in texts]
+    low = list(range(len(sets)))
+    links = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if (i >= 600 or j == i + 1) and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    while any(low[i] != low[j] for i, j in links):
+        for i, j in links:
+            low[i] = low[j] = min(low[i], low[j])
+    rows = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+    got = {x["doc_id"]: x["component_id"] for x in simhash.copies(rows).collect()}
+    assert got == dict(enumerate(low)) and 20 < sum(k != v for k, v in got.items() if k < 600) < 250
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(100, 160)] + [(200, k) for k in range(201, 260)] + [(7, 3), (3, 7), (5, 5)]
     got = {r["id"]: r["component_id"] for r in simhash.components(spark.createDataFrame(edges, "src long, dst long")).collect()}
