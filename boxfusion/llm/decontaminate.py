@@ -4,11 +4,13 @@ Texts become templates: numbers, names and units turn into typed placeholders.
 tokens of documents and benchmark items meet in a hash join.  Windows of one item at one distance
 between the two texts form an alignment; its placeholders must be filled consistently, so that one
 value of the item always stands for one value of the document, which tells re-parameterised
-questions from texts that happen to share a pattern."""
+questions from texts that happen to share a pattern.  Windows that hold a value that stands for
+several do not count, unless they are verbatim."""
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -161,10 +163,38 @@ def _vocabulary(benchmark: DataFrame, text_col: str) -> np.ndarray:
     return np.sort(np.array([r["token"] for r in rows], np.int64).view(np.uint64))
 
 
+def judge(windows: list[tuple[int, list[str], list[str]]]) -> tuple[list[int], bool]:
+    """Of the windows (place in the item, its slots, the document's slots) of one alignment: the places
+    that count, and whether the slots of all map one to one.
+
+    Windows that hold a value of the item that stands for several are left out, but never verbatim
+    ones.  Several values of the item may stand for one."""
+    stands: dict[str, set[str]] = defaultdict(set)
+    back: dict[str, set[str]] = defaultdict(set)
+    for _, theirs, mine in windows:
+        for x, y in zip(theirs, mine, strict=True):
+            stands[x].add(y)
+            back[y].add(x)
+    places = {p for p, theirs, mine in windows if theirs == mine or all(len(stands[x]) == 1 for x in theirs)}
+    return sorted(places), all(len(v) == 1 for v in (*stands.values(), *back.values()))
+
+
+def _judged(met: DataFrame) -> DataFrame:
+    """(doc, item, places, slots, consistent) for each alignment; it has no more windows than the item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [judge([(w["item_place"], w["item_slots"], w["slots"]) for w in x]) for x in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[0] for x in found], pa.list_(pa.int32())), b.column(2), pa.array([x[1] for x in found], pa.bool_())], ["doc", "item", "places", "slots", "consistent"])
+
+    each = met.groupBy("doc", "item", "lag").agg(F.max(F.size("slots")).alias("slots"), F.collect_set(F.struct("item_place", "item_slots", "slots")).alias("windows"))
+    return each.select("doc", "item", "slots", "windows").mapInArrow(run, "doc long, item long, places array<int>, slots int, consistent boolean")
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, most_windows: int = 2_000_000) -> DataFrame:
     """(doc, item, matched, item_windows, coverage, slots, consistent): for each document and item that
-    share template windows, the item's windows found in alignments whose slots are consistent, and
-    whether all alignments are.  Only those join.
+    share template windows, the item's windows found with consistent slots, and whether the slots of
+    all alignments map one to one.
 
     Benchmarks of up to ``most_windows`` distinct windows are sent to the tasks, which then leave
     out windows that cannot join; beyond it all windows of the documents join.  Null and empty texts
@@ -180,13 +210,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     total = items.groupBy("item").agg(F.countDistinct("item_place").alias("item_windows"))
     met = windows(docs, id_col, text_col, lengths or [window], window, only).join(items, "hash").withColumn("lag", F.col("place") - F.col("item_place"))
     met = cut(met.filter(F.size("slots") == F.size("item_slots")))
-    slots = met.select("doc", "item", "lag", F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).select("doc", "item", "lag", "s.item_slots", "s.slots").distinct()
-    bad = slots.groupBy("doc", "item", "lag", "item_slots").count().filter("count > 1").select("doc", "item", "lag")
-    bad = bad.unionByName(slots.groupBy("doc", "item", "lag", "slots").count().filter("count > 1").select("doc", "item", "lag")).distinct().withColumn("bad", F.lit(True))
-    each = met.join(bad, ["doc", "item", "lag"], "left").withColumn("bad", F.coalesce("bad", F.lit(False)))
-    found = each.groupBy("doc", "item").agg(
-        F.countDistinct(F.when(~F.col("bad"), F.col("item_place"))).alias("matched"), F.max(F.size("slots")).alias("slots"), (~F.bool_or("bad")).alias("consistent")
-    )
+    found = _judged(met).select("doc", "item", "slots", "consistent", F.explode_outer("places").alias("place")).groupBy("doc", "item")
+    found = found.agg(F.countDistinct("place").alias("matched"), F.max("slots").alias("slots"), F.bool_and("consistent").alias("consistent"))
     return found.join(total, "item").select("doc", "item", "matched", "item_windows", (F.col("matched") / F.col("item_windows")).alias("coverage"), "slots", "consistent")
 
 

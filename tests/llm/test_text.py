@@ -229,6 +229,19 @@ def test_decontamination(spark):
     assert decontaminate.remove(d, b.limit(0)).count() == 7 and decontaminate.remove(d.limit(0), b).count() == 0
 
 
+def test_one_edited_slot_hides_no_copy(spark):
+    """One edited occurrence of a repeated name, or two numbers that become one, discount their own windows only."""
+    item = "In the old town the baker Miller sold 12 loaves to each of his best friends before noon and then the same Miller gave 7 of the loaves that were left to the poor people of the town near the river and went home where Miller slept"
+    texts = [item, item.replace("same Miller", "same Smith"), item.replace("12", "5").replace(" 7 ", " 5 "), item.replace("same Miller", "same Smith").replace("12", "9")]
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    d = spark.createDataFrame([(k, f"Once more. {t}") for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc"]: r for r in decontaminate.matches(d, b).collect()}
+    assert got[0]["coverage"] == got[2]["coverage"] == 1 and got[0]["consistent"] and not got[1]["consistent"]
+    assert got[1]["item_windows"] - got[1]["matched"] == 8 and 0 < got[3]["matched"] < got[1]["matched"]
+    assert {0, 1, 2} <= {r["doc"] for r in decontaminate.contaminated(d, b).collect()}
+    assert decontaminate.judge([(0, ["1a"], ["1b"]), (1, ["1a"], ["1c"]), (2, ["1a"], ["1a"]), (3, ["1d"], ["1b"])]) == ([2, 3], False)
+
+
 def test_decontamination_equals_brute_force(spark, docs, plain):
     bench = pd.read_parquet(f"{SF}/benchmark.parquet")
     got = {(r["doc_id"], r["item_id"]) for r in queries.op5_decontamination(spark, SF).collect()}
