@@ -29,6 +29,8 @@ SENTENCE_ENDS = frozenset(".!?:;\"”»)…")
 LITERAL, NUM, NAME, UNIT = 0, 1, 2, 3
 #: Tokens of one window, and how many of them must be literal.
 WINDOW, LEAST_LITERAL = 8, 4
+#: Tokens of an unbroken run of windows that tell a copy, whatever share of the item they are.
+RUN = 13
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SCHEMA = "doc long, place int, hash long, slots array<string>"
 
@@ -179,22 +181,31 @@ def judge(windows: list[tuple[int, list[str], list[str]]]) -> tuple[list[int], b
     return sorted(places), all(len(v) == 1 for v in (*stands.values(), *back.values()))
 
 
+def longest_run(places: list[int]) -> int:
+    """How many of the sorted ``places`` follow one another at most."""
+    most = n = 0
+    for k, p in enumerate(places):
+        n = n + 1 if k and p == places[k - 1] + 1 else 1
+        most = max(most, n)
+    return most
+
+
 def _judged(met: DataFrame) -> DataFrame:
-    """(doc, item, places, slots, consistent) for each alignment; it has no more windows than the item."""
+    """(doc, item, places, slots, consistent, longest) for each alignment; it has no more windows than the item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [judge([(w["item_place"], w["item_slots"], w["slots"]) for w in x]) for x in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[0] for x in found], pa.list_(pa.int32())), b.column(2), pa.array([x[1] for x in found], pa.bool_())], ["doc", "item", "places", "slots", "consistent"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[0] for x in found], pa.list_(pa.int32())), b.column(2), pa.array([x[1] for x in found], pa.bool_()), pa.array([longest_run(x[0]) for x in found], pa.int32())], ["doc", "item", "places", "slots", "consistent", "longest"])
 
     each = met.groupBy("doc", "item", "lag").agg(F.max(F.size("slots")).alias("slots"), F.collect_set(F.struct("item_place", "item_slots", "slots")).alias("windows"))
-    return each.select("doc", "item", "slots", "windows").mapInArrow(run, "doc long, item long, places array<int>, slots int, consistent boolean")
+    return each.select("doc", "item", "slots", "windows").mapInArrow(run, "doc long, item long, places array<int>, slots int, consistent boolean, longest int")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, most_windows: int = 2_000_000) -> DataFrame:
-    """(doc, item, matched, item_windows, coverage, slots, consistent): for each document and item that
+    """(doc, item, matched, item_windows, coverage, slots, consistent, run): for each document and item that
     share template windows, the item's windows found with consistent slots, and whether the slots of
-    all alignments map one to one.
+    all alignments map one to one; ``run``: tokens of the longest run of such windows in one alignment.
 
     Benchmarks of up to ``most_windows`` distinct windows are sent to the tasks, which then leave
     out windows that cannot join; beyond it all windows of the documents join.  Null and empty texts
@@ -210,14 +221,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     total = items.groupBy("item").agg(F.countDistinct("item_place").alias("item_windows"))
     met = windows(docs, id_col, text_col, lengths or [window], window, only).join(items, "hash").withColumn("lag", F.col("place") - F.col("item_place"))
     met = cut(met.filter(F.size("slots") == F.size("item_slots")))
-    found = _judged(met).select("doc", "item", "slots", "consistent", F.explode_outer("places").alias("place")).groupBy("doc", "item")
-    found = found.agg(F.countDistinct("place").alias("matched"), F.max("slots").alias("slots"), F.bool_and("consistent").alias("consistent"))
-    return found.join(total, "item").select("doc", "item", "matched", "item_windows", (F.col("matched") / F.col("item_windows")).alias("coverage"), "slots", "consistent")
+    found = _judged(met).select("doc", "item", "slots", "consistent", "longest", F.explode_outer("places").alias("place")).groupBy("doc", "item")
+    found = found.agg(F.countDistinct("place").alias("matched"), F.max("slots").alias("slots"), F.bool_and("consistent").alias("consistent"), F.max("longest").alias("longest"))
+    return found.join(total, "item").select("doc", "item", "matched", "item_windows", (F.col("matched") / F.col("item_windows")).alias("coverage"), "slots", "consistent", (F.col("longest") + (window - 1)).alias("run"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, **more: object) -> DataFrame:
-    """``matches`` that cover at least ``least`` of an item's windows."""
-    return matches(docs, benchmark, id_col, text_col, **more).filter(F.col("coverage") >= least)
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, run: int = RUN, **more: object) -> DataFrame:
+    """``matches`` that cover at least ``least`` of an item's windows, or ``run`` tokens of it on end."""
+    return matches(docs, benchmark, id_col, text_col, **more).filter((F.col("coverage") >= least) | (F.col("run") >= run))
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, **more: object) -> DataFrame:

@@ -242,6 +242,17 @@ def test_one_edited_slot_hides_no_copy(spark):
     assert decontaminate.judge([(0, ["1a"], ["1b"]), (1, ["1a"], ["1c"]), (2, ["1a"], ["1a"]), (3, ["1d"], ["1b"])]) == ([2, 3], False)
 
 
+def test_long_quotation_of_a_long_item(spark):
+    r = random.Random(4)
+    item = [f"word{''.join(r.choices('abcdefgh', k=6))}" for _ in range(500)]
+    d = spark.createDataFrame([(1, " ".join(["Before it."] + item[100:300])), (2, " ".join(item[40:50])), (3, "Nothing of it at all is in this text here.")], "doc_id long, text string")
+    b = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r["doc"]: r for r in decontaminate.matches(d, b).collect()}
+    assert got[1]["run"] == 200 and got[1]["coverage"] < 0.4 and got[2]["run"] == 10
+    assert [r["doc"] for r in decontaminate.contaminated(d, b).collect()] == [1]
+    assert decontaminate.longest_run([]) == 0 and decontaminate.longest_run([1, 2, 5, 6, 7, 9]) == 3
+
+
 def test_decontamination_equals_brute_force(spark, docs, plain):
     bench = pd.read_parquet(f"{SF}/benchmark.parquet")
     got = {(r["doc_id"], r["item_id"]) for r in queries.op5_decontamination(spark, SF).collect()}
