@@ -31,6 +31,8 @@ LITERAL, NUM, NAME, UNIT = 0, 1, 2, 3
 WINDOW, LEAST_LITERAL = 8, 4
 #: Tokens of an unbroken run of windows that tell a copy, whatever share of the item they are.
 RUN = 13
+#: Sets hashes of exact windows apart from those of template windows.
+EXACT = np.uint64(0xD6E8FEB86659FD93)
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SCHEMA = "doc long, place int, hash long, slots array<string>"
 
@@ -114,10 +116,30 @@ def window_hashes(tokens: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-def windows(texts: DataFrame, id_col: str, text_col: str, lengths: list[int] | None, window: int, only: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+def exact_hashes(words: list[str], n: int) -> np.ndarray:
+    """Hashes of the windows of ``n`` words as they are, but for case and edges."""
+    h = [xxh64_intdigest((w.strip(EDGE) or w).lower().encode("utf-8", "surrogatepass")) for w in words]
+    return window_hashes(np.array(h, np.uint64), n) ^ EXACT
+
+
+def places(kinds: np.ndarray, n: int) -> np.ndarray:
+    """Where windows of ``n`` tokens with enough literal ones begin."""
+    literal = np.r_[0, np.cumsum(kinds == LITERAL)]
+    return np.flatnonzero(literal[n:] - literal[:-n] >= min(LEAST_LITERAL, n))
+
+
+def needs_exact(kinds: np.ndarray, window: int) -> bool:
+    """Whether an item of these tokens is one window, whose first token may be a name elsewhere, or has
+    no window with enough literal tokens."""
+    return len(kinds) <= window or not len(places(kinds, window))
+
+
+def windows(texts: DataFrame, id_col: str, text_col: str, lengths: list[int] | None, window: int, only: tuple[np.ndarray, np.ndarray] | None = None, exact: list[int] | None = None) -> DataFrame:
     """(doc, place, hash, slots) for all windows with enough literal tokens of each text; if ``only``
     (token hashes, window hashes; both sorted) is given, for those found in it.  ``lengths``: of the
-    windows; None takes one length for each text, ``window`` or all its words if it has fewer."""
+    windows; None takes one length for each text, ``window`` or all its words if it has fewer, and
+    adds exact windows where ``needs_exact``, and a single window as it is amid a sentence.
+    ``exact``: lengths of exact windows to add otherwise."""
     arrow_rows(texts.sparkSession)
     shared = texts.sparkSession.sparkContext.broadcast(only)
 
@@ -134,8 +156,8 @@ def windows(texts: DataFrame, id_col: str, text_col: str, lengths: list[int] | N
                     if not 0 < n <= len(h):
                         continue
                     runs = np.r_[0, np.cumsum(good)]
-                    literal = np.r_[0, np.cumsum(kinds == LITERAL)]
-                    at = np.flatnonzero((runs[n:] - runs[:-n] == n) & (literal[n:] - literal[:-n] >= min(LEAST_LITERAL, n)))
+                    at = places(kinds, n)
+                    at = at[runs[at + n] - runs[at] == n]
                     if not len(at):
                         continue
                     v = window_hashes(h, n)[at]
@@ -147,6 +169,18 @@ def windows(texts: DataFrame, id_col: str, text_col: str, lengths: list[int] | N
                         out[1].append(p)
                         out[2].append(x)
                         out[3].append([f"{kinds[k]}{words[k].strip(EDGE)}" for k in range(p, p + n) if kinds[k] != LITERAL])
+                if lengths is None and 0 < len(h) <= window:
+                    _, h2, kinds2, _ = tokens.of(f"x {text}")  # the first word amid a sentence
+                    if h2[1] != h[0] and len(places(kinds2[1:], len(h))):
+                        slots = [f"{k}{w.strip(EDGE)}" for k, w in zip(kinds2[1:].tolist(), words, strict=True) if k != LITERAL]
+                        for column, x in zip(out, (doc, 0, int(window_hashes(h2[1:], len(h)).view(np.int64)[0]), slots), strict=True):
+                            column.append(x)
+                for n in (exact or []) if lengths is not None else [min(window, len(h))] if len(h) and needs_exact(kinds, window) else []:
+                    v = exact_hashes(words, n)
+                    at = np.flatnonzero(member(known[1], v)) if known is not None else np.arange(len(v))
+                    for p in at.tolist():
+                        for column, x in zip(out, (doc, p, int(v[p : p + 1].view(np.int64)[0]), []), strict=True):
+                            column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.list_(pa.string()))], ["doc", "place", "hash", "slots"])
 
     return texts.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
@@ -159,7 +193,7 @@ def _vocabulary(benchmark: DataFrame, text_col: str) -> np.ndarray:
         tokens = Tokens()
         for b in batches:
             for t in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(tokens.of(t or "")[1]).view(np.int64), pa.int64())], ["token"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.union1d(tokens.of(t or "")[1], tokens.of(f"x {t or ''}")[1][1:]).view(np.int64), pa.int64())], ["token"])
 
     rows = benchmark.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "token long").distinct().collect()
     return np.sort(np.array([r["token"] for r in rows], np.int64).view(np.uint64))
@@ -202,6 +236,19 @@ def _judged(met: DataFrame) -> DataFrame:
     return each.select("doc", "item", "slots", "windows").mapInArrow(run, "doc long, item long, places array<int>, slots int, consistent boolean, longest int")
 
 
+def _lengths(benchmark: DataFrame, text_col: str, window: int) -> tuple[list[int], list[int]]:
+    """Lengths of the items' windows, and of those of items that need exact ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens()
+        for b in batches:
+            found = {(min(window, len(kinds)), needs_exact(kinds, window)) for kinds in (tokens.of(t or "")[2] for t in b.column(0).to_pylist()) if len(kinds)}
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.bool_())], ["n", "exact"])
+
+    rows = benchmark.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "n int, exact boolean").distinct().collect()
+    return sorted({r["n"] for r in rows}), sorted({r["n"] for r in rows if r["exact"]})
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, most_windows: int = 2_000_000) -> DataFrame:
     """(doc, item, matched, item_windows, coverage, slots, consistent, run): for each document and item that
     share template windows, the item's windows found with consistent slots, and whether the slots of
@@ -209,17 +256,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
     Benchmarks of up to ``most_windows`` distinct windows are sent to the tasks, which then leave
     out windows that cannot join; beyond it all windows of the documents join.  Null and empty texts
-    have no windows; items of fewer than ``window`` words are one window; equal ids count as one
+    have no windows; items of fewer than ``window`` words are one window; items of one window, or
+    without a window of enough literal tokens, are also found word for word; equal ids count as one
     document; empty tables give no rows."""
     items = cut(windows(benchmark, item_col, item_text_col, None, window).withColumnsRenamed({"doc": "item", "place": "item_place", "slots": "item_slots"}))
-    item_lengths = benchmark.select(F.least(F.lit(window), F.size(F.split(F.trim(F.coalesce(F.col(item_text_col), F.lit(""))), r"\s+"))).alias("n")).distinct()
-    lengths = sorted(r["n"] for r in item_lengths.collect() if r["n"])  # at most ``window`` of them
+    lengths, exact = _lengths(benchmark, item_text_col, window)  # at most ``window`` of either
     only = None
     hashes = items.select("hash").distinct()
     if hashes.limit(most_windows + 1).count() <= most_windows:
         only = _vocabulary(benchmark, item_text_col), np.sort(np.array([r["hash"] for r in hashes.collect()], np.int64).view(np.uint64))
     total = items.groupBy("item").agg(F.countDistinct("item_place").alias("item_windows"))
-    met = windows(docs, id_col, text_col, lengths or [window], window, only).join(items, "hash").withColumn("lag", F.col("place") - F.col("item_place"))
+    met = windows(docs, id_col, text_col, lengths or [window], window, only, exact).join(items, "hash").withColumn("lag", F.col("place") - F.col("item_place"))
     met = cut(met.filter(F.size("slots") == F.size("item_slots")))
     found = _judged(met).select("doc", "item", "slots", "consistent", "longest", F.explode_outer("places").alias("place")).groupBy("doc", "item")
     found = found.agg(F.countDistinct("place").alias("matched"), F.max("slots").alias("slots"), F.bool_and("consistent").alias("consistent"), F.max("longest").alias("longest"))

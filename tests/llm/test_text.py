@@ -253,6 +253,15 @@ def test_long_quotation_of_a_long_item(spark):
     assert decontaminate.longest_run([]) == 0 and decontaminate.longest_run([1, 2, 5, 6, 7, 9]) == 3
 
 
+def test_items_without_a_literal_window(spark):
+    items = ["Compute 12 * 7", "Alice 12, Bob 7, Carol 9, David 11, Erin 14, Frank 21", "\nName the longest river of Africa\n", "Paris is big"]
+    texts = ["We had to compute 12 * 7 then.", f"See {items[1]} there.", f"and then {items[2].strip()} was asked", "they said Paris is big again", "Compute 13 * 7", "Paris was big"]
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for most in (2_000_000, 0):
+        assert sorted((r["doc"], r["item"]) for r in decontaminate.contaminated(d, b, most_windows=most).collect()) == [(0, 0), (1, 1), (2, 2), (3, 3)]
+
+
 def test_decontamination_equals_brute_force(spark, docs, plain):
     bench = pd.read_parquet(f"{SF}/benchmark.parquet")
     got = {(r["doc_id"], r["item_id"]) for r in queries.op5_decontamination(spark, SF).collect()}
