@@ -41,7 +41,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold at least half of a benchmark item's template windows."""
+    """Documents that hold at least half of a benchmark item's template windows, or 13 tokens of it on end."""
     found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "matched", "item_windows", "coverage", "slots", "consistent")
 
