@@ -7,16 +7,18 @@ from __future__ import annotations
 import random
 
 WORDS = "river market winter letter garden teacher machine window history music village science open early quiet second public found carry build watch known light under north between".split()
-MENUS = ("<nav>{links}</nav>", '<div class="menu">{links}</div>', '<ul id="nav" class="navbar">{links}</ul>', '<div class="breadcrumb">{links}</div>', '<div role="navigation">{links}</div>')
+MENUS = ("<nav>{links}</nav>", '<div class="menu">{links}</div>', '<ul id="nav" class="navbar">{links}</ul>', '<div class="breadcrumb">{links}</div>', '<div role="navigation">{links}</div>', '<div class="topnav toolbar">{links}</div>', '<div class="pagination pager">{links}</div>', '<ul class="breadcrumbs">{links}</ul>', "<menu>{links}</menu>")
 HEADERS = ("<header><h2>{title}</h2>{links}</header>", '<div id="header"><h1>{title}</h1><p>{short}</p></div>', '<div class="masthead top">{short}</div>')
 ASIDES = (
     "<aside><h3>{title}</h3><p>{text}</p>{links}</aside>", '<div class="sidebar"><h3>{title}</h3><p>{text}</p></div>', '<div class="related widget">{links}</div>',
     '<div class="ad">{text}</div>', '<div class="advert banner"><p>{text}</p></div>', '<div id="ads" class="sponsored promo">{short}</div>', '<section class="promo">{text}</section>',
     '<div class="cookie notice"><p>{text}</p></div>', '<div id="consent" class="alert banner">{text}</div>', '<div class="newsletter popup"><p>{text}</p></div>', '<div role="banner" class="notice">{text}</div>',
     '<form action="/s"><label>{short}</label><input name="q"><p>{short}</p></form>', '<form class="signup login"><fieldset><legend>{title}</legend><p>{text}</p></fieldset></form>', '<div class="share social">{links}</div>',
+    '<div class="recommended popular">{links}</div>', '<div class="trending"><p>{text}</p></div>', '<div class="sponsor advertisement">{text}</div>', '<div class="gdpr cookies">{text}</div>', '<div class="modal overlay"><p>{text}</p></div>', "<dialog><p>{text}</p></dialog>",
+    '<div class="subscribe subscription"><h3>{title}</h3><p>{text}</p></div>', '<div class="disclaimer"><p>{text}</p></div>', '<div class="search"><p>{short}</p></div>', '<div class="sharing"><p>{short}</p>{links}</div>',
 )
-COMMENTS = ('<div class="comments"><h3>{title}</h3><div class="comment"><p>{text}</p></div><p>{text}</p></div>', '<section id="comments"><ol class="commentlist"><li><p>{text}</p></li></ol></section>', '<div id="respond" class="discussion replies"><p>{text}</p></div>')
-FOOTERS = ("<footer>{short} {text}</footer>", '<div id="footer"><p>{text}</p>{links}</div>', '<footer class="bottom legal"><p>{text}</p></footer>', '<div class="copyright">{short}</div>')
+COMMENTS = ('<div class="comments"><h3>{title}</h3><div class="comment"><p>{text}</p></div><p>{text}</p></div>', '<section id="comments"><ol class="commentlist"><li><p>{text}</p></li></ol></section>', '<div id="respond" class="discussion replies"><p>{text}</p></div>', '<div id="disqus" class="reactions"><div class="reply"><p>{text}</p></div></div>')
+FOOTERS = ("<footer>{short} {text}</footer>", '<div id="footer"><p>{text}</p>{links}</div>', '<footer class="bottom legal"><p>{text}</p></footer>', '<div class="copyright">{short}</div>', '<div class="colophon"><p>{text}</p></div>')
 MAINS = ("<article>{main}</article>", "<main><article>{main}</article></main>", '<div id="content">{main}</div>', '<div class="post entry"><div class="entry content">{main}</div></div>', "<main>{main}</main>", '<article class="story"><header><h1>{head}</h1></header>{main}</article>', '<section class="article body text">{main}</section>', '<div role="main">{main}</div>')
 
 
