@@ -20,13 +20,22 @@ BATCH_ROWS = 512
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints: the one that the cluster names in ``spark.checkpoint.dir``; where
-    none is named, as in tests, one of its own."""
+    none is named, as in tests, one of its own on this machine, but only if all runs on it."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc.getCheckpointDir()
 
 
+def refuse_reserved(df: DataFrame) -> None:
+    """Column names in double underscores are the operators' own."""
+    if taken := [c for c in df.columns if c.startswith("__") and c.endswith("__")]:
+        raise ValueError(f"columns of reserved names: {', '.join(taken)}")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a checkpoint in the shared folder."""
     shared_folder(df.sparkSession)

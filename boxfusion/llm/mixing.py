@@ -3,10 +3,12 @@
 Every document has a fixed 36-bit hash.  The sizes of a source's documents are summed by hash
 bucket; running sums tell up to which bucket the budget reaches, and only the bucket on the
 boundary is looked at again, twice, by further bits.  What remains is one hash threshold for each
-source, so that documents are chosen by a filter: nothing is sorted, and a larger budget always
-holds what a smaller one holds.  Budgets beyond one pass over a source give whole copies of it and
-a threshold for the remainder; one document beyond the threshold, of the size that fits best, closes
-the gap that whole documents leave.
+source, so that documents are chosen by a filter: they are not sorted, and thresholds are nested,
+that of a larger budget being no lower.  Budgets beyond one pass over a source give whole copies of it and
+a threshold for the remainder.
+
+Whole documents leave a gap at the threshold.  Unless ``fill`` is off, one document beyond it, of the
+size that fits best, closes the gap; it is the one document that a mix of a larger budget may lack.
 """
 
 from __future__ import annotations
@@ -14,15 +16,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import count_words, cut
+from .common import count_words, cut, refuse_reserved
 
 #: Bits of the hash that each round of histograms resolves.
 LEVELS = (10, 13, 13)
 
 
-def row_hash(key: Column) -> Column:
-    """36 bits that depend on ``key`` alone, equal in every engine that has MD5."""
-    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 9), 16, 10).cast("long")
+def row_hash(key: Column, text: Column | None = None) -> Column:
+    """36 bits that depend on ``key`` and ``text`` alone, equal in every engine that has MD5."""
+    parts = [F.coalesce(c.cast("string"), F.lit("")) for c in (key, text) if c is not None]
+    return F.conv(F.substring(F.md5(F.concat_ws(" ", *parts)), 1, 9), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], most: float) -> DataFrame:
@@ -64,13 +67,13 @@ def _key(source: Column) -> Column:
 def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, size: Column | None) -> tuple[Column, Column, Column]:
     """Key of the source, size and hash of a row of ``docs``."""
     words = F.coalesce(size.cast("long"), F.lit(0)) if size is not None else count_words(F.col(text_col).cast("string"))
-    return _key(F.col(source_col).cast("string")), words, row_hash(F.col(id_col))
+    return _key(F.col(source_col).cast("string")), words, row_hash(F.col(id_col), F.col(text_col) if text_col in docs.columns else None)
 
 
-def plan_mix(slim: DataFrame, weights: tuple[float, ...], most: int) -> tuple[DataFrame, DataFrame]:
+def plan_mix(slim: DataFrame, weights: tuple[float, ...], most: int, fill: bool = True) -> tuple[DataFrame, DataFrame]:
     """Of ``slim`` (key, source, size, hash): the first histogram (key, bucket, words), and for each key
     source_size, target, copies (whole ones), limit (hashes below it are taken once more) and extra
-    (so is this one hash)."""
+    (so is this one hash; -1 if none)."""
     shift = sum(LEVELS) - LEVELS[0]
     first = cut(slim.groupBy("key", "source", F.shiftright("hash", shift).alias("bucket")).agg(F.sum("size").alias("words")))
     totals = first.groupBy("source").agg(F.sum("words").alias("source_size"))
@@ -85,55 +88,67 @@ def plan_mix(slim: DataFrame, weights: tuple[float, ...], most: int) -> tuple[Da
         edge = edge.select("key", "need", F.col("bucket").alias("upper"))
         inside = slim.withColumn("upper", F.shiftright("hash", shift + width)).join(edge, ["key", "upper"])
         edge = boundary(inside.groupBy("key", "need", "upper", F.shiftright("hash", shift).alias("bucket")).agg(F.sum("size").alias("words")))
-    # below the boundary's last bucket all are taken; then that one of the rest that comes nearest to
-    # what is missing.  Sources are parted by bucket again, so that none meets in one task
-    edge = edge.select("key", F.col("bucket").alias("limit"), F.col("need").alias("rest"))
-    place = F.shiftright("hash", sum(LEVELS) - LEVELS[0]).alias("bucket")
-    cells = slim.groupBy("key", place, "hash").agg(F.sum("size").alias("words"))
-    open_ = cells.join(first.select("key", "bucket").join(edge, "key"), ["key", "bucket"]).filter((F.col("hash") >= F.col("limit")) & (F.abs(F.col("words") - F.col("rest")) < F.col("rest")))
-    extra = open_.groupBy("key").agg(F.min(F.struct(F.abs(F.col("words") - F.col("rest")).alias("off"), "hash")).alias("e")).select("key", F.col("e.hash").alias("extra"))
+    if not fill:  # the document on the boundary is taken if that comes nearer to the target
+        edge = edge.select("key", (F.col("bucket") + (2 * F.col("need") >= F.col("words")).cast("long")).alias("limit"), F.lit(-1).cast("long").alias("extra"))
+    else:
+        # below the boundary's last bucket all are taken; then that one of the rest that comes nearest to
+        # what is missing.  Sources are parted by bucket again, so that none meets in one task
+        edge = cut(edge.select("key", F.col("bucket").alias("limit"), F.col("need").alias("rest")))
+        place = F.shiftright("hash", sum(LEVELS) - LEVELS[0])
+        beyond = first.select("key", "bucket").join(edge, "key").filter(F.col("bucket") >= F.shiftright("limit", sum(LEVELS) - LEVELS[0]))
+        open_ = slim.withColumn("bucket", place).join(beyond, ["key", "bucket"]).filter(F.col("hash") >= F.col("limit"))
+        open_ = open_.groupBy("key", "hash", "rest").agg(F.sum("size").alias("words")).filter(F.abs(F.col("words") - F.col("rest")) < F.col("rest"))
+        extra = open_.groupBy("key").agg(F.min(F.struct(F.abs(F.col("words") - F.col("rest")).alias("off"), "hash")).alias("e")).select("key", F.col("e.hash").alias("extra"))
+        edge = edge.join(extra, "key", "left")
     everything = F.when((F.col("need") > 0) & (F.col("copies") < most), F.lit(1 << sum(LEVELS))).otherwise(F.lit(0))
-    plan = plan.join(edge, "key", "left").join(extra, "key", "left")
-    return first, plan.withColumns({"limit": F.coalesce("limit", everything), "extra": F.coalesce("extra", F.lit(-1))}).drop("need", "rest")
+    plan = plan.join(edge, "key", "left").withColumns({"limit": F.coalesce("limit", everything), "extra": F.coalesce("extra", F.lit(-1))})
+    return first, cut(plan.drop("need", "rest"))
+
 
+def _met(rows: DataFrame, first: DataFrame, plan: DataFrame, most_sent: int) -> DataFrame:
+    """``rows`` (__key__, __bucket__ and others) with their source's plan: it goes to every task if it has at most
+    ``most_sent`` sources, else rows meet it by source and hash bucket, so that those of a hot source do so in many tasks."""
+    plan = plan.select(*[F.col(c).alias(f"__{c}__") for c in plan.columns])
+    if plan.limit(most_sent + 1).count() <= most_sent:
+        return rows.join(F.broadcast(plan), "__key__")
+    return rows.join(first.select(F.col("key").alias("__key__"), F.col("bucket").alias("__bucket__")).join(plan, "__key__"), ["__key__", "__bucket__"])
 
-def _once_more(hash_: Column, limit: Column, extra: Column) -> Column:
-    return ((hash_ < limit) | (hash_ == extra)).cast("long")
 
+def _copies() -> Column:
+    once_more = (F.col("__hash__") < F.col("__limit__")) | (F.col("__hash__") == F.col("__extra__"))
+    return F.col("__copies__") + once_more.cast("long")
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), most: int = 3, size: Column | None = None) -> DataFrame:
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), most: int = 3, size: Column | None = None, most_sent: int = 20_000, fill: bool = True) -> DataFrame:
     """Per row of ``docs``: its id, size (words unless ``size`` is given), source_size, target and
     taken, the words that the mix takes of it, repeats counted.
 
-    Null texts and sizes count 0; a null source is a source of its own; rows with equal ids are
+    Null texts and sizes count 0; a null source is a source of its own, an empty one another; rows of equal id and text are
     taken together or not at all; an empty table gives no rows.  Each source's taken words differ
-    from its target by at most half the words of the document on the boundary, and as a rule by far
-    less, since of all documents beyond it the one that fills the gap best is taken too.  No document is taken more than ``most`` times."""
+    from its target by at most half the words of the document on the boundary, and with ``fill`` as a rule by far
+    less, since of all documents beyond it the one that fills the gap best is taken too.  Without
+    ``fill`` a mix of a larger budget holds all that one of a smaller budget holds.  No document is taken
+    more than ``most`` times.  Columns of any other name have no bearing."""
     key, words, place = _sizes(docs, id_col, text_col, source_col, size)
     slim = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), key.alias("key"), words.alias("size"), place.alias("hash")))
-    first, plan = plan_mix(slim, weights, most)
-    # one row for each source and bucket: rows of a hot source meet it in many tasks
-    by_bucket = first.select("key", "bucket").join(plan, "key")
-    found = slim.withColumn("bucket", F.shiftright("hash", sum(LEVELS) - LEVELS[0])).join(by_bucket, ["key", "bucket"])
-    return found.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * (F.col("copies") + _once_more(F.col("hash"), F.col("limit"), F.col("extra")))).cast("long").alias("taken"))
+    first, plan = plan_mix(slim, weights, most, fill)
+    rows = slim.select("id", "size", F.col("key").alias("__key__"), F.col("hash").alias("__hash__"), F.shiftright("hash", sum(LEVELS) - LEVELS[0]).alias("__bucket__"))
+    found = _met(rows, first, plan, most_sent)
+    return found.select(F.col("id").alias(id_col), "size", F.col("__source_size__").alias("source_size"), F.col("__target__").alias("target"), (F.col("size") * _copies()).cast("long").alias("taken"))
 
 
-def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), most: int = 3, size: Column | None = None, most_sent: int = 20_000) -> DataFrame:
+def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), most: int = 3, size: Column | None = None, most_sent: int = 20_000, fill: bool = True) -> DataFrame:
     """The rows of ``docs`` that the mix takes, with ``size``, ``taken`` and ``copies`` (taken / size).
-    Rows of size 0 go; columns of ``docs`` of these names give way.  As ``mix`` otherwise.
+    Rows of size 0 go; columns of ``docs`` of these names give way; names in double underscores as
+    ``__key__`` are reserved and refused.  Nulls, ties, repeated rows and empty tables as in ``mix``.
 
     The plan goes to every task if it has at most ``most_sent`` sources, so that texts are not
     shuffled; else rows meet it by source and hash bucket."""
+    refuse_reserved(docs)
     key, words, place = _sizes(docs, id_col, text_col, source_col, size)
     slim = cut(docs.select(F.col(source_col).cast("string").alias("source"), key.alias("key"), words.alias("size"), place.alias("hash")))
-    first, plan = plan_mix(slim, weights, most)
-    plan = cut(plan.select(F.col("key").alias("__key__"), F.col("copies").alias("__copies__"), F.col("limit").alias("__limit__"), F.col("extra").alias("__extra__")))
+    first, plan = plan_mix(slim, weights, most, fill)
     rows = docs.withColumns({"__key__": key, "__size__": words, "__hash__": place, "__bucket__": F.shiftright(place, sum(LEVELS) - LEVELS[0])})
-    if plan.count() <= most_sent:
-        met = rows.join(F.broadcast(plan), "__key__")
-    else:
-        met = rows.join(first.select(F.col("key").alias("__key__"), F.col("bucket").alias("__bucket__")).join(plan, "__key__"), ["__key__", "__bucket__"])
-    copies = F.col("__copies__") + _once_more(F.col("__hash__"), F.col("__limit__"), F.col("__extra__"))
-    met = met.filter((F.col("__size__") > 0) & (copies > 0))
-    new = {"size": F.col("__size__"), "taken": F.col("__size__") * copies, "copies": copies}
-    return met.select(*[c for c in docs.columns if c not in new], *[v.alias(k) for k, v in new.items()])
+    met = _met(rows, first, plan, most_sent).withColumn("__taken__", _copies()).filter("__size__ > 0 and __taken__ > 0")
+    new = {"size": F.col("__size__"), "taken": F.col("__size__") * F.col("__taken__"), "copies": F.col("__taken__")}
+    return met.select(*[F.col(f"`{c}`") for c in docs.columns if c not in new], *[v.alias(k) for k, v in new.items()])

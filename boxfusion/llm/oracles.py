@@ -36,7 +36,7 @@ FROM q
 
 #: Targets: those above the level that the rest share stop at three times their size.
 _OP10 = rf"""
-WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 9))::BIGINT AS h FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ' ' || coalesce(text, '')), 1, 9))::BIGINT AS h FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [1.0, 2.0, 3.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w FROM d GROUP BY source),
 o AS (SELECT *, 3.0::DOUBLE * source_size AS cap, row_number() OVER (ORDER BY 3.0::DOUBLE * source_size / w, source NULLS LAST) AS pos,
         sum(source_size) OVER () AS total, sum(w) OVER () AS weights FROM s),

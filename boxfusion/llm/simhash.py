@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -223,11 +224,13 @@ def dealt(nodes: DataFrame, patterns: list[list[int]]) -> DataFrame:
 
 def leaves(rows: DataFrame) -> DataFrame:
     """Of sorted ``rows`` (bucket, rank, s1, s2, id): leaves of at most LEAF members of one bucket, with
-    the mask and the bits of what they share; rows: code and sketch of each member, one after another."""
-    schema = "bucket long, mask long, bits long, rows array<long>, ids array<long>"
+    a number of their own, the mask and the bits of what they share; rows: code and sketch of each
+    member, one after another.  To be written before it is used twice, as numbers follow from tasks."""
+    schema = "bucket long, leaf long, mask long, bits long, rows array<long>, ids array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = [np.empty(0, np.int64)] * 5
+        number = TaskContext.get().partitionId() << 40
         for b in itertools.chain(batches, [None]):
             if b is not None:
                 held = [np.concatenate([h, np.asarray(b.column(k), np.int64)]) for k, h in enumerate(held)]
@@ -246,9 +249,10 @@ def leaves(rows: DataFrame) -> DataFrame:
                 at = np.r_[begin, last].astype(np.int32)
                 flat = np.stack([code, held[2][:last], held[3][:last]], axis=1).ravel()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[begin]), pa.array(mask), pa.array(bits), pa.ListArray.from_arrays(pa.array(at * 3), pa.array(flat)), pa.ListArray.from_arrays(pa.array(at), pa.array(held[4][:last]))],
-                    ["bucket", "mask", "bits", "rows", "ids"],
+                    [pa.array(bucket[begin]), pa.array(number + np.arange(len(begin))), pa.array(mask), pa.array(bits), pa.ListArray.from_arrays(pa.array(at * 3), pa.array(flat)), pa.ListArray.from_arrays(pa.array(at), pa.array(held[4][:last]))],
+                    ["bucket", "leaf", "mask", "bits", "rows", "ids"],
                 )
+                number += len(begin)
             held = [x[last:] for x in held]
 
     return rows.mapInArrow(run, schema)
@@ -306,11 +310,11 @@ def links(tree: DataFrame, most: int = 4, apart: int | None = None) -> DataFrame
 
     own = tree.filter(F.size("ids") > 1).select("rows", "ids").mapInArrow(within, "src long, dst long")
     many = tree.groupBy("bucket").count().filter("count > 1").select("bucket")
-    heads = tree.select("bucket", F.get("ids", F.lit(0)).alias("leaf"), "mask", "bits").join(many, "bucket")
+    heads = tree.select("bucket", "leaf", "mask", "bits").join(many, "bucket")
     others = heads.select("bucket", F.col("leaf").alias("other"), F.col("mask").alias("other_mask"), F.col("bits").alias("other_bits"))
     differ = F.bit_count(F.col("bits").bitwiseXOR(F.col("other_bits")).bitwiseAND(F.col("mask")).bitwiseAND(F.col("other_mask")))
     pairs = heads.join(others, "bucket").filter((F.col("leaf") < F.col("other")) & (differ <= most)).select("bucket", "leaf", "other")
-    body = tree.select("bucket", F.get("ids", F.lit(0)).alias("leaf"), "rows", "ids")
+    body = tree.select("bucket", "leaf", "rows", "ids")
     joined = pairs.join(body, ["bucket", "leaf"]).join(body.select("bucket", F.col("leaf").alias("other"), F.col("rows").alias("other_rows"), F.col("ids").alias("other_ids")), ["bucket", "other"])
     return own.unionByName(joined.select("rows", "ids", "other_rows", "other_ids").mapInArrow(across, "src long, dst long"))
 

@@ -113,7 +113,7 @@ def test_index_loses_no_link_in_crowds(spark):
     r = random.Random(2)
     codes = sorted({(0xABCDEF << 40) ^ sum(1 << b for b in r.sample(range(22), r.randint(0, 9))) for _ in range(3000)} | {r.getrandbits(64) for _ in range(500)})
     rows = spark.createDataFrame([(int(np.uint64(c).astype(np.int64)), 0, 0, k) for k, c in enumerate(codes)], "code long, s1 long, s2 long, id long")
-    found = simhash.components(simhash.links(simhash.index(rows, simhash.block_patterns(6, 4)))).toPandas()
+    found = simhash.components(simhash.links(simhash.cut(simhash.index(rows, simhash.block_patterns(6, 4))))).toPandas()
     a = np.array(codes, np.uint64)
     low = np.arange(len(a))
     i, j = np.nonzero(np.bitwise_count(a[:, None] ^ a) <= 4)
@@ -128,6 +128,28 @@ def test_index_loses_no_link_in_crowds(spark):
     assert (got == low).all()
 
 
+def test_index_with_repeated_ids(spark):
+    """One id on several codes, and leaves of one bucket that begin with the same id, lose no link."""
+    r = random.Random(9)
+    high = 0xABCDEF << 40
+    codes = sorted({high ^ (r.getrandbits(21) << 8) for _ in range(1200)})
+    by_rank = sorted(codes, key=lambda c: int(simhash.gray_rank(np.array([c], np.uint64))[0]))
+    ids = {c: 7 if k % simhash.LEAF == 0 else 1000 + k for k, c in enumerate(by_rank)}
+    rows = spark.createDataFrame([(int(np.uint64(c).astype(np.int64)), 0, 0, ids[c]) for c in codes], "code long, s1 long, s2 long, id long")
+    tree = simhash.cut(simhash.leaves(simhash.dealt(rows, [list(range(40, 64))]).coalesce(1).sortWithinPartitions("bucket", "rank")))
+    assert tree.filter(F.get("ids", F.lit(0)) == 7).count() >= 2
+    found = {x["id"]: x["component_id"] for x in simhash.components(simhash.links(tree)).collect()}
+    low = {i: i for i in ids.values()}
+    links = [(ids[a], ids[b]) for k, a in enumerate(codes) for b in codes[:k] if bin(a ^ b).count("1") <= 4]
+    while any(low[i] != low[j] for i, j in links):
+        for i, j in links:
+            low[i] = low[j] = min(low[i], low[j])
+    # an id of several codes is one document: what it holds together is one component
+    for _ in range(3):
+        low = {i: low[low[i]] for i in low}
+    assert {i: found.get(i, i) for i in low} == low
+
+
 def test_copies_at_word_similarity(spark):
     """Copies of 0.85 and more are found but for a few; texts of 0.5 and less stay apart."""
     r = random.Random(8)
@@ -192,12 +214,31 @@ def test_toxicity(spark):
 def test_kernel():
     k = toxicity.kernel(["abcd", "a-b-c-d", "wxyz"], ["abcd"])[:, 0]
     assert k[0] == pytest.approx(1.0) and 0.5 < k[1] < 1.0 and k[2] == 0.0
-    m = toxicity.train_words(["idiot", "moron", "stupid"], ["hello", "garden", "window", "river", "those"], ["editor", "idiom"])
+    m = toxicity.train_words({"idiot": 9, "moron": 5, "stupid": 7}, dict.fromkeys(["hello", "garden", "window", "river", "those", "editor", "idiom"], 3))
     v = dict(zip(("idiot", "i.d.i.o.t", "id-iot", "garden", "window"), m.margins(["idiot", "i.d.i.o.t", "id-iot", "garden", "window"]), strict=True))
     assert v["idiot"] > 0 and v["id-iot"] > v["garden"] and v["i.d.i.o.t"] > v["window"]
     assert toxicity.tokens("you i d i o t now")[-1] == "idiot"
 
 
+def test_one_insult_in_a_sentence(spark):
+    """Plain, upper-case, dotted, spaced, starred or hyphened, one insult makes a plain sentence toxic, and so do most with a letter put in."""
+    sf, r = f"{DATA}/sf0.01", random.Random(4)
+    model = toxicity.fit(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"), F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    say = "The committee met again to talk about the new bridge, and you are {} if you think that it will stand before winter sets in."
+    rows = [("clean", say.format("right"))]
+    for w in ("idiot", "trash", "stupid", "clown", "worthless", "pathetic"):
+        rows += [("plain", say.format(x)) for x in (w, w.upper(), w.capitalize() + ",")]
+        rows += [(kind, say.format(x)) for kind, x in (("dots", ".".join(w)), ("blanks", " ".join(w)), ("star", w[0] + "*" + w[1:]), ("hyphen", w[:2] + "-" + w[2:]))]
+        rows += [("letters", say.format(w[:k] + r.choice("abcdefghijklmnopqrstuvwxyz") + w[k:])) for k in range(1, len(w))]
+    # ids of any type
+    df = spark.createDataFrame([(f"{kind} {k}", t) for k, (kind, t) in enumerate(rows)], "doc_id string, text string")
+    hit = collections.defaultdict(list)
+    for x in toxicity.score(df, model).collect():
+        hit[x["doc_id"].split()[0]].append(x["score"] >= 0.5)
+    share = {k: np.mean(v) for k, v in hit.items()}
+    assert share["clean"] == 0 and share["plain"] == share["blanks"] == share["star"] == share["hyphen"] == 1 and share["dots"] >= 0.8 and share["letters"] >= 0.6, share
+
+
 def test_toxicity_without_labels(spark, docs):
     labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
     m = toxicity.fit(docs, labels, F.lit(True))
