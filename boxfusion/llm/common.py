@@ -56,6 +56,12 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def before_each(values: Column, fold) -> Column:
+    """For each of an array of ints what ``fold`` (of two Columns, from 0) makes of those before it."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(values, zero, lambda acc, x: F.struct(fold(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+
 def stripped(text: Column) -> Column:
     """``text`` without blanks at its ends; null gives ''."""
     return F.trim(F.coalesce(text, F.lit("")), F.lit(BLANKS))

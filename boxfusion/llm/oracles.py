@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import EDGE, SENTENCE_ENDS, UNITS
 from .license_templates import TEMPLATES
+from .quality_rules import READER, STOCK, TOPIC
 
 #: Words and lines as the operators see them; blank texts have none.
 _WORDS = r"CASE WHEN trim(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN []::VARCHAR[] ELSE regexp_split_to_array(trim(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\x20\x09-\x0D]+') END"
@@ -19,10 +20,11 @@ l AS (SELECT r, line, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(
 m AS (SELECT r, line, s, len(regexp_split_to_array(s, '[\x20\x09-\x0D]+')) AS n,
         len(s) - len(regexp_replace(s, '[#*$%&|<>]', '', 'g')) AS sym, len(s) - len(replace(s, '|', '')) AS bars,
         regexp_matches(s, '[.!?:;…。！？]["''”’»)\]]*$') AS ended,
-        regexp_matches(lower(s), '(?:all rights reserved|terms of (?:use|service)|privacy policy|cookie|javascript|click here|sign (?:in|up)|log ?in|subscribe|newsletter|(?:licensed|released) under|copyright)') AS stock
+        len(s) - len(regexp_replace(s, '[.!?…。！？]', '', 'g')) AS marks,
+        regexp_matches(lower(s), '{STOCK}') AS stock, regexp_matches(lower(s), '{TOPIC}') AS topic, regexp_matches(lower(s), '{READER}') AS reader
       FROM l WHERE s <> ''),
 v AS (SELECT *, NOT (sym > 0.3 * n OR (bars >= 2 AND bars > 0.2 * n) OR (n >= 8 AND upper(s) = s AND lower(s) <> s)
-        OR ((n < 3 OR n > 40) AND NOT ended) OR (n <= 30 AND stock)) AS ok FROM m),
+        OR ((n < 3 OR (n > 40 AND 40 * marks < n)) AND NOT ended) OR (n <= 30 AND (stock OR (topic AND (NOT ended OR reader))))) AS ok FROM m),
 la AS (SELECT r, count(*) - count(DISTINCT line) AS dup, sum(len(line)) AS c, coalesce(sum(len(line)) FILTER (ok), 0) AS kept_c FROM v GROUP BY r),
 q AS (SELECT d.doc_id, len(w) AS n_words, len(array_to_string(w, '')) AS word_chars, len(text) - len(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
         coalesce(la.dup, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(la.c, 0) AS c, coalesce(la.kept_c, 0) AS kept_c

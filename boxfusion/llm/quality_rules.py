@@ -7,11 +7,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, GAP, let, stripped, words
+from .common import BLANKS, GAP, let, refuse_reserved, words
 
 SYMBOLS = "#*$%&|<>"
-#: Phrases that mark a line as boilerplate, in lower case.
-BOILERPLATE = r"(?:all rights reserved|terms of (?:use|service)|privacy policy|cookie|javascript|click here|sign (?:in|up)|log ?in|subscribe|newsletter|(?:licensed|released) under|copyright)"
+#: What any stock phrase has in it, in lower case.
+HINT = r"(?:all rights reserved|terms of (?:use|service)|privacy policy|cookie|javascript|click here|sign (?:in|up)|log ?in|subscribe|newsletter|(?:licensed|released) under|copyright)"
+#: Phrases, between characters that are neither letters nor digits, that mark a line as boilerplate; and
+#: others that do so only in a line without a sentence's end, or one that speaks to the reader.
+_WHOLE = r"(?:^|[^\p{L}\p{N}])(?:%s)(?:$|[^\p{L}\p{N}])"
+STOCK = _WHOLE % r"all rights reserved|click here|(?:licensed|released) under (?:cc by|[^.]{0,60}licen[cs]e)|copyright (?:©|\(c\)|[0-9]{4})|(?:accept|uses?|using) cookies|(?:enable|requires?) javascript|subscribe to our"
+TOPIC = _WHOLE % r"terms of (?:use|service)|privacy policy|cookies?|javascript|sign (?:in|up)|log ?in|subscribe|newsletter|copyright"
+READER = _WHOLE % r"please|our|your?|this (?:web)?(?:site|page)"
+END_MARKS = ".!?…。！？"
 #: A line that ends so is a sentence's end, a heading or a list's head.
 SENTENCE_END = r"""[.!?:;…。！？]["'”’»)\]]*$"""
 
@@ -30,7 +37,8 @@ def line_passes(line: Column, min_words: int = 3, max_open_words: int = 40, max_
 
     Navigation: bars part many of its words, or it is a word or two without a sentence's end.
     Symbols: nearly a third of the words hold one.  Shouting: eight words or more, all capitals.
-    Punctuation: many words and no sentence's end.  Boilerplate: a short line with a stock phrase."""
+    Punctuation: many words, no sentence's end and hardly an end mark within.  Boilerplate: a short line with a stock
+    phrase, or with a phrase that is a topic as well and a second sign."""
     return let(
         F.trim(line, F.lit(BLANKS)),
         lambda t: let(
@@ -39,8 +47,8 @@ def line_passes(line: Column, min_words: int = 3, max_open_words: int = 40, max_
                 (count_of(t, SYMBOLS) > max_symbols * n)
                 | ((count_of(t, "|") >= 2) & (count_of(t, "|") > max_bars * n))
                 | ((n >= 8) & (F.upper(t) == t) & (F.lower(t) != t))
-                | (((n < min_words) | (n > max_open_words)) & ~t.rlike(SENTENCE_END))
-                | ((n <= 30) & F.lower(t).rlike(BOILERPLATE))
+                | (((n < min_words) | ((n > max_open_words) & (max_open_words * count_of(t, END_MARKS) < n))) & ~t.rlike(SENTENCE_END))
+                | ((n <= 30) & F.lower(t).rlike(HINT) & (F.lower(t).rlike(STOCK) | (F.lower(t).rlike(TOPIC) & (~t.rlike(SENTENCE_END) | F.lower(t).rlike(READER)))))
             ),
         ),
     )
@@ -115,7 +123,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **lim
 
 def clean(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", **limits: float) -> DataFrame:
     """The rows of ``docs`` that are kept, with the failing lines out of ``text_col``; ``length_col``,
-    if there is such a column, follows.  Texts in which no line fails stay as they are."""
+    if there is such a column, follows.  Texts in which no line fails stay as they are.
+
+    Null, empty and blank texts are not kept; rows are judged one by one, so repeated rows and ties
+    have no bearing and nulls in other columns stay; an empty table gives no rows; other columns of any
+    name pass, but for the reserved ``__kept__``, which is refused."""
+    refuse_reserved(docs)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     # the generator evaluates the verdict once, which a filter on it would do twice
     kept = F.filter(F.array(verdict(text, **limits)), lambda v: v["kept"])
