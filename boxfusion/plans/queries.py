@@ -555,3 +555,6 @@ def draft_labels(spark: SparkSession, d: str) -> DataFrame:
     over = scoring.over_threshold(rows.withColumn("score", F.col("gated"))).withColumn("score", F.round("score", 9))
     kept = nms.suppress(over, FRAME, "class_ix", order=ORDER)
     return nms.cap(kept, FRAME, order=("class_ix", "box_key")).select("box_key", *FRAME, "class_ix", "score")
+
+
+from boxfusion.plans import more_queries  # noqa: E402, F401 - registers further queries
