@@ -8,15 +8,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxfusion.operators.matching import match
+from boxfusion.operators.ranking import part_of, running
 from boxfusion.schemas import lookup
 
 
 def curve(rows: DataFrame, by: list[str], score: str = "score", label: str = "label") -> DataFrame:
     """Per distinct score of each group: tp and fp at that threshold, and the totals."""
     steps = rows.groupBy(*by, score).agg(F.sum(label).alias("t"), F.count("*").alias("n"))
-    w = Window.partitionBy(*by).orderBy(F.col(score).desc())
-    upto, all_rows = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by)
-    return steps.withColumns({"tp": F.sum("t").over(upto), "seen": F.sum("n").over(upto), "positives": F.sum("t").over(all_rows), "rows": F.sum("n").over(all_rows)})
+    out = running(steps, by, part_of(F.col(score)), [F.col(score).desc()], {"tp": F.col("t"), "seen": F.col("n")}, ("tp", "seen"))
+    return out.withColumnsRenamed({"total_tp": "positives", "total_seen": "rows"})
 
 
 def average_precision(rows: DataFrame, by: list[str], score: str = "score", label: str = "label") -> DataFrame:
@@ -68,8 +68,7 @@ def at_recalls(verdicts: DataFrame, by: list[str], tie: list[str], min_recall: f
 
     verdicts: by, score, label, n_gt."""
     levels = round(100 * min_recall) + 1
-    w = Window.partitionBy(*by).orderBy(F.col("score").desc(), *tie).rowsBetween(Window.unboundedPreceding, 0)
-    pr = verdicts.select(*by, "n_gt", "score", F.sum("label").over(w).alias("tp"), F.count("*").over(w).alias("seen"))
+    pr = running(verdicts, by, part_of(F.col("score")), [F.col("score").desc(), *map(F.col, tie)], {"tp": F.col("label"), "seen": F.lit(1)}).select(*by, "n_gt", "score", "tp", "seen")
     points = pr.groupBy(*by, "n_gt", "tp").agg(F.max_by(F.struct(F.col("tp") / F.col("seen"), "score"), -F.col("seen")).alias("first"), F.max_by(F.struct(F.col("tp") / F.col("seen"), "score"), "seen").alias("last"))
     o = Window.partitionBy(*by).orderBy("tp")
     seg = points.select(*by, (F.col("tp") / F.col("n_gt")).alias("r1"), "first", "last", F.lag(F.col("tp") / F.col("n_gt")).over(o).alias("r0"), F.lag("last").over(o).alias("p0"))
@@ -114,8 +113,9 @@ def tp_errors(verdicts: DataFrame, by: list[str], tie: list[str], class_col: str
     off at the confidence of the recall; 1 where that recall is not reached, NaN where undefined.
 
     verdicts: by, score, label, n_gt and, where label is 1, the errors."""
-    w = Window.partitionBy(*by).orderBy(F.col("score").desc(), *tie).rowsBetween(Window.unboundedPreceding, 0)
-    run = verdicts.filter("label = 1").select(*by, F.col("score").alias("at"), *[F.avg(e).over(w).alias(e) for e in errors]).withColumn("k", F.lit(None).cast("int"))
+    sums = {f"sum_{e}": F.coalesce(e, F.lit(0.0)) for e in errors} | {f"n_{e}": F.col(e).isNotNull().cast("int") for e in errors}
+    run = running(verdicts.filter("label = 1"), by, part_of(F.col("score")), [F.col("score").desc(), *map(F.col, tie)], sums)
+    run = run.select(*by, F.col("score").alias("at"), *[F.when(F.col(f"n_{e}") > 0, F.col(f"sum_{e}") / F.col(f"n_{e}")).alias(e) for e in errors]).withColumn("k", F.lit(None).cast("int"))
     asked = at_recalls(verdicts, by, tie, min_recall).filter("confidence > 0").select(*by, F.col("confidence").alias("at"), *[F.lit(None).cast("double").alias(e) for e in errors], "k")
     o = Window.partitionBy(*by).orderBy(F.col("at").desc(), F.col("k").isNotNull())
     up, down = o.rowsBetween(Window.unboundedPreceding, 0), o.rowsBetween(0, Window.unboundedFollowing)

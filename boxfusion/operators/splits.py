@@ -7,6 +7,8 @@ import random
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from boxfusion.operators.ranking import running
+
 
 def token_split(tokens: list[str], share: float = 0.7, seed: int = 42) -> tuple[list[str], list[str]]:
     """Sorted, shuffled by ``seed``, cut at int(n * share)."""
@@ -37,5 +39,6 @@ def group_folds(rows: DataFrame, group: str = "scene_id", folds: int = 5) -> Dat
 
 def stratified_folds(rows: DataFrame, key: list[str], label: str = "label", folds: int = 3, seed: int = 42) -> DataFrame:
     """``rows`` with ``fold``, each label dealt evenly in the order of a hash of the key."""
-    w = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), *key), *key)
-    return rows.withColumn("fold", ((F.row_number().over(w) - 1) % folds).cast("int"))
+    hashed = rows.withColumn("__hash", F.xxhash64(F.lit(seed), *key))
+    out = running(hashed, [label], F.shiftright("__hash", 52), [F.col("__hash").desc(), *map(F.col, key)], {"__at": F.lit(1)})
+    return out.withColumn("fold", ((F.col("__at") - 1) % folds).cast("int")).drop("__hash", "__at")

@@ -362,3 +362,20 @@ def test_causal_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r["hits"] for r in spark.table("tracked").collect()) == [1, 2, 3]
+
+
+def test_running_sums_over_many_parts(spark):
+    """Ties, negative, great and undefined values, and a null group, against one sort."""
+    import random
+
+    from boxfusion.operators.ranking import part_of, running
+
+    r = random.Random(3)
+    rows = [(r.choice(("a", "b", None)), r.choice((0.5, r.random(), -2.0, 1e20, r.random() / 1e5, float("nan"))), k, r.randint(0, 3)) for k in range(2000)]
+    df = spark.createDataFrame(rows, "g string, s double, k int, v int")
+    got = {x["k"]: (x["t"], x["total_t"]) for x in running(df, ["g"], part_of(F.col("s")), [F.col("s").desc(), F.col("k")], {"t": F.col("v")}, ("t",)).collect()}
+    for g in ("a", "b", None):
+        t, mine = 0, sorted((x for x in rows if x[0] == g), key=lambda x: (0 if x[1] != x[1] else 1, -x[1] if x[1] == x[1] else 0, x[2]))
+        for x in mine:
+            t += x[3]
+            assert got[x[2]] == (t, sum(y[3] for y in mine))
