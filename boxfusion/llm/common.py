@@ -30,6 +30,12 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder of Spark's own making, in whatever file system it is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def refuse_reserved(df: DataFrame) -> None:
     """Column names in double underscores are the operators' own."""
     if taken := [c for c in df.columns if c.startswith("__") and c.endswith("__")]:

@@ -524,6 +524,55 @@ def test_operators_bear_odd_tables(spark, odd):
     assert html_extract.main_text(pages).columns == pages.columns and html_extract.main_text(pages.limit(0)).count() == 0
 
 
+def passing_lines(text):
+    """The rules on lines, in plain Python."""
+    whole = lambda p: re.compile(rf"(?:^|[^\W_]|_)(?!)|(?:^|[\W_])(?:{p})(?:$|[\W_])")
+    stock = whole(r"all rights reserved|click here|(?:licensed|released) under (?:cc by|[^.]{0,60}licen[cs]e)|copyright (?:©|\(c\)|[0-9]{4})|(?:accept|uses?|using) cookies|(?:enable|requires?) javascript|subscribe to our")
+    topic = whole(r"terms of (?:use|service)|privacy policy|cookies?|javascript|sign (?:in|up)|log ?in|subscribe|newsletter|copyright")
+    reader = whole(r"please|our|your?|this (?:web)?(?:site|page)")
+    out = []
+    for line in (text or "").split("\n"):
+        t = line.strip(" \t\n\x0b\x0c\r")
+        n, low, ended = len(t.split()), t.lower(), bool(re.search(r"""[.!?:;…。！？]["'”’»)\]]*$""", t))
+        fails = sum(map(t.count, "#*$%&|<>")) > 0.3 * n or (t.count("|") >= 2 and t.count("|") > 0.2 * n) or (n >= 8 and t.upper() == t != t.lower())
+        fails = fails or (not ended and (n < 3 or (n > 40 and 40 * sum(map(t.count, ".!?…。！？")) < n)))
+        if t and not fails and not (n <= 30 and (stock.search(low) or (topic.search(low) and (not ended or reader.search(low))))):
+            out.append(line)
+    return out
+
+
+def test_stages_equal_brute_force(spark, docs, plain):
+    """Rules in plain Python, near duplicates over all pairs, the mix by SQL, each over what the stage before left."""
+    stage = dict(corpus_pipeline.STAGES)
+    want = {}
+    for i, t in zip(plain.doc_id, plain.text, strict=True):
+        w, kept = t.split(), passing_lines(t)
+        windows = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+        again = {k + j for k in range(len(w) - 2) if windows[tuple(w[k : k + 3])] > 1 for j in range(3)}
+        chars = sum(len(x) for x in t.split("\n") if x.strip(" \t\n\x0b\x0c\r"))
+        if len(w) >= 50 and 100 * len(again) <= 50 * len(w) and chars - sum(map(len, kept)) <= 0.5 * chars:
+            want[i] = "\n".join(kept).replace("\n", "")
+    first = simhash.cut(stage["quality_rules"](spark, docs, SF))
+    texts = {r["doc_id"]: r["text"] for r in first.collect()}
+    assert {i: t.replace("\n", "") for i, t in texts.items()} == want
+
+    ids = sorted(texts)
+    words = [texts[i].lower().split() for i in ids]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in words]
+    low = list(range(len(ids)))
+    links = [(a, b) for a in range(len(ids)) for b in range(a + 1, len(ids)) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    while any(low[a] != low[b] for a, b in links):
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+    second = simhash.cut(stage["near_duplicates"](spark, first, SF))
+    assert sorted(r["doc_id"] for r in second.collect()) == [ids[k] for k in sorted(set(low))] and links
+
+    c = duckdb.connect()
+    c.register("documents", second.toPandas())
+    taken = {i: t for i, t in c.execute("SELECT doc_id, taken FROM (" + queries.ORACLES["op10_mixing"] + ") WHERE taken > 0").fetchall()}
+    assert {r["doc_id"]: r["taken"] for r in stage["mixing"](spark, second, SF).collect()} == taken
+
+
 def test_pipeline(spark, docs, plain):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "decontamination", "pii", "mixing"]
     got = corpus_pipeline.run(spark, SF).toPandas()
