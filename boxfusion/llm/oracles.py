@@ -78,8 +78,9 @@ FROM ts JOIN n USING (template_id) JOIN ds USING (s) GROUP BY doc_id, template_i
 ORACLES["op4_license_scan"] = _license_scan()
 
 
-def _decontamination(window: int = 8, literal: int = 4, least: float = 0.5) -> str:
-    """Token by token, window by window; windows join as texts instead of hashes."""
+def _decontamination(window: int = 8, literal: int = 4, least: float = 0.5, run: int = 13) -> str:
+    """Token by token, window by window; windows join as texts instead of hashes.  Items that are one window, or have
+    none of enough literal tokens, are left to a test, as the given benchmark has none."""
     quote = lambda xs: ", ".join("'" + x.replace("'", "''") + "'" for x in xs)
     edge = EDGE.replace("'", "''")
     return rf"""
@@ -99,11 +100,16 @@ b AS (SELECT * FROM x WHERE side = 1),
 total AS (SELECT id AS item_id, count(*) AS item_windows FROM b GROUP BY id),
 m AS (SELECT d.id AS doc_id, b.id AS item_id, d.i - b.i AS lag, b.i AS place, d.slots, b.slots AS item_slots FROM x d JOIN b ON d.side = 0 AND d.n = b.n AND d.h = b.h WHERE len(d.slots) = len(b.slots)),
 sl AS (SELECT DISTINCT doc_id, item_id, lag, unnest(slots) AS mine, unnest(item_slots) AS theirs FROM m),
-bad AS (SELECT doc_id, item_id, lag FROM sl GROUP BY doc_id, item_id, lag, theirs HAVING count(*) > 1 UNION SELECT doc_id, item_id, lag FROM sl GROUP BY doc_id, item_id, lag, mine HAVING count(*) > 1),
-e AS (SELECT m.*, bad.lag IS NOT NULL AS flaw FROM m LEFT JOIN bad USING (doc_id, item_id, lag))
-SELECT doc_id, item_id, count(DISTINCT place) FILTER (NOT flaw) AS matched, any_value(item_windows) AS item_windows, count(DISTINCT place) FILTER (NOT flaw) / any_value(item_windows) AS coverage,
-  CAST(max(len(slots)) AS INT) AS slots, NOT bool_or(flaw) AS consistent
-FROM e JOIN total USING (item_id) GROUP BY doc_id, item_id HAVING count(DISTINCT place) FILTER (NOT flaw) / any_value(item_windows) >= {least}
+bad AS (SELECT doc_id, item_id, lag, theirs FROM sl GROUP BY ALL HAVING count(*) > 1),
+back AS (SELECT doc_id, item_id FROM bad UNION SELECT doc_id, item_id FROM (SELECT doc_id, item_id, lag, mine FROM sl GROUP BY ALL HAVING count(*) > 1)),
+bl AS (SELECT doc_id, item_id, lag, list(theirs) AS ts FROM bad GROUP BY ALL),
+e AS (SELECT m.*, m.slots <> m.item_slots AND list_has_any(m.item_slots, coalesce(ts, []::VARCHAR[])) AS flaw FROM m LEFT JOIN bl USING (doc_id, item_id, lag)),
+isl AS (SELECT doc_id, item_id, lag, place - row_number() OVER (PARTITION BY doc_id, item_id, lag ORDER BY place) AS g FROM (SELECT DISTINCT doc_id, item_id, lag, place FROM e WHERE NOT flaw)),
+runs AS (SELECT doc_id, item_id, max(n) AS longest FROM (SELECT doc_id, item_id, lag, g, count(*) AS n FROM isl GROUP BY ALL) GROUP BY ALL),
+f AS (SELECT doc_id, item_id, count(DISTINCT place) FILTER (NOT flaw) AS matched, any_value(item_windows) AS item_windows, count(DISTINCT place) FILTER (NOT flaw) / any_value(item_windows) AS coverage,
+  CAST(max(len(slots)) AS INT) AS slots FROM e JOIN total USING (item_id) GROUP BY doc_id, item_id)
+SELECT f.*, NOT EXISTS (SELECT 1 FROM back WHERE back.doc_id = f.doc_id AND back.item_id = f.item_id) AS consistent
+FROM f JOIN runs USING (doc_id, item_id) WHERE coverage >= {least} OR longest + {window} - 1 >= {run}
 """
 
 
