@@ -36,6 +36,16 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def without(docs: DataFrame, gone: DataFrame, id_col: str, most_sent: int = 1_000_000) -> DataFrame:
+    """``docs`` without those whose id, as a long, is in ``gone`` (one column, distinct); rows without an id stay.
+
+    Up to ``most_sent`` ids go to every task, so that texts are not shuffled; beyond, both meet by id."""
+    gone = cut(gone.toDF("__gone__"))
+    if gone.limit(most_sent + 1).count() <= most_sent:
+        gone = F.broadcast(gone)
+    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("__gone__"), "left_anti")
+
+
 def refuse_reserved(df: DataFrame) -> None:
     """Column names in double underscores are the operators' own."""
     if taken := [c for c in df.columns if c.startswith("__") and c.endswith("__")]:

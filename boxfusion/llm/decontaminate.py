@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import arrow_rows, cut
+from .common import arrow_rows, cut, refuse_reserved, without
 
 NUMBER = re.compile(r"[+-]?[0-9][0-9.,:/]*")
 MEASURE = re.compile(r"([$€£¥]?)([+-]?[0-9][0-9.,:/]*)([a-zA-Z%°µ²³/]{0,6})")
@@ -279,6 +279,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, **more: object) -> DataFrame:
-    """``docs`` without the contaminated ones; documents without an id stay."""
-    gone = contaminated(docs, benchmark, id_col, text_col, least, **more).select(F.col("doc").alias("__gone__")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone__"), "left_anti")
+    """``docs`` without the contaminated ones; documents without an id stay.
+
+    Null and empty texts stay; documents of one id go together; empty tables take nothing away."""
+    refuse_reserved(docs)
+    return without(docs, contaminated(docs, benchmark, id_col, text_col, least, **more).select("doc").distinct(), id_col)

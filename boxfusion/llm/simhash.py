@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, cut
+from .common import arrow_rows, cut, refuse_reserved, without
 
 BITS = 64
 LEAF, GROUP, SKETCH = 512, 16, 128
@@ -453,13 +453,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with one document of each group of ``copies``, that of the least id.
 
     Rows without an id stay, as nothing can name them; of rows with the same id one stays."""
+    refuse_reserved(docs)
     found = copies(docs, id_col, text_col, **more)
-    hold = "__id__"
-    stays = cut(found.filter(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias(hold)).agg(F.count("*").alias("n")))
-    kept = docs.join(stays.select(hold), docs[id_col].cast("long") == stays[hold], "left_semi")
-    if stays.filter("n > 1").limit(1).count():
-        kept = kept.dropDuplicates([id_col])
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+    by_id = cut(found.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.count_if(F.col(id_col) == F.col("component_id")).alias("n")))
+    kept = without(docs, by_id.filter("n = 0").select("id"), id_col)
+    if by_id.filter("n > 1").limit(1).count():
+        kept = kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(docs.filter(F.col(id_col).isNull()))
+    return kept
 
 
 def hex_code(code: Column) -> Column:
