@@ -29,12 +29,20 @@ def scene_split(frames: DataFrame, shares: dict[str, int], scene: str = "scene_i
 
 
 def group_folds(rows: DataFrame, group: str = "scene_id", folds: int = 5) -> DataFrame:
-    """(group, n, fold): groups by falling size, dealt back and forth over the folds, so that no group
-    crosses folds and sizes stay near.  One row for each group."""
+    """(group, n, fold): groups by falling size, of equals the least, each to the fold that has least so far (of equals
+    the first), so that no group crosses folds.  One row for each group meets in one task, in the order of sizes."""
     n = rows.groupBy(group).agg(F.count("*").alias("n"))
-    k = F.row_number().over(Window.orderBy(F.col("n").desc(), F.col(group))) - 1
-    at = k % (2 * folds)
-    return n.withColumn("fold", F.least(at, 2 * folds - 1 - at).cast("int"))
+    in_order = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), F.col(group).alias("group"))))
+    none = F.struct(F.array(*[F.lit(0).cast("long")] * folds).alias("sizes"), F.array().cast("array<int>").alias("to"))
+
+    def step(acc, g):
+        at = (F.array_position(acc["sizes"], F.array_min(acc["sizes"])) - 1).cast("int")
+        sizes = F.transform(acc["sizes"], lambda x, k: x - F.when(k == at, g["less"]).otherwise(0))
+        return F.struct(sizes.alias("sizes"), F.concat(acc["to"], F.array(at)).alias("to"))
+
+    one = n.agg(in_order.alias("groups"))
+    dealt = F.arrays_zip("groups", F.aggregate("groups", none, step, lambda acc: acc["to"]).alias("to"))
+    return one.select(F.explode(dealt).alias("x")).select(F.col("x.groups.group").alias(group), (-F.col("x.groups.less")).alias("n"), F.col("x.to").alias("fold"))
 
 
 def stratified_folds(rows: DataFrame, key: list[str], label: str = "label", folds: int = 3, seed: int = 42) -> DataFrame:

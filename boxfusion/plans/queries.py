@@ -322,7 +322,15 @@ def scene_split(spark: SparkSession, d: str) -> DataFrame:
     return splits.scene_split(X.boxes(spark, d).select(*FRAME).distinct(), {"fit": 6, "calibration": 2, "test": 2})
 
 
-@query("SELECT scene_id, n, CAST(least(k % 10, 9 - k % 10) AS INT) AS fold FROM (SELECT *, row_number() OVER (ORDER BY n DESC, scene_id) - 1 AS k FROM (SELECT scene_id, count(*) AS n FROM boxes GROUP BY scene_id))")
+_DEALT = {
+    "sized": "SELECT scene_id, n, row_number() OVER (ORDER BY n DESC, scene_id) AS k FROM (SELECT scene_id, count(*) AS n FROM boxes GROUP BY scene_id)",
+    "dealt": """SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS scene_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS INT) AS fold, [0, 0, 0, 0, 0]::BIGINT[] AS sizes
+        UNION ALL SELECT s.k, s.scene_id, s.n, CAST(list_position(d.sizes, list_min(d.sizes)) - 1 AS INT),
+          [d.sizes[i] + CASE WHEN i = list_position(d.sizes, list_min(d.sizes)) THEN s.n ELSE 0 END FOR i IN range(1, 6)] FROM dealt d JOIN sized s ON s.k = d.k + 1""",
+}
+
+
+@query("SELECT scene_id, n, fold FROM dealt WHERE k > 0", **_DEALT)
 def group_kfold(spark: SparkSession, d: str) -> DataFrame:
     return splits.group_folds(X.boxes(spark, d))
 
