@@ -379,3 +379,34 @@ def test_running_sums_over_many_parts(spark):
         for x in mine:
             t += x[3]
             assert got[x[2]] == (t, sum(y[3] for y in mine))
+
+
+def test_perceptron_gradients_and_training(spark):
+    from boxfusion.operators.ml import fitting
+
+    r = np.random.default_rng(1)
+    w, x, y = fitting.initial(3, (5, 4), 2), r.normal(size=(12, 3)), r.integers(0, 2, 12).astype(float)
+
+    def at(changed):  # the loss with the batch's own figures
+        z = x
+        for layer in changed["layers"]:
+            z = z @ layer["weight"].T + layer["bias"]
+            z = np.maximum((z - z.mean(axis=0)) / np.sqrt(z.var(axis=0) + 1e-5) * layer["scale"] + layer["shift"], 0)
+        z = (z @ changed["head_weight"].T + changed["head_bias"])[:, 0]
+        return np.mean(np.where(y > 0, 3.0 * np.logaddexp(0, -z), np.logaddexp(0, z)))
+
+    for p, g in zip(fitting.parameters(w), fitting.gradients(w, x, y, 3.0), strict=True):
+        k = np.unravel_index(np.argmax(np.abs(g)), g.shape)
+        old = p[k]
+        p[k] = old + 1e-5
+        up = at(w)
+        p[k] = old - 1e-5
+        down = at(w)
+        p[k] = old
+        assert (up - down) / 2e-5 == pytest.approx(g[k], rel=1e-3, abs=1e-6)
+    assert [v.tolist() for v in fitting.rising(np.array([0.1, 0.2, 0.3, 0.4]), np.array([0.0, 1.0, 0.0, 1.0]))] == [[0.1, 0.2, 0.3, 0.4], [0.0, 0.5, 0.5, 1.0]]
+    a = r.normal(size=(3000, 2))
+    rows = spark.createDataFrame([(float(p), float(q), int(p * q > 0.8)) for p, q in a], "a double, b double, label int")
+    router = fitting.fit_perceptron(rows, ["a", "b"], (16, 8), batch=256, rate=1e-2)
+    assert ((router.predict(a) >= 0.5) == (a[:, 0] * a[:, 1] > 0.8)).mean() > 0.95
+    assert fitting.fit_perceptron(rows.limit(10), ["a", "b"]) is None
