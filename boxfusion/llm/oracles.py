@@ -58,7 +58,63 @@ SELECT d.doc_id, d.size, n.source_size, n.target, CAST(d.size * (n.copies + CASE
 FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source LEFT JOIN x ON d.source IS NOT DISTINCT FROM x.source AND d.h = x.h
 """
 
-ORACLES = {"op7_quality_rules": _OP7, "op10_mixing": _OP10}
+#: Orders come from SQL as well; E by the least id of each text.
+_OP11 = rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+g AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+r AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+        concat(CASE WHEN len(w) < 200 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' END,
+          CASE WHEN 100 * (len(text) - len(regexp_replace(text, '[A-Z]', '', 'g'))) > 3 * len(text) THEN 'C' END,
+          CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' END, CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' END) AS fails
+      FROM d LEFT JOIN g USING (doc_id)),
+c AS (SELECT part, fails, good, toxic, count(*) AS n FROM r GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+w AS (SELECT part, fails, good, toxic, n, filter_order, coalesce(list_min([strpos(filter_order, y) FOR y IN string_split(fails, '') IF y <> '']), 6) AS gone FROM c, o),
+s AS (SELECT part, filter_order, step, filter_order[step] AS x, sum(CASE WHEN gone > step THEN n ELSE 0 END) AS kept, sum(CASE WHEN gone = step THEN n ELSE 0 END) AS removed,
+        sum(CASE WHEN gone < step AND contains(fails, filter_order[step]) THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = filter_order[step] THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN gone = step AND good THEN n ELSE 0 END) AS good_lost, sum(CASE WHEN gone = step AND toxic THEN n ELSE 0 END) AS toxic_lost
+      FROM w, (SELECT CAST(unnest(range(1, 6)) AS INT) AS step) GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM s
+"""
+
+#: Sessions begin at hard breaks, and then again and again at the first click that is too far from the start.
+_OP12 = """
+WITH RECURSIVE k AS (SELECT click_id, client_id, epoch_us(ts) AS us, coalesce(arrived_at - ts > INTERVAL 60 MINUTE, false) AS late,
+        coalesce(kind = 'purchase' AND value >= 60, false) AS final, coalesce(CAST(floor(100 * value + 0.5) AS BIGINT), 0) AS cents
+      FROM (SELECT * FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL QUALIFY row_number() OVER (PARTITION BY click_id ORDER BY ts, client_id) = 1)),
+t AS MATERIALIZED (SELECT *, row_number() OVER w AS rn, coalesce(lag(final) OVER w, true) OR us - lag(us) OVER w >= 300000000 AS brk FROM k WHERE NOT late WINDOW w AS (PARTITION BY client_id ORDER BY us, click_id)),
+h AS (SELECT *, min(CASE WHEN brk THEN rn END) OVER (PARTITION BY client_id ORDER BY rn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS hard FROM t),
+f AS (SELECT client_id AS c, us AS u, min(rn) AS r FROM t GROUP BY ALL),
+n AS MATERIALIZED (SELECT h.client_id, h.rn, CASE WHEN f.r < coalesce(h.hard, f.r + 1) THEN f.r END AS nxt FROM h ASOF LEFT JOIN f ON h.client_id = f.c AND h.us + 7200000000 < f.u),
+s AS (SELECT client_id, rn FROM t WHERE brk UNION ALL SELECT s.client_id, n.nxt FROM s JOIN n USING (client_id, rn) WHERE n.nxt IS NOT NULL),
+e AS (SELECT client_id, rn AS a, lead(rn) OVER (PARTITION BY client_id ORDER BY rn) AS b FROM s),
+g AS (SELECT e.client_id, e.a, e.b, min(us) AS start_us, max(us) AS end_us, count(*) AS n_clicks, sum(cents) AS value_cents, arg_max(final, rn) AS fin, string_agg(CAST(click_id AS VARCHAR), ',' ORDER BY rn) AS path, arg_min(click_id, rn) AS session_id
+      FROM e JOIN t ON t.client_id = e.client_id AND t.rn >= e.a AND t.rn < coalesce(e.b, t.rn + 1) GROUP BY ALL),
+o AS (SELECT client_id, start_us, max(a) AS a FROM g GROUP BY ALL),
+l AS (SELECT o.client_id, o.a, count(*) AS n_late FROM (SELECT * FROM k WHERE late) k ASOF JOIN o ON k.client_id = o.client_id AND k.us >= o.start_us GROUP BY ALL)
+SELECT g.client_id, session_id, start_us, end_us, n_clicks, coalesce(n_late, 0) AS n_late, CAST(value_cents AS BIGINT) AS value_cents,
+  CASE WHEN fin THEN 'end' WHEN g.b IS NULL THEN 'none' WHEN x.us - g.end_us >= 300000000 THEN 'gap' ELSE 'length' END AS closed_by, sha256(path) AS path_sha256
+FROM g LEFT JOIN l ON g.client_id = l.client_id AND g.a = l.a LEFT JOIN t x ON x.client_id = g.client_id AND x.rn = g.b
+"""
+
+_OP13 = rf"""
+WITH RECURSIVE d AS (SELECT r, doc_id, w FROM (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents) t, LATERAL (SELECT {_WORDS} AS w)),
+k AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS s FROM d),
+n AS MATERIALIZED (SELECT min(doc_id) AS id, md5(array_to_string(s, chr(10))) AS m, any_value(s) AS s, any_value(len(s)) AS n FROM k WHERE len(s) > 0 GROUP BY m),
+u AS MATERIALIZED (SELECT id, n, unnest(s) AS g FROM n),
+p AS (SELECT a.id AS a, b.id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS common FROM u a JOIN u b ON a.g = b.g AND a.id < b.id GROUP BY a.id, b.id),
+l AS MATERIALIZED (SELECT a, b FROM p WHERE 100 * common >= 85 * (na + nb - common)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
+c AS (SELECT id AS a, id AS b FROM n WHERE id IN (SELECT a FROM e) UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a),
+h AS (SELECT a, min(b) AS least FROM c GROUP BY a)
+SELECT k.doc_id, CAST(len(k.s) AS BIGINT) AS n_shingles, coalesce(h.least, n.id, k.doc_id) AS component_id, k.doc_id = coalesce(h.least, n.id, k.doc_id) AS kept
+FROM k LEFT JOIN n ON len(k.s) > 0 AND n.m = md5(array_to_string(k.s, chr(10))) LEFT JOIN h ON h.a = n.id
+"""
+
+ORACLES = {"op7_quality_rules": _OP7, "op10_mixing": _OP10, "op11_filter_audit": _OP11, "op12_sessions": _OP12, "op13_minhash": _OP13}
 
 
 def _license_scan(least: float = 0.8) -> str:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_lm, decontaminate, html_extract, license_scan, mixing, pii, quality_model, quality_rules, simhash, toxicity
+from . import class_lm, decontaminate, filter_audit, html_extract, license_scan, minhash, mixing, pii, quality_model, quality_rules, sessions, simhash, toxicity
 from .oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -75,4 +75,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_text, op2_simhash, op3_toxicity, op4_license_scan, op5_decontamination, op6_pii, op7_quality_rules, op8_class_lm, op9_quality_model, op10_mixing)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes, by language and in every order."""
+    return filter_audit.audit(filter_audit.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op12_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sessions.sessions(table(spark, sf_dir, "clicks"))
+    return found.withColumn("path_sha256", F.sha2(sessions.joined_path(F.col("path")), 256)).drop("path")
+
+
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_text, op2_simhash, op3_toxicity, op4_license_scan, op5_decontamination, op6_pii, op7_quality_rules, op8_class_lm, op9_quality_model, op10_mixing, op11_filter_audit, op12_sessions, op13_minhash)}

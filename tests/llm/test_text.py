@@ -44,10 +44,10 @@ def odd(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_equals_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "labels", "clicks"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     mine, sql = queries.QUERIES[name](spark, SF).toPandas(), c.execute(queries.ORACLES[name]).fetchdf()
-    keys = ["doc_id", *(k for k in ("template_id", "item_id") if k in mine)]
+    keys = [k for k in ("doc_id", "template_id", "item_id", "part", "filter_order", "step", "session_id") if k in mine]
     a, b = (d[sorted(d)].sort_values(keys).reset_index(drop=True) for d in (mine, sql))
     pd.testing.assert_frame_equal(a, b, check_dtype=False, rtol=1e-9)
 
