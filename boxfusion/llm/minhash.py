@@ -28,6 +28,8 @@ APART = 28
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 #: Members of clusters that are told to all tasks by id; if there are more, texts join them.
 MOST_SENT = 1_000_000
+#: Edges of a task when components are sought.
+EDGES = 200_000
 
 _R = np.random.default_rng(13)
 FACTOR, SHIFT = _R.integers(1, PRIME, BANDS * ROWS, np.uint64), _R.integers(0, PRIME, BANDS * ROWS, np.uint64)
@@ -127,7 +129,7 @@ def confirmed(sets: DataFrame, least: float) -> DataFrame:
         ids, held = _sets(t)
         order = np.argsort(ids, kind="stable")
         src, dst = similar(ids[order], [held[k] for k in order], least)
-        return pa.table({"src": pa.array(src), "dst": pa.array(dst)})
+        return pa.table({"cluster": pa.array(np.full(len(src), t.column("cluster")[0].as_py(), np.int64)), "src": pa.array(src), "dst": pa.array(dst)})
 
     def between(t: pa.Table) -> pa.Table:
         beyond = t.column("beyond").to_numpy(zero_copy_only=False)
@@ -151,18 +153,19 @@ def confirmed(sets: DataFrame, least: float) -> DataFrame:
     rows = dealt(sets, blocks)
     hubs = rows.filter("id = cluster and blocks > 1").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("to <> block").withColumn("block", F.col("to"))
     met = rows.select("cluster", "block", "id", "shingles").unionByName(hubs.select("cluster", "block", "id", "shingles"))
-    first = cut(met.groupBy("cluster", "block").applyInArrow(within, "src long, dst long"))
+    first = cut(met.groupBy("cluster", "block").applyInArrow(within, "cluster long, src long, dst long"))
     many = blocks.filter("blocks > 1")
     if not many.limit(1).count():
-        return first
-    reached = cut(components(first).select("id", "component_id"))
-    rest = rows.filter("blocks > 1").select("cluster", "id", "size", "shingles").join(reached, "id", "left").filter(F.coalesce("component_id", "id") != F.col("cluster"))
-    rest = cut(rest.select("cluster", "id", "size", "shingles"))
+        return first.select("src", "dst")
+    # the hub has the least id of its cluster, so the stars of its component point to it
+    reached = first.filter("dst = cluster").select(F.col("src").alias("id")).distinct()
+    rest = rows.filter("blocks > 1 and id <> cluster").select("cluster", "id", "size", "shingles")
+    rest = cut(rest.join(reached, "id", "left_anti").select("cluster", "id", "size", "shingles"))
     against = blocks_of(rest)
     left = dealt(rest, against).join(many.withColumnRenamed("blocks", "whole"), "cluster").withColumn("own", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)))
     right = dealt(sets, many).join(against.withColumnRenamed("blocks", "parts"), "cluster").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     pairs = left.select("cluster", F.col("block").alias("part"), "own", "id", "shingles", F.lit(True).alias("beyond")).unionByName(right.select("cluster", "part", F.col("block").alias("own"), "id", "shingles", F.lit(False).alias("beyond")))
-    return first.unionByName(pairs.groupBy("cluster", "part", "own").applyInArrow(between, "src long, dst long"))
+    return first.select("src", "dst").unionByName(pairs.groupBy("cluster", "part", "own").applyInArrow(between, "src long, dst long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.85) -> DataFrame:
@@ -179,9 +182,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = cut(found.filter("id is not null and bands is not null").groupBy("key", "more").agg(F.min(F.struct("id", "rank", "s1", "s2", "bands")).alias("n")).select("key", "more", "n.*"))
     tree = cut(tree_of(nodes.select(F.explode("bands").alias("bucket"), "rank", "s1", "s2", "id")))
     # the signature's first word stands for the code: its differing bits are among the signature's
-    near = components(links(tree, APART, APART))
+    near = components(links(tree, APART, APART), rows_a_task=EDGES)
     clusters = cut(near.unionByName(near.select(F.col("component_id").alias("id"), "component_id")).distinct())
-    held = components(confirmed(cut(members(docs, clusters, id_col, text_col, shingle)), least))
+    held = components(confirmed(cut(members(docs, clusters, id_col, text_col, shingle)), least), rows_a_task=EDGES)
     named = nodes.join(held, "id", "left").select("key", "more", F.coalesce("component_id", "id").alias("component_id"))
     whole = found.select("id", "n_shingles", "key", "more").join(named, ["key", "more"], "left")
     return whole.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))

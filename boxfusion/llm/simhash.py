@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, cut, refuse_reserved, without
+from .common import cut as checkpointed
 
 BITS = 64
 LEAF, GROUP, SKETCH = 512, 16, 128
@@ -319,18 +320,25 @@ def links(tree: DataFrame, most: int = 4, apart: int | None = None) -> DataFrame
     return own.unionByName(joined.select("rows", "ids", "other_rows", "other_ids").mapInArrow(across, "src long, dst long"))
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60, rows_a_task: int | None = None) -> DataFrame:
     """(id, component_id) for all ends of ``edges`` (src, dst): the least id reachable.
 
-    Large-star and small-star steps in turn, until the edges stay as they are."""
+    Large-star and small-star steps in turn, until the edges stay as they are.  rows_a_task: a round's edges lie in as many
+    partitions as follows from their count in the round before, and eight at least, so that few edges are few files."""
+    parts = None
 
     def state(e: DataFrame) -> tuple:
         r = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("h")).first()
         return r["n"], r["h"]
 
+    def cut(df: DataFrame) -> DataFrame:
+        return checkpointed(df.coalesce(parts) if parts else df)
+
     edges = cut(edges.filter("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
     before = state(edges)
     for _ in range(most_rounds):
+        if rows_a_task is not None:
+            parts = max(8, -(-2 * before[0] // rows_a_task))
         # the least neighbours are written first: only a join of two plain shuffles is split where a node
         # has a large share of all edges
         both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
