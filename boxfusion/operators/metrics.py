@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxfusion.operators.matching import match
+from boxfusion.operators import evaluation
+from boxfusion.operators.evaluation import ERRORS, THRESHOLDS, box_errors  # noqa: F401
 from boxfusion.operators.ranking import part_of, running
 from boxfusion.schemas import lookup
 
@@ -36,7 +35,6 @@ def roc_auc(rows: DataFrame, by: list[str], score: str = "score", label: str = "
 
 
 RANGES = {"car": 50.0, "truck": 50.0, "bus": 50.0, "trailer": 50.0, "construction_vehicle": 50.0, "pedestrian": 40.0, "motorcycle": 40.0, "bicycle": 40.0, "traffic_cone": 30.0, "barrier": 30.0}
-THRESHOLDS = (0.5, 1.0, 2.0, 4.0)
 
 
 def detection_ap(preds: DataFrame, gts: DataFrame, frame: list[str], class_col: str = "class_name", model: tuple[str, ...] = (), order: tuple[str, ...] = ("expert_ord", "box_pos"), thresholds: tuple[float, ...] = THRESHOLDS, min_recall: float = 0.1, min_precision: float = 0.1) -> DataFrame:
@@ -47,65 +45,14 @@ def detection_ap(preds: DataFrame, gts: DataFrame, frame: list[str], class_col:
     A match depends on nothing outside its frame and class, so frames are folded by themselves and
     only their verdicts are ranked together."""
     n_gt = gts.groupBy(class_col).agg(F.count("*").alias("n_gt"))
-    out = None
-    for t in thresholds:
-        m = match(preds, gts, [*frame, class_col], model, order=order, metric="center", threshold=t, strict=True, last_wins=False).withColumn("threshold", F.lit(t))
-        out = m if out is None else out.unionByName(m)
-    by = [*model, class_col, "threshold"]
-    best = at_recalls(out.join(n_gt, class_col), by, [*frame, *order], min_recall)
-    gain = F.greatest(F.col("precision") - min_precision, F.lit(0.0))
-    ap = best.groupBy(*by).agg((F.sum(gain) / (100 - round(100 * min_recall)) / (1 - min_precision)).alias("ap"))
-    every = n_gt.select(class_col, F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"))
+    found = evaluation.verdicts(preds, gts, [*frame, class_col], model, order=order, thresholds=thresholds)
+    every = n_gt.select(class_col)
     if model:  # models, like classes and thresholds, are few
         named = preds.agg(F.collect_set(F.struct(*model)).alias("m")).scalar()
-        every = every.withColumn("m", F.explode(named)).select("m.*", class_col, "threshold")
-    return every.join(ap, by, "left").select(*by, F.coalesce("ap", F.lit(0.0)).alias("ap"))
-
-
-def at_recalls(verdicts: DataFrame, by: list[str], tie: list[str], min_recall: float) -> DataFrame:
-    """(by, k, precision, confidence) at the recalls k / 100 above ``min_recall`` that are reached, linear
-    between the points of the curve; of points of one recall the last counts from there on.
-
-    verdicts: by, score, label, n_gt."""
-    levels = round(100 * min_recall) + 1
-    pr = running(verdicts, by, part_of(F.col("score")), [F.col("score").desc(), *map(F.col, tie)], {"tp": F.col("label"), "seen": F.lit(1)}).select(*by, "n_gt", "score", "tp", "seen")
-    points = pr.groupBy(*by, "n_gt", "tp").agg(F.max_by(F.struct(F.col("tp") / F.col("seen"), "score"), -F.col("seen")).alias("first"), F.max_by(F.struct(F.col("tp") / F.col("seen"), "score"), "seen").alias("last"))
-    o = Window.partitionBy(*by).orderBy("tp")
-    seg = points.select(*by, (F.col("tp") / F.col("n_gt")).alias("r1"), "first", "last", F.lag(F.col("tp") / F.col("n_gt")).over(o).alias("r0"), F.lag("last").over(o).alias("p0"))
-    k = F.explode(F.sequence(F.lit(levels), F.lit(100))).alias("k")
-    grid = seg.select("*", k).withColumn("r", F.col("k") / 100).filter((F.col("r") <= F.col("r1")) & (F.col("r0").isNull() | (F.col("r") > F.col("r0"))))
-    share = (F.col("r") - F.col("r0")) / (F.col("r1") - F.col("r0"))
-
-    def between(n: int):
-        x = ["col1", "score"][n]
-        return F.when(F.col("r") == F.col("r1"), F.col(f"last.{x}")).when(F.col("r0").isNull(), F.col(f"first.{x}")).otherwise(F.col(f"p0.{x}") + share * (F.col(f"first.{x}") - F.col(f"p0.{x}")))
-
-    return grid.select(*by, "k", between(0).alias("precision"), between(1).alias("confidence"))
-
-
-#: Errors of matched boxes, and the classes for which each means nothing.
-UNDEFINED = {"orient_err": ("traffic_cone",), "vel_err": ("traffic_cone", "barrier"), "attr_err": ("traffic_cone", "barrier")}
-ERRORS = ("trans_err", "scale_err", "orient_err", "vel_err", "attr_err")
-
-
-def box_errors(pairs: DataFrame, class_col: str = "class_name") -> DataFrame:
-    """``pairs`` of a prediction and its ground truth (columns with suffix _gt) with ERRORS: distance, one
-    minus the overlap of aligned sizes, least turn (a barrier looks alike both ways), speed
-    difference, and whether attributes differ (null where the truth has none)."""
-    g = lambda c: F.col(f"{c}_gt")
-    inter = F.least("w", g("w")) * F.least("l", g("l")) * F.least("h", g("h"))
-    union = F.col("w") * F.col("l") * F.col("h") + g("w") * g("l") * g("h") - inter
-    period = F.when(F.col(class_col) == "barrier", F.lit(math.pi)).otherwise(F.lit(2 * math.pi))
-    turn = F.pmod(F.col("yaw") - g("yaw") + period / 2, period) - period / 2
-    return pairs.withColumns(
-        {
-            "trans_err": F.sqrt(F.pow(F.col("x") - g("x"), 2) + F.pow(F.col("y") - g("y"), 2)),
-            "scale_err": 1 - inter / union,
-            "orient_err": F.abs(turn),
-            "vel_err": F.sqrt(F.pow(F.col("vx") - g("vx"), 2) + F.pow(F.col("vy") - g("vy"), 2)),
-            "attr_err": F.when(g("attribute") == "", None).otherwise((F.col("attribute") != g("attribute")).cast("double")),
-        }
-    )
+        every = every.withColumn("m", F.explode(named)).select("m.*", class_col)
+    by = [*model, class_col]
+    each = evaluation.evaluate(found, n_gt, by, [*frame, *order], class_col, thresholds, min_recall=min_recall, min_precision=min_precision, every=every)
+    return each.select(*by, F.explode(F.arrays_zip(F.array(*map(F.lit, thresholds)).alias("threshold"), F.col("aps").alias("ap"))).alias("z")).select(*by, "z.threshold", "z.ap")
 
 
 def tp_errors(verdicts: DataFrame, by: list[str], tie: list[str], class_col: str = "class_name", errors: tuple[str, ...] = ERRORS, min_recall: float = 0.1) -> DataFrame:
@@ -113,25 +60,10 @@ def tp_errors(verdicts: DataFrame, by: list[str], tie: list[str], class_col: str
     off at the confidence of the recall; 1 where that recall is not reached, NaN where undefined.
 
     verdicts: by, score, label, n_gt and, where label is 1, the errors."""
-    sums = {f"sum_{e}": F.coalesce(e, F.lit(0.0)) for e in errors} | {f"n_{e}": F.col(e).isNotNull().cast("int") for e in errors}
-    run = running(verdicts.filter("label = 1"), by, part_of(F.col("score")), [F.col("score").desc(), *map(F.col, tie)], sums)
-    run = run.select(*by, F.col("score").alias("at"), *[F.when(F.col(f"n_{e}") > 0, F.col(f"sum_{e}") / F.col(f"n_{e}")).alias(e) for e in errors]).withColumn("k", F.lit(None).cast("int"))
-    asked = at_recalls(verdicts, by, tie, min_recall).filter("confidence > 0").select(*by, F.col("confidence").alias("at"), *[F.lit(None).cast("double").alias(e) for e in errors], "k")
-    o = Window.partitionBy(*by).orderBy(F.col("at").desc(), F.col("k").isNotNull())
-    up, down = o.rowsBetween(Window.unboundedPreceding, 0), o.rowsBetween(0, Window.unboundedFollowing)
-    point = lambda e: F.when(F.col("k").isNull(), F.struct("at", F.coalesce(e, F.lit(1.0)).alias("v")))
-    both = run.unionByName(asked)
-    both = both.select("*", *[F.last(point(e), True).over(up).alias(f"{e}0") for e in errors], *[F.first(point(e), True).over(down).alias(f"{e}1") for e in errors]).filter("k is not null")
-
-    def read(e: str):
-        a, b = F.col(f"{e}0"), F.col(f"{e}1")
-        share = (a["at"] - F.col("at")) / (a["at"] - b["at"])
-        return F.when(b.isNull() | (a["at"] == F.col("at")), a["v"]).when(a.isNull() | (a["at"] == b["at"]), b["v"]).otherwise(a["v"] + share * (b["v"] - a["v"]))
-
-    found = both.groupBy(*by).agg(*[F.avg(read(e)).alias(e) for e in errors])
-    every = verdicts.select(*by).distinct()
-    undefined = {e: F.col(class_col).isin(*UNDEFINED.get(e, ())) if UNDEFINED.get(e) else F.lit(False) for e in errors}
-    return every.join(found, by, "left").select(*by, *[F.when(undefined[e], F.lit(float("nan"))).otherwise(F.coalesce(e, F.lit(1.0))).alias(e) for e in errors])
+    rows = verdicts.withColumn("hits", F.array(F.when(F.col("label") == 1, F.lit(0))))
+    n_gt = verdicts.groupBy(class_col).agg(F.max("n_gt").alias("n_gt"))
+    found = evaluation.evaluate(rows.drop("n_gt"), n_gt, by, tie, class_col, (2.0,), 2.0, errors, min_recall)
+    return found.drop("aps")
 
 
 def detection_score(ap: DataFrame, errors: DataFrame, model: tuple[str, ...] = ()) -> DataFrame:

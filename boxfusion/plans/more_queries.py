@@ -170,23 +170,6 @@ def box_errors(spark: SparkSession, d: str) -> DataFrame:
     return rounded(errors.select("box_key", *metrics.ERRORS), "trans_err", "scale_err", "orient_err", "vel_err")
 
 
-_AP = "SELECT expert_ix, class_ix, avg(score) AS ap FROM {boxes} GROUP BY expert_ix, class_ix"
-_ERR = "SELECT expert_ix, class_ix, avg(x) AS trans_err, avg(score) AS scale_err, CASE WHEN class_ix = 1 THEN CAST('NaN' AS DOUBLE) ELSE avg(score)/2 END AS vel_err FROM {boxes} GROUP BY expert_ix, class_ix"
-
-
-@query(
-    """SELECT expert_ix, round(m, 6) AS mean_ap, round(t, 6) AS trans_err, round(s, 6) AS scale_err, round(v, 6) AS vel_err, round((5*m + 1 - least(1, t) + 1 - least(1, s) + 1 - least(1, v))/8, 6) AS nds
-       FROM (SELECT expert_ix, avg(ap) AS m FROM aps GROUP BY expert_ix) JOIN (SELECT expert_ix, avg(trans_err) AS t, avg(scale_err) AS s, avg(vel_err) FILTER (NOT isnan(vel_err)) AS v FROM errs GROUP BY expert_ix) USING (expert_ix)""",
-    aps=_AP.format(boxes="boxes"),
-    errs=_ERR.format(boxes="boxes"),
-)
-def detection_score(spark: SparkSession, d: str) -> DataFrame:
-    """Mean precision and errors of each expert as one score; undefined errors do not count."""
-    boxes = X.boxes(spark, d)
-    out = metrics.detection_score(spark.sql(_AP, boxes=boxes), spark.sql(_ERR, boxes=boxes), ("expert_ix",))
-    return rounded(out, "mean_ap", "trans_err", "scale_err", "vel_err", "nds")
-
-
 @query(f"SELECT box_key FROM (SELECT *, {_NAMED} AS name, CAST(frame_idx % 60 AS DOUBLE) AS ego_x FROM boxes) WHERE sqrt((x - ego_x)*(x - ego_x) + (y - 3)*(y - 3)) < CASE name WHEN 'car' THEN 50 WHEN 'pedestrian' THEN 40 ELSE 30 END")
 def boxes_in_range(spark: SparkSession, d: str) -> DataFrame:
     boxes = X.boxes(spark, d).withColumn("class_name", F.expr(_NAMED))

@@ -565,4 +565,4 @@ def draft_labels(spark: SparkSession, d: str) -> DataFrame:
     return nms.cap(kept, FRAME, order=("class_ix", "box_key")).select("box_key", *FRAME, "class_ix", "score")
 
 
-from boxfusion.plans import more_queries  # noqa: E402, F401 - registers further queries
+from boxfusion.plans import evaluation_queries, more_queries  # noqa: E402, F401 - register further queries
