@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,50 +44,72 @@ def greedy_pairs(tracks: list[tuple[float, float]], found: list[tuple[float, flo
     return out
 
 
-def track_group(boxes: pd.DataFrame, gate: float, max_misses: int, frame: str, order: list[str]) -> list[int]:
-    """Track ids of the rows of ``boxes``, one class of one scene, sorted by ``frame`` and ``order``."""
-    ids = [0] * len(boxes)
-    active: list[list] = []  # x, y, last frame, id
-    fresh = start = 0
-    frames, xs, ys = boxes[frame].to_numpy(), boxes["x"].to_numpy(), boxes["y"].to_numpy()
-    while start < len(boxes):
-        end = start
-        while end < len(boxes) and frames[end] == frames[start]:
-            end += 1
-        now = frames[start]
-        # frames without boxes age tracks too
-        active = [t for t in active if now - t[2] <= max_misses + 1]
-        pairs = greedy_pairs([(t[0], t[1]) for t in active], [(xs[k], ys[k]) for k in range(start, end)], gate)
-        taken = {d: t for t, d in pairs}
-        for d in range(end - start):
-            k = start + d
-            if d in taken:
-                active[taken[d]][:3] = [xs[k], ys[k], now]
-                ids[k] = active[taken[d]][3]
-            else:
-                active.append([xs[k], ys[k], now, fresh])
-                ids[k] = fresh
-                fresh += 1
-        start = end
-    return ids
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def nearest_first(pairs: Column) -> Column:
+    """(t, d), the ends that are taken from sorted ``pairs`` of t and d, each end once."""
+    zero = F.struct(F.array().cast("array<int>").alias("t"), F.array().cast("array<int>").alias("d"))
+
+    def take(acc: Column, p: Column) -> Column:
+        taken = F.array_contains(acc["t"], p["t"]) | F.array_contains(acc["d"], p["d"])
+        return F.when(taken, acc).otherwise(F.struct(F.concat(acc["t"], F.array(p["t"])).alias("t"), F.concat(acc["d"], F.array(p["d"])).alias("d")))
+
+    return F.aggregate(pairs, zero, take)
 
 
 def track(boxes: DataFrame, scene: str = "scene_token", frame: str = "frame_idx", class_col: str = "class_name", order: tuple[str, ...] = ("expert_ord", "box_pos"), gate: float | dict[str, float] | None = None, max_misses: int = 1) -> DataFrame:
     """``boxes`` with track_id, unique within scene and class, and hit_count, the track's boxes.
 
     Each frame's boxes go to the nearest open track of their class by its last seen place, within the
-    class's gate; a track ends when it misses more than ``max_misses`` frames.  A scene holds some
-    forty frames of one class, which one task tracks."""
-    gates = TRACK_GATES if gate is None else gate
-    by = [frame, *order]
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values(by, kind="stable")
-        reach = gates.get(str(g[class_col].iloc[0]), DEFAULT_GATE) if isinstance(gates, dict) else gates
-        return g.assign(track_id=pd.Series(track_group(g, reach, max_misses, frame, list(order)), index=g.index, dtype="int64"))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in boxes.schema) + ", track_id long"
-    out = boxes.groupBy(scene, class_col).applyInPandas(run, schema)
+    class's gate; a track ends when it misses more than ``max_misses`` frames, with boxes or without.  A scene's boxes
+    of one class, some forty frames, are folded frame by frame with the open tracks as state, in the JVM."""
+    reach = F.lit(gate) if isinstance(gate, int | float) else lookup(TRACK_GATES if gate is None else gate, F.col(class_col).cast("string"), DEFAULT_GATE)
+    item = F.struct(frame, *order, "x", "y", F.struct("*").alias("row"))
+    grouped = boxes.groupBy(scene, class_col).agg(F.sort_array(F.collect_list(item)).alias("items")).withColumn("gate", reach.cast("double"))
+    kind = dict(boxes.dtypes)[frame]
+    zero = F.struct(F.array().cast(f"array<struct<id:bigint,x:double,y:double,seen:{kind}>>").alias("open"), F.lit(0).cast("bigint").alias("fresh"), F.array().cast("array<bigint>").alias("ids"))
+
+    def step(acc: Column, now: Column) -> Column:
+        def at(k: Column, track_id: Column, found: Column) -> Column:
+            d = F.get(found, k)
+            return F.struct(track_id.cast("bigint").alias("id"), d["x"].cast("double").alias("x"), d["y"].cast("double").alias("y"), now.alias("seen"))
+
+        def matched(found: Column, active: Column) -> Column:
+            def apart(t: Column, ti: Column) -> Column:
+                dist = lambda d: F.sqrt((d["x"] - t["x"]) * (d["x"] - t["x"]) + (d["y"] - t["y"]) * (d["y"] - t["y"]))
+                return F.transform(found, lambda d, di: F.struct(dist(d).alias("far"), ti.alias("t"), di.alias("d")))
+
+            pairs = F.array_sort(F.filter(F.flatten(F.transform(active, apart)), lambda p: p["far"] <= F.col("gate")))
+            return let(nearest_first(pairs), lambda picks: after(found, active, picks))
+
+        def after(found: Column, active: Column, picks: Column) -> Column:
+            alone = F.filter(F.transform(found, lambda d, di: di), lambda di: ~F.array_contains(picks["d"], di))
+            return let(alone, lambda new: moved(found, active, picks, new))
+
+        def moved(found: Column, active: Column, picks: Column, new: Column) -> Column:
+            def id_of(d: Column, di: Column) -> Column:
+                n = F.array_position(picks["d"], di)
+                return F.when(n > 0, F.get(active, F.get(picks["t"], (n - 1).cast("int")))["id"]).otherwise(acc["fresh"] + F.array_position(new, di) - 1)
+
+            def place(t: Column, ti: Column) -> Column:
+                n = F.array_position(picks["t"], ti)
+                return F.when(n > 0, at(F.get(picks["d"], (n - 1).cast("int")), t["id"], found)).otherwise(t)
+
+            opened = F.transform(new, lambda di, k: at(di, acc["fresh"] + k, found))
+            return F.struct(F.concat(F.transform(active, place), opened).alias("open"), (acc["fresh"] + F.size(new)).alias("fresh"), F.concat(acc["ids"], F.transform(found, id_of)).alias("ids"))
+
+        # frames without boxes age tracks too
+        active = F.filter(acc["open"], lambda t: now - t["seen"] <= max_misses + 1)
+        found = F.filter("items", lambda i: i[frame] == now)
+        return let(found, lambda f: let(active, lambda a: matched(f, a)))
+
+    frames = F.array_distinct(F.transform("items", lambda i: i[frame]))
+    ids = F.aggregate(frames, zero, step, lambda acc: acc["ids"])
+    rows = grouped.select(F.explode(F.zip_with("items", ids, lambda i, t: F.struct(i["row"].alias("row"), t.alias("id")))).alias("z"))
+    out = rows.select("z.row.*", F.col("z.id").alias("track_id"))
     return out.withColumn("hit_count", F.count("*").over(Window.partitionBy(scene, class_col, "track_id")).cast("int"))
 
 

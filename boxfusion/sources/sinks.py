@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 
 def submitted() -> Column:
-    """A box as submissions have it."""
+    """A box as submissions have it; one of unknown velocity is written without."""
     return F.struct(
-        "sample_token", F.array("x", "y", "z").alias("translation"), F.array("w", "l", "h").alias("size"), F.array("qw", "qx", "qy", "qz").alias("rotation"), F.array("vx", "vy").alias("velocity"),
+        "sample_token", F.array("x", "y", "z").alias("translation"), F.array("w", "l", "h").alias("size"), F.array("qw", "qx", "qy", "qz").alias("rotation"), F.when(F.col("vx").isNotNull(), F.array("vx", "vy")).alias("velocity"),
         F.col("class_name").alias("detection_name"), F.col("score").alias("detection_score"), F.coalesce("attribute", F.lit("")).alias("attribute_name"),
     )
 
