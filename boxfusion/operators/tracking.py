@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxfusion.functions.geometry import clip, iou
-from boxfusion.operators.nms import fold_keep
+from boxfusion.operators.state import cut
 from boxfusion.schemas import TRACK_GATES, lookup
 
 DEFAULT_GATE = 4.0
@@ -19,10 +19,10 @@ def scene_frames(samples: DataFrame, scenes: DataFrame, tokens: DataFrame | None
     samples: token, next, scene_token; scenes: token, first_sample_token.  A pointer chase doubles its stride in
     each round, so long scenes take a logarithm of rounds."""
     step = samples.select(F.col("token").alias("sample_token"), F.when(F.col("next") != "", F.col("next")).alias("jump"))
-    step = step.withColumn("behind", F.col("jump").isNotNull().cast("long"))  # how many samples follow
+    step = cut(step.withColumn("behind", F.col("jump").isNotNull().cast("long")))  # how many samples follow
     while step.filter("jump is not null").limit(1).count():
         far = step.select(F.col("sample_token").alias("jump"), F.col("jump").alias("far"), F.col("behind").alias("more"))
-        step = step.join(far, "jump", "left").select("sample_token", F.col("far").alias("jump"), (F.col("behind") + F.coalesce("more", F.lit(0))).alias("behind")).persist()
+        step = cut(step.join(far, "jump", "left").select("sample_token", F.col("far").alias("jump"), (F.col("behind") + F.coalesce("more", F.lit(0))).alias("behind")))
     named = samples.select(F.col("token").alias("sample_token"), "scene_token").join(scenes.select(F.col("token").alias("scene_token"), "first_sample_token"), "scene_token")
     first = step.select(F.col("sample_token").alias("first_sample_token"), F.col("behind").alias("most"))
     chain = step.join(named, "sample_token").join(first, "first_sample_token").filter(F.col("behind") <= F.col("most"))
@@ -117,13 +117,14 @@ def rescored(score: Column, hits: Column, orphan_penalty: float = 1.0, boost: fl
     return clip(F.when(hits == 1, score * orphan_penalty).when(hits >= boost_from, score * boost).otherwise(score))
 
 
-def interpolate(tracks: DataFrame, scene: str = "scene_token", frame: str = "frame_idx", class_col: str = "class_name", order: tuple[str, ...] = ("expert_ord", "box_pos"), discount: float = 0.5, threshold: float = 0.3, frames: DataFrame | None = None, expert: str | None = "expert") -> DataFrame:
+def insertions(tracks: DataFrame, scene: str = "scene_token", frame: str = "frame_idx", class_col: str = "class_name", order: tuple[str, ...] = ("expert_ord", "box_pos"), discount: float = 0.5, threshold: float = 0.3, frames: DataFrame | None = None, expert: str | None = "expert") -> DataFrame:
     """Boxes for frames that a track skips, one at a time: the mean of both neighbours' places, sizes
-    and velocities, all else from the earlier one, the score their lesser one times ``discount``.
+    and velocities, all else from the earlier one, the score their lesser one times ``discount``; and ``verdict``:
+    'real' where a real box of the frame and class overlaps by ``threshold``, 'inserted' where one inserted before
+    does, else 'kept'.
 
-    Dropped where a real box of the frame and class overlaps by ``threshold``, or one inserted
-    earlier; insertion follows the tracks' first boxes.  ``frames`` (scene, frame and more columns)
-    names the frames that exist."""
+    Each frame's insertions follow the tracks' first boxes, and see its real boxes and earlier insertions together.
+    ``frames`` (scene, frame and more columns) names the frames that exist."""
     means = [c for c in ("x", "y", "z", "w", "l", "h", "vx", "vy") if c in tracks.columns]
     w = Window.partitionBy(scene, class_col, "track_id").orderBy(frame)
     first = F.min(F.struct(frame, *order)).over(Window.partitionBy(scene, class_col, "track_id"))
@@ -136,14 +137,27 @@ def interpolate(tracks: DataFrame, scene: str = "scene_token", frame: str = "fra
     if frames is not None:
         extra = [c for c in frames.columns if c not in (scene, frame)]
         new = new.drop(*extra).join(frames, [scene, frame]).select(*tracks.columns, "__first__", "__gap__")
-    real = tracks.select(*keys, *[F.col(c).alias(f"{c}2") for c in "xywl"])
-    # an anti join on the keys and the overlap of their boxes
-    free = new.drop("__n__").join(real.alias("r"), [new[k] == real[k] for k in keys] + [iou(None, None, "2") >= threshold], "left_anti")
-    item = F.struct(F.col("__first__").alias("first"), F.col("__gap__").alias("gap"), *order, *"xywl", F.struct(*tracks.columns).alias("row"))
-    grouped = free.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("items"))
-    kind = dict(grouped.dtypes)["items"][len("array<") : -1]
-    kept = fold_keep(F.col("items"), kind, lambda k, c: iou(k, c) >= threshold)
-    return grouped.select(F.inline(F.transform(kept, lambda k: k["row"])))
+    shape = F.struct(*[F.col(c).cast("double").alias(c) for c in "xywl"])
+    item = F.struct(F.col("__first__").alias("first"), F.col("__gap__").alias("gap"), *order, shape.alias("at"), F.struct(*tracks.columns).alias("row"))
+    grouped = new.drop("__n__").groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("items"))
+    real = tracks.groupBy(*keys).agg(F.collect_list(shape).alias("real"))
+    met = grouped.join(real, keys, "left").withColumn("real", F.coalesce("real", F.array().cast("array<struct<x:double,y:double,w:double,l:double>>")))
+    zero = F.struct(F.array().cast("array<struct<x:double,y:double,w:double,l:double>>").alias("kept"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, c: Column) -> Column:
+        over = lambda those: F.exists(those, lambda k: iou(k, c["at"]) >= threshold)
+        verdict = F.when(over(F.col("real")), F.lit("real")).when(over(acc["kept"]), F.lit("inserted")).otherwise(F.lit("kept"))
+        note = lambda v: F.struct(F.when(v == "kept", F.concat(acc["kept"], F.array(c["at"]))).otherwise(acc["kept"]).alias("kept"), F.concat(acc["out"], F.array(v)).alias("out"))
+        return let(verdict, note)
+
+    verdicts = F.aggregate("items", zero, step, lambda acc: acc["out"])
+    rows = met.select(F.explode(F.zip_with("items", verdicts, lambda i, v: F.struct(i["row"].alias("row"), v.alias("verdict")))).alias("z"))
+    return rows.select("z.row.*", "z.verdict")
+
+
+def interpolate(tracks: DataFrame, scene: str = "scene_token", frame: str = "frame_idx", class_col: str = "class_name", order: tuple[str, ...] = ("expert_ord", "box_pos"), discount: float = 0.5, threshold: float = 0.3, frames: DataFrame | None = None, expert: str | None = "expert") -> DataFrame:
+    """The ``insertions`` that nothing stands in the way of."""
+    return insertions(tracks, scene, frame, class_col, order, discount, threshold, frames, expert).filter("verdict = 'kept'").drop("verdict")
 
 
 def refine(boxes: DataFrame, scene: str = "scene_token", frame: str = "frame_idx", class_col: str = "class_name", order: tuple[str, ...] = ("expert_ord", "box_pos"), orphan_penalty: float = 0.7, discount: float = 0.9, excluded: tuple[str, ...] = ("car", "bicycle"), threshold: float = 0.3, gate: float | dict[str, float] | None = None, frames: DataFrame | None = None) -> DataFrame:
