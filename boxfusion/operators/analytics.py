@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxfusion.functions.geometry import bin_label
+from boxfusion.operators.quantiles import quantiles
 
 
 def rate_by(rows: DataFrame, by: str, label: str = "label") -> DataFrame:
@@ -57,8 +58,9 @@ def histogram(rows: DataFrame, column: str, bins: int = 60, low: float = 0.0, hi
 
 def clipped_histogram(rows: DataFrame, column: str, bins: int = 40, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Of values clipped to two quantiles."""
-    edges = rows.agg(F.percentile(column, F.lit(low)).alias("low"), F.percentile(column, F.lit(high)).alias("high")).first()
-    return histogram(rows.withColumn(column, F.greatest(F.lit(edges["low"]), F.least(F.lit(edges["high"]), F.col(column)))), column, bins, edges["low"], edges["high"])
+    q = quantiles(rows, [column], [low, high])
+    first, last = q[column, low], q[column, high]
+    return histogram(rows.withColumn(column, F.greatest(F.lit(first), F.least(F.lit(last), F.col(column)))), column, bins, first, last)
 
 
 def best_expert(metrics: DataFrame, expert: str = "expert", fused: str = "fused", by: str = "class_id", value: str = "ap") -> DataFrame:
@@ -98,7 +100,9 @@ def sample(rows: DataFrame, key: list[str], most: int = 60_000) -> DataFrame:
 
 def median_gate(rows: DataFrame, less: str = "box_width", more: str = "box_length") -> DataFrame:
     """One row: both medians and whether the first is the lesser."""
-    return rows.agg(F.median(less).alias("low"), F.median(more).alias("high")).withColumn("ok", F.col("low") < F.col("high"))
+    q = quantiles(rows, [less, more], [0.5])
+    low, high = (F.lit(q[c, 0.5]).cast("double") for c in (less, more))
+    return rows.sparkSession.range(1).select(low.alias("low"), high.alias("high"), (low < high).alias("ok"))
 
 
 def log_summary(log: DataFrame, fields: list[str], ts: str = "ts") -> DataFrame:
@@ -111,9 +115,10 @@ def describe(rows: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, sample deviation, least, quartiles (linear between values) and greatest, one row for
     each of ``columns``."""
     names = ("count", "mean", "std", "min", "p25", "p50", "p75", "max")
+    q = quantiles(rows, columns, [0.25, 0.5, 0.75])
 
     def of(c: str):
-        values = (F.count(c), F.avg(c), F.stddev_samp(c), F.min(c), F.percentile(c, F.lit(0.25)), F.percentile(c, F.lit(0.5)), F.percentile(c, F.lit(0.75)), F.max(c))
+        values = (F.count(c), F.avg(c), F.stddev_samp(c), F.min(c), *[F.lit(q[c, p]) for p in (0.25, 0.5, 0.75)], F.max(c))
         return F.struct(F.lit(c).alias("feature"), *[v.cast("double").alias(n) for n, v in zip(names, values, strict=True)]).alias(c)
 
     return rows.agg(*[of(c) for c in columns]).select(F.inline(F.array(*[F.col(c) for c in columns])))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boxfusion.operators.quantiles import quantiles
+
 DIMENSIONS = ("box_width", "box_length", "box_height")
 
 
@@ -53,5 +55,5 @@ def summary(rows: DataFrame, **more: object) -> DataFrame:
 
 def winsorise(rows: DataFrame, column: str = "dist_from_ego", factor: float = 3.0, at: float = 0.99) -> DataFrame:
     """Values above ``factor`` times the quantile ``at`` become that."""
-    cap = rows.agg(F.percentile(column, F.lit(at)) * factor).scalar()
-    return rows.withColumn(column, F.least(F.col(column), cap))
+    cap = quantiles(rows, [column], [at])[column, at]
+    return rows if cap is None else rows.withColumn(column, F.least(F.col(column), F.lit(cap * factor)))
