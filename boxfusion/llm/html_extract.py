@@ -293,16 +293,37 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return where
 
 
+#: Elements that hold all of a page's text, whatever their names.
+WHOLE = ("html", "body", "main", "article")
+
+
+def by_text(tokens: list, elements: list[Element], w: Weights) -> list[float]:
+    """Scores of the words of each token for a page in which no region is positive, as nothing around its text has a known
+    name: blocks count by length, end and links alone, against the mean of the page's blocks, and what stands in an element
+    that holds no main text stays negative.  All are negative if no block is prose: unlinked, of 12 words or more, and ended."""
+    told = lambda b: b.features[-3:]
+    outside = lambda b: b.alien >= 0 and elements[b.alien].name not in WHOLE
+    blocks = [t for t in tokens if isinstance(t, Block)]
+    if not any(told(b) == ("unlinked", "long", "ended") and not outside(b) for b in blocks):
+        return [-1.0] * len(tokens)
+    value = lambda b: -3.0 if outside(b) else sum(w.of.get(f, 0.0) for f in told(b))
+    mean = sum(map(value, blocks)) / len(blocks)
+    return [max(-3.0, min(3.0, value(t) - mean + 0.01)) if isinstance(t, Block) else w.tag for t in tokens]
+
+
 def extract(html: str | None, weights: Weights | None = None) -> str:
-    """The main text; '' for null, empty or wordless pages, or if no block scores positive."""
+    """The main text; '' for null, empty or wordless pages, or if no block scores positive and none is prose."""
     if not html:
         return ""
     w = weights or default_weights()
     tokens, elements = parse(html, w)
-    each = [w.block(t) if isinstance(t, Block) else w.tag for t in tokens]
-    start, end = best_region([s * (t.words if isinstance(t, Block) else t) for s, t in zip(each, tokens, strict=True)])
-    good = [k for k in range(start, end) if isinstance(tokens[k], Block) and each[k] > 0]
-    if not good:
+    for scores in (lambda: [w.block(t) if isinstance(t, Block) else w.tag for t in tokens], lambda: by_text(tokens, elements, w)):
+        each = scores()
+        start, end = best_region([s * (t.words if isinstance(t, Block) else t) for s, t in zip(each, tokens, strict=True)])
+        good = [k for k in range(start, end) if isinstance(tokens[k], Block) and each[k] > 0]
+        if good:
+            break
+    else:
         return ""
     # an advert amid a text may cost more than what stands beyond it brings, and headings or lists may
     # score little: the region grows to the article, else the innermost container, that holds it, but for aliens in that

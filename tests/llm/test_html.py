@@ -102,3 +102,23 @@ def test_time_is_linear(part):
     began = time.perf_counter()
     html_extract.extract("".join(part.replace("{}", str(k)) for k in range(50_000)))
     assert time.perf_counter() - began < 6
+
+
+@pytest.mark.parametrize("paragraphs", [1, 6, 40])
+@pytest.mark.parametrize("tag", ["div", "section", "td"])
+def test_pages_of_unknown_names(tag, paragraphs):
+    """Articles in elements of any class or none, in the body itself, in text parted by line breaks, below a body with classes."""
+    r = random.Random(paragraphs)
+    word = lambda: r.choice("stone river walked evening people under bridge carried letters slowly toward harbour where ships waited".split())
+    ps = [" ".join(word() for _ in range(23)).capitalize() + "." for _ in range(paragraphs)]
+    inner, want = "<h1>A heading</h1>" + "".join(f"<p>{p}</p>" for p in ps), "A heading " + " ".join(ps)
+    nav = "<nav><ul>" + "".join(f'<li><a href="/{k}">Link {k}</a></li>' for k in range(5)) + "</ul></nav>"
+    page = lambda x, body="": f"<html><head><title>T</title></head><body{body}>{nav}{x}<footer><p>Contact us by mail or phone at any time of day.</p></footer></body></html>"
+    names = "post entry story blog page container wrapper prose mw-parser-output x1 layout-2 columns center inner box node region copy reading post-12".split()
+    for name in [None, *names]:
+        made = f'<{tag} class="{name}">{inner}</{tag}>' if name else f"<{tag}>{inner}</{tag}>"
+        assert html_extract.extract(page(f"<table><tr>{made}</tr></table>" if tag == "td" else made)) == want, name
+    assert html_extract.extract(page(inner)) == want
+    assert html_extract.extract(page("<div>" + "<br><br>".join(ps) + "</div>")) == " ".join(ps)
+    assert html_extract.extract(page(f"<article>{inner}</article>", ' class="has-sidebar no-banner"')) == want
+    assert html_extract.extract(page("")) == "" == html_extract.extract(f"<nav>{ps[0]}</nav>")
