@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from boxfusion.functions.geometry import bin_label
 from boxfusion.operators.quantiles import quantiles
+from boxfusion.operators.scoring import diagnosis
 
 
 def rate_by(rows: DataFrame, by: str, label: str = "label") -> DataFrame:
@@ -73,6 +74,33 @@ def best_expert(metrics: DataFrame, expert: str = "expert", fused: str = "fused"
     return out.withColumn("delta", F.col("fused_value") - F.col("best_value")).withColumn("won", F.col("delta") > 0).orderBy(F.col("delta").desc(), by)
 
 
+def wins(best: DataFrame) -> DataFrame:
+    """One row (n, n_won, mean_delta, least_delta, greatest_delta) of what ``best_expert`` gives, classes without a delta left out."""
+    known = best.filter("delta is not null")
+    return known.agg(F.count("*").alias("n"), F.count_if("won").alias("n_won"), F.avg("delta").alias("mean_delta"), F.min("delta").alias("least_delta"), F.max("delta").alias("greatest_delta"))
+
+
+def gap_table(rows: DataFrame, fit: str, by: list[str] | tuple[str, ...] = ("class_id", "model"), score: str = "score", label: str = "label") -> DataFrame:
+    """(by, n_train, n_eval, train_ap, eval_ap, gap_ap, train_auc, eval_auc, diagnosis) from rows of both sides (``fit``: of
+    training), by one ranking for both figures; groups without rows to train or positives to evaluate are left out."""
+    from boxfusion.operators.metrics import ranking_figures
+
+    each = ranking_figures(rows, [*by, fit], score, label)
+    side = lambda c, name, yes: F.max(F.when(F.col(fit) == yes, F.col(c))).alias(f"{name}_{c}")
+    both = each.groupBy(*by).agg(*[side(c, name, yes) for c in ("n", "ap", "auc") for name, yes in (("train", True), ("eval", False))])
+    both = both.filter("train_n is not null and eval_ap is not null")
+    gap = F.col("train_ap") - F.col("eval_ap")
+    return both.select(
+        *by, F.col("train_n").alias("n_train"), F.col("eval_n").alias("n_eval"), "train_ap", "eval_ap", gap.alias("gap_ap"), "train_auc", "eval_auc", diagnosis(F.col("train_ap"), F.col("eval_ap")).alias("diagnosis")
+    )
+
+
+def gap_flags(gaps: DataFrame) -> DataFrame:
+    """One row: how many pairs of class and model have each diagnosis."""
+    of = lambda d: F.count_if(F.col("diagnosis") == d)
+    return gaps.agg(of("overfitting risk").alias("n_overfitting"), of("underfitting risk").alias("n_underfitting"), of("OK").alias("n_ok"), F.count("*").alias("n_pairs"))
+
+
 def dataset_summary(rows: DataFrame, frame: str = "sample_token", model: str = "model_name", label: str = "label") -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.sum(label).alias("positives"), F.avg(label).alias("positive_rate"), F.count_distinct(frame).alias("frames"), F.count_distinct(model).alias("experts"), F.count_distinct("class_id").alias("classes"))
 
@@ -82,9 +110,9 @@ def class_weights(rows: DataFrame, by: str = "class_id", label: str = "label") -
     return rows.groupBy(by).agg(F.count("*").alias("n"), pos.alias("positives"), ((F.count("*") - pos) / F.greatest(pos, F.lit(1))).alias("weight"))
 
 
-def gap_summary(folds: DataFrame, by: str = "class_id", gap: str = "gap", wide: float = 0.3) -> DataFrame:
+def gap_summary(folds: DataFrame, by: str | list[str] = "class_id", gap: str = "gap", wide: float = 0.3) -> DataFrame:
     """Mean, sample deviation and range of a gap over folds; ``unstable`` if the range is wide."""
-    out = folds.groupBy(by).agg(F.avg(gap).alias("mean"), F.stddev_samp(gap).alias("std"), F.min(gap).alias("low"), F.max(gap).alias("high"))
+    out = folds.groupBy(*([by] if isinstance(by, str) else by)).agg(F.avg(gap).alias("mean"), F.stddev_samp(gap).alias("std"), F.min(gap).alias("low"), F.max(gap).alias("high"))
     return out.withColumn("unstable", F.col("high") - F.col("low") > wide)
 
 

@@ -34,6 +34,16 @@ def roc_auc(rows: DataFrame, by: list[str], score: str = "score", label: str = "
     return c.groupBy(*by).agg(F.sum(F.when((F.col("positives") > 0) & (negatives > 0), won / (F.col("positives") * negatives))).alias("auc"))
 
 
+def ranking_figures(rows: DataFrame, by: list[str], score: str = "score", label: str = "label") -> DataFrame:
+    """(by, n, positives, ap, auc): ``average_precision`` and ``roc_auc`` by one curve."""
+    c = curve(rows, by, score, label)
+    positives, negatives = F.col("positives"), F.col("rows") - F.col("positives")
+    won = F.col("t") * (negatives - (F.col("seen") - F.col("tp")) + (F.col("n") - F.col("t")) / 2)
+    ap = F.sum(F.when(positives > 0, F.col("t") / positives * F.col("tp") / F.col("seen")))
+    auc = F.sum(F.when((positives > 0) & (negatives > 0), won / (positives * negatives)))
+    return c.groupBy(*by).agg(F.max("rows").alias("n"), F.max("positives").alias("positives"), ap.alias("ap"), auc.alias("auc"))
+
+
 RANGES = {"car": 50.0, "truck": 50.0, "bus": 50.0, "trailer": 50.0, "construction_vehicle": 50.0, "pedestrian": 40.0, "motorcycle": 40.0, "bicycle": 40.0, "traffic_cone": 30.0, "barrier": 30.0}
 
 

@@ -565,4 +565,4 @@ def draft_labels(spark: SparkSession, d: str) -> DataFrame:
     return nms.cap(kept, FRAME, order=("class_ix", "box_key")).select("box_key", *FRAME, "class_ix", "score")
 
 
-from boxfusion.plans import crowd_nms_queries, crowd_queries, evaluation_queries, more_queries, raster_queries, submission_queries, training_queries  # noqa: E402, F401 - register further queries
+from boxfusion.plans import crowd_nms_queries, crowd_queries, evaluation_queries, more_queries, raster_queries, recovery_queries, submission_queries, training_queries  # noqa: E402, F401 - register further queries
