@@ -57,17 +57,20 @@ def peer_features(boxes: DataFrame, frame: list[str], key: list[str], expert: st
     ).drop("peer_experts")
 
 
-def drivable_distance(boxes: DataFrame, tiles: DataFrame | None, scene: str = "scene_token", cell: float = 0.5, x: str = "x", y: str = "y") -> DataFrame:
+def drivable_distance(boxes: DataFrame, tiles: DataFrame | None, scene: str = "scene_token", cell: float = 0.5, x: str = "x", y: str = "y", scenes: DataFrame | None = None, keep: str | None = None) -> DataFrame:
     """``boxes`` with dist_to_drivable_area, from ``tiles`` (scene, ix, iy, distance): the ladder over
     the true distance of the box's tile; beyond the tiles of a known scene the greatest value, -1
-    for scenes without tiles."""
+    for scenes without tiles.  ``scenes``: those with tiles, if cheaper to tell from another table;
+    ``keep``: a column for the true distance, null beyond the tiles."""
     if tiles is None:
-        return boxes.withColumn("dist_to_drivable_area", F.lit(-1.0))
-    known = tiles.select(scene).distinct().withColumn("__known__", F.lit(True))
+        out = boxes.withColumn("dist_to_drivable_area", F.lit(-1.0))
+        return out.withColumn(keep, F.lit(None).cast("double")) if keep else out
+    known = (tiles if scenes is None else scenes).select(scene).distinct().withColumn("__known__", F.lit(True))
     at = boxes.withColumns({"ix": F.floor(F.col(x) / cell), "iy": F.floor(F.col(y) / cell)})
     met = at.join(tiles.select(scene, "ix", "iy", F.col("distance").alias("__d__")), [scene, "ix", "iy"], "left").join(known, scene, "left")
     d = F.when(F.col("__known__"), F.coalesce("__d__", F.lit(1e9)))
-    return met.withColumn("dist_to_drivable_area", drivable_ladder(d)).drop("ix", "iy", "__d__", "__known__")
+    out = met.withColumn("dist_to_drivable_area", drivable_ladder(d))
+    return (out.withColumn(keep, F.col("__d__")) if keep else out).drop("ix", "iy", "__d__", "__known__")
 
 
 def feature_vector(boxes: DataFrame, frame: list[str], key: list[str], expert: str = "expert", class_col: str = "class_name", tiles: DataFrame | None = None, scene: str = "scene_token", least: float = 0.1, cell: float | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -59,17 +61,13 @@ def distance_tiles(mask: DataFrame, of: str = "map_id", cell: float = 0.5, reach
     met = blocks.select(of, F.inline(F.filter(around, lambda x: F.size(x["cells"]) > 0)))
     met = met.groupBy(of, "bx", "by").agg(F.flatten(F.collect_list("cells")).alias("cells"))
 
-    @F.pandas_udf("array<struct<place:int,square:int>>")
-    def transformed(cells: pd.Series) -> pd.Series:
-        def one(found: np.ndarray) -> list[dict[str, int]]:
-            on = np.zeros(side * side, dtype=bool)
-            on[found] = True
-            squares = _squares(on.reshape(side, side), halo).ravel()
-            within = np.flatnonzero(squares <= halo * halo)
-            return [{"place": int(p), "square": int(s)} for p, s in zip(within, squares[within], strict=True)]
-
-        return cells.map(one)
+    def transformed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name, bx, by, cells in zip(b[of], b["bx"], b["by"], b["cells"], strict=True):
+                on = np.zeros(side * side, dtype=bool)
+                on[cells] = True
+                squares = _squares(on.reshape(side, side), halo)
+                iy, ix = np.nonzero(squares <= halo * halo)
+                yield pd.DataFrame({of: name, "ix": bx * block + ix, "iy": by * block + iy, "distance": np.sqrt(squares[iy, ix]) * cell})
 
-    out = met.select(of, "bx", "by", F.inline(transformed("cells")))
-    at = {"ix": F.col("bx") * block + F.col("place") % block, "iy": F.col("by") * block + F.floor(F.col("place") / block)}
-    return out.select(of, *[v.cast("long").alias(k) for k, v in at.items()], (F.sqrt("square") * cell).alias("distance"))
+    return met.mapInPandas(transformed, f"`{of}` {mask.schema[of].dataType.simpleString()}, ix long, iy long, distance double")

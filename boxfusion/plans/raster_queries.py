@@ -37,8 +37,6 @@ def covered(at: DataFrame, cell: float = 0.5) -> DataFrame:
 def drivable_mask_distance(spark: SparkSession, d: str) -> DataFrame:
     """The ladder over a distance transform of a mask, with the distance itself up to 8 m."""
     at = spark.sql(AT, boxes=X.boxes(spark, d))
-    tiles = raster.distance_tiles(covered(at.filter(COVERED)))
-    rung = features.drivable_distance(at, tiles, "map_id")
-    cell = {"ix": F.floor(F.col("x") / 0.5), "iy": F.floor(F.col("y") / 0.5)}
-    out = rung.withColumns(cell).join(tiles, ["map_id", "ix", "iy"], "left")
+    mask = covered(at.filter(COVERED))
+    out = features.drivable_distance(at, raster.distance_tiles(mask), "map_id", scenes=mask, keep="distance")
     return out.select("box_key", F.round("distance", 9).alias("distance"), "dist_to_drivable_area")
