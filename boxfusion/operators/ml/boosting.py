@@ -256,7 +256,7 @@ def train(
                     packed[row], margins[row] = v.tobytes(), [0.0] * len(forests[k].models)
             yield b.drop(columns="x").assign(bins=packed, margins=margins)
 
-    ready = cut(ready.filter(F.col("by").isin(list(forests))).mapInPandas(pack, f"by {kind}, y double, held boolean, h bigint, fold int, bins binary, margins array<double>"))
+    ready = cut(ready.filter(F.col("by").isin(list(forests))).mapInPandas(pack, f"by {kind}, y double, held boolean, h bigint, fold int, bins binary, margins array<double>").hint("rebalance"))  # as many tasks a step as bytes ask for
     whole = ready
     draw = np.random.default_rng(seed)
     while going := {k: f for k, f in forests.items() if not f.ended}:
