@@ -10,14 +10,20 @@ def field(row: Column | None, name: str) -> Column:
     return F.col(name) if row is None else row[name]
 
 
-def iou(a: Column | None, b: Column | None, suffix: str = "") -> Column:
-    """Overlap of two rows or structs with x, y, w, l over their union; 0 if they do not overlap."""
+def intersection(a: Column | None, b: Column | None, suffix: str = "") -> Column:
+    """The area that two rows or structs with x, y, w, l share."""
     ax, ay, aw, al = (field(a, n) for n in "xywl")
     bx, by, bw, bl = (field(b, n + suffix) for n in "xywl")
     dx = F.least(ax + al / 2, bx + bl / 2) - F.greatest(ax - al / 2, bx - bl / 2)
     dy = F.least(ay + aw / 2, by + bw / 2) - F.greatest(ay - aw / 2, by - bw / 2)
-    inter = F.greatest(F.lit(0.0), dx) * F.greatest(F.lit(0.0), dy)
-    union = aw * al + bw * bl - inter
+    return F.greatest(F.lit(0.0), dx) * F.greatest(F.lit(0.0), dy)
+
+
+def iou(a: Column | None, b: Column | None, suffix: str = "", inter: Column | None = None) -> Column:
+    """Overlap of two rows or structs with x, y, w, l over their union; 0 if they do not overlap.  ``inter``: their
+    intersection, where it is known, as lambdas evaluate each mention of it."""
+    inter = intersection(a, b, suffix) if inter is None else inter
+    union = field(a, "w") * field(a, "l") + field(b, "w" + suffix) * field(b, "l" + suffix) - inter
     return F.when((inter > 0) & (union > 0), inter / union).otherwise(F.lit(0.0))
 
 

@@ -30,19 +30,21 @@ def label_boxes(boxes: DataFrame, gts: DataFrame, frame: list[str], class_col: s
     """``boxes`` with ``label``; each expert is matched by itself.  criterion: "iou" for all classes, or
     "config", by which classes of small footprint match by center distance."""
     keys = [*frame, class_col]
-    by_iou = lambda b: match(b, gts, keys, (expert,), order=order, metric="iou", threshold=config.match_iou)
+    by_iou = lambda b: match(b, gts, keys, (expert,), order=order, metric="iou", threshold=config.match_iou, frame=frame)
     if criterion == "iou":
         return by_iou(boxes)
     near = F.col(class_col).isin(*config.distance_label_classes)
-    by_distance = match(boxes.filter(near), gts, keys, (expert,), order=order, metric="center", threshold=config.match_distance)
+    by_distance = match(boxes.filter(near), gts, keys, (expert,), order=order, metric="center", threshold=config.match_distance, frame=frame)
     return by_iou(boxes.filter(~near)).unionByName(by_distance)
 
 
 def build(boxes: DataFrame, gts: DataFrame, gt_frames: DataFrame, frame: list[str], key: list[str], class_col: str = "class_name", expert: str = "expert", order: tuple[str, ...] = ("expert_ord", "box_pos"), criterion: str = "iou", **features: object) -> DataFrame:
-    """Features and labels of the boxes of frames that have ground truth, which may be empty."""
-    inside = boxes.join(gt_frames.select(*frame).distinct(), frame, "left_semi")
-    labels = label_boxes(inside, gts, frame, class_col, expert, order, criterion).select(*key, "label")
-    return feature_vector(inside, frame, key, expert, class_col, **features).join(labels, key)
+    """Features and labels of the boxes of frames that have ground truth, which may be empty.
+
+    Boxes are dealt by frame once; labels go along in their rows."""
+    inside = boxes.repartition(*frame).join(gt_frames.select(*frame).distinct(), frame, "left_semi")
+    labelled = label_boxes(inside, gts, frame, class_col, expert, order, criterion).drop("matched")
+    return feature_vector(labelled, frame, key, expert, class_col, **features)
 
 
 def ordered(rows: DataFrame, frame: list[str], expert: str = "expert", order: tuple[str, ...] = ("box_pos",)) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxfusion.functions.geometry import drivable_ladder, iou, norm
+from boxfusion.functions.geometry import drivable_ladder, intersection, iou, norm
 from boxfusion.schemas import EXPERT_IDS, FEATURES, UNKNOWN_EXPERT, lookup
 
 
@@ -36,14 +38,55 @@ def peer_pairs(boxes: DataFrame, frame: list[str], key: list[str], expert: str =
 
 
 def peer_features(boxes: DataFrame, frame: list[str], key: list[str], expert: str = "expert", class_col: str = "class_name", least: float = 0.1, cell: float | None = None) -> DataFrame:
-    """``boxes`` with n_peer_overlaps ... n_active_experts.  ``key`` names a box."""
+    """``boxes`` with n_peer_overlaps ... n_active_experts.  ``key`` names a box.
+
+    Boxes are dealt by frame once, if they are not yet: a window hands each box its frame's boxes, whose overlaps are
+    folded in its row.
+    With ``cell``, for frames with thousands of boxes, peers come from ``peer_pairs``."""
+    others = F.col("n_active_experts") - 1
+    if cell:
+        return _joined_features(boxes, frame, key, expert, class_col, least, cell, others)
+    whole = Window.partitionBy(*frame)
+    peer = F.struct(F.col(expert).alias("e"), F.col(class_col).alias("c"), *"xywl", F.col("score").alias("s"))
+    known = boxes.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in frame]))  # a box of no frame has no peers to tell
+    at = known.withColumns({"__all": F.collect_list(peer).over(whole), "n_active_experts": F.size(F.collect_set(expert).over(whole)).cast("int")})
+
+    def met(x: Column) -> Column:
+        p = x["p"]
+        return F.struct(iou(None, p, inter=x["n"]).alias("i"), p["s"].alias("s"), p["e"].alias("e"), (p["c"] == F.col(class_col)).cast("double").alias("same"))
+
+    shared = F.transform(F.filter("__all", lambda p: p["e"] != F.col(expert)), lambda p: F.struct(p.alias("p"), intersection(None, p).alias("n")))
+    apart = F.transform(F.filter(shared, lambda x: x["n"] > 0) if least > 0 else shared, met)
+    at = at.withColumns({"__near": F.filter(apart, lambda p: p["i"] >= least), "max_class_score": F.array_max(F.transform(F.filter("__all", lambda p: p["c"].eqNullSafe(F.col(class_col))), lambda p: p["s"]))})
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+
+    scores = F.filter(F.transform("__near", lambda p: p["s"]), lambda v: v.isNotNull())
+    same = F.filter(F.transform("__near", lambda p: p["same"]), lambda v: v.isNotNull())
+    at = at.withColumns({"n_peer_overlaps": F.size("__near"), "__scores": scores, "__same": same})
+    at = at.withColumn("__mean", F.when(F.size("__scores") > 0, total(F.col("__scores")) / F.size("__scores")))
+    zero = lambda v: F.coalesce(v, F.lit(0.0))
+    experts = F.size(F.array_distinct(F.transform("__near", lambda p: p["e"])))
+    return at.withColumns(
+        {
+            "max_peer_iou": zero(F.array_max(F.transform("__near", lambda p: p["i"]))),
+            "mean_peer_score": zero(F.col("__mean")),
+            "score_variance": zero(F.when(F.size("__scores") > 0, total(F.transform("__scores", lambda v: (v - F.col("__mean")) * (v - F.col("__mean")))) / F.size("__scores"))),
+            "expert_agreement": F.when(others > 0, experts / others).otherwise(F.lit(0.0)),
+            "class_agreement": F.when(F.size("__same") > 0, total(F.col("__same")) / F.size("__same")).otherwise(F.lit(-1.0)),
+            "n_spatial_overlaps": F.col("n_peer_overlaps"),
+        }
+    ).drop("__all", "__near", "__scores", "__same", "__mean")
+
+
+def _joined_features(boxes: DataFrame, frame: list[str], key: list[str], expert: str, class_col: str, least: float, cell: float, others: Column) -> DataFrame:
     peers = peer_pairs(boxes, frame, key, expert, class_col, least, cell).groupBy(*key).agg(
         F.count("*").cast("int").alias("n_peer_overlaps"), F.max("iou").alias("max_peer_iou"), F.avg("peer_score").alias("mean_peer_score"), F.var_pop("peer_score").alias("score_variance"),
         F.count_distinct("peer_expert").alias("peer_experts"), F.avg(F.col("same_class").cast("double")).alias("class_agreement"),
     )
     active = boxes.groupBy(*frame).agg(F.count_distinct(expert).cast("int").alias("n_active_experts"))
     out = boxes.join(peers, key, "left").join(active, frame)
-    others = F.col("n_active_experts") - 1
     zero = {c: F.coalesce(c, F.lit(0.0)) for c in ("max_peer_iou", "mean_peer_score", "score_variance")}
     return out.withColumns(
         {
@@ -75,12 +118,12 @@ def drivable_distance(boxes: DataFrame, tiles: DataFrame | None, scene: str = "s
 
 def feature_vector(boxes: DataFrame, frame: list[str], key: list[str], expert: str = "expert", class_col: str = "class_name", tiles: DataFrame | None = None, scene: str = "scene_token", least: float = 0.1, cell: float | None = None) -> DataFrame:
     """``boxes`` with all of FEATURES."""
-    out = peer_features(boxes, frame, key, expert, class_col, least, cell)
+    # the map's tiles meet boxes while these are narrow
+    out = peer_features(drivable_distance(boxes, tiles, scene), frame, key, expert, class_col, least, cell)
     names = dict(boxes.dtypes)
     expert_id = lookup(EXPERT_IDS, F.col(expert), UNKNOWN_EXPERT) if names[expert] == "string" else F.col(expert)
     height = F.col("h") if "h" in names else F.lit(None).cast("double")
     speed = norm(F.col("vx"), F.col("vy")) if "vx" in names else F.lit(0.0)
     out = out.withColumns({"expert_id": expert_id, "detection_score": F.col("score"), "dist_from_ego": norm(F.col("x"), F.col("y")), "box_width": F.col("w"), "box_length": F.col("l"), "box_height": height, "vel_magnitude": speed})
-    out = drivable_distance(out, tiles, scene)
     rest = [c for c in out.columns if c not in FEATURES]
     return out.select(*rest, *FEATURES)

@@ -29,7 +29,9 @@ def suppress(boxes: DataFrame, frame: list[str], class_col: str | None = "class_
     # ordered by (score, order) first; order is a key of the frame, so what follows never decides
     grouped = boxes.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("items"))
     kept = fold_keep(F.col("items"), kind, lambda k, c: iou(k, c) >= threshold)
-    return grouped.select(F.inline(F.transform(kept, lambda k: k["row"])))
+    # keys come from the group, so that rows stay dealt by them
+    out = grouped.select(*keys, F.explode(kept).alias("k"))
+    return out.select(*[F.col(c) if c in keys else F.col("k.row")[c].alias(c) for c in boxes.columns])
 
 
 def cap(boxes: DataFrame, frame: list[str], score: str = "score", order: tuple[str, ...] = ("class_name", "expert_ord", "box_pos"), most: int = 500) -> DataFrame:
