@@ -26,24 +26,26 @@ def _squares(on: np.ndarray, halo: int) -> np.ndarray:
     return np.minimum.reduce([along[k : k + inner] + (k - halo) ** 2 for k in range(2 * halo + 1)])
 
 
-def distance_tiles(mask: DataFrame, of: str = "map_id", cell: float = 0.5, reach: float = 8.0, block: int = BLOCK) -> DataFrame:
+def distance_tiles(mask: DataFrame, of: str = "map_id", cell: float = 0.5, reach: float = 8.0, block: int = BLOCK, asked: DataFrame | None = None) -> DataFrame:
     """(of, ix, iy, distance) of each cell whose center is at most ``reach`` from the center of a cell of ``mask``
     (of, ix, iy): 0 on the mask, elsewhere the exact distance.
 
     A block sends each neighbour the cells that lie within reach of it, so that no task holds more than a
     block and its halo, however large or crowded a map is.  Repeated cells count once; rows with a null are
-    no cells; an empty mask gives no rows."""
+    no cells; an empty mask gives no rows.  ``asked`` (of, ix, iy): only these cells, each once; the cells around a
+    mask are many more than its own, so that those who ask for few should name them."""
     halo = int(reach / cell + 1e-9)
     if not 0 < halo <= block:
         raise ValueError(f"reach must be of 1 to {block} cells")
     side = block + 2 * halo
 
     place = F.pmod("iy", F.lit(block)) * block + F.pmod("ix", F.lit(block))
-    blocks = (
-        mask.filter(F.col(of).isNotNull() & F.col("ix").isNotNull() & F.col("iy").isNotNull())
-        .groupBy(of, F.floor(F.col("ix") / block).alias("bx"), F.floor(F.col("iy") / block).alias("by"))
-        .agg(F.collect_set(place.cast("int")).alias("cells"))
-    )
+
+    def packed(cells: DataFrame, name: str) -> DataFrame:
+        known = cells.filter(F.col(of).isNotNull() & F.col("ix").isNotNull() & F.col("iy").isNotNull())
+        return known.groupBy(of, F.floor(F.col("ix") / block).alias("bx"), F.floor(F.col("iy") / block).alias("by")).agg(F.collect_set(place.cast("int")).alias(name))
+
+    blocks = packed(mask, "cells")
 
     def sent(dx: int, dy: int) -> Column:
         """The cells as the block at (dx, dy) from here sees them, numbered within its halo."""
@@ -60,14 +62,20 @@ def distance_tiles(mask: DataFrame, of: str = "map_id", cell: float = 0.5, reach
     around = F.array(*[sent(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
     met = blocks.select(of, F.inline(F.filter(around, lambda x: F.size(x["cells"]) > 0)))
     met = met.groupBy(of, "bx", "by").agg(F.flatten(F.collect_list("cells")).alias("cells"))
+    met = met.withColumn("asked", F.lit(None).cast("array<int>")) if asked is None else met.join(packed(asked, "asked"), [of, "bx", "by"])
 
     def transformed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for name, bx, by, cells in zip(b[of], b["bx"], b["by"], b["cells"], strict=True):
+            for name, bx, by, cells, some in zip(b[of], b["bx"], b["by"], b["cells"], b["asked"], strict=True):
                 on = np.zeros(side * side, dtype=bool)
                 on[cells] = True
                 squares = _squares(on.reshape(side, side), halo)
-                iy, ix = np.nonzero(squares <= halo * halo)
+                if some is None:
+                    iy, ix = np.nonzero(squares <= halo * halo)
+                else:
+                    iy, ix = np.divmod(some, block)
+                    near = squares[iy, ix] <= halo * halo
+                    iy, ix = iy[near], ix[near]
                 yield pd.DataFrame({of: name, "ix": bx * block + ix, "iy": by * block + iy, "distance": np.sqrt(squares[iy, ix]) * cell})
 
     return met.mapInPandas(transformed, f"`{of}` {mask.schema[of].dataType.simpleString()}, ix long, iy long, distance double")

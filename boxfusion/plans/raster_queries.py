@@ -35,8 +35,9 @@ def covered(at: DataFrame, cell: float = 0.5) -> DataFrame:
             WHERE (c.ix - m.ix)*(c.ix - m.ix) + (c.iy - m.iy)*(c.iy - m.iy) <= 256 GROUP BY c.map_id, c.ix, c.iy""",
 )
 def drivable_mask_distance(spark: SparkSession, d: str) -> DataFrame:
-    """The ladder over a distance transform of a mask, with the distance itself up to 8 m."""
+    """The ladder over a distance transform of a mask, with the distance itself up to 8 m, read off where a box is."""
     at = spark.sql(AT, boxes=X.boxes(spark, d))
     mask = covered(at.filter(COVERED))
-    out = features.drivable_distance(at, raster.distance_tiles(mask), "map_id", scenes=mask, keep="distance")
+    asked = at.select("map_id", F.floor(F.col("x") / 0.5).alias("ix"), F.floor(F.col("y") / 0.5).alias("iy"))
+    out = features.drivable_distance(at, raster.distance_tiles(mask, asked=asked), "map_id", scenes=mask, keep="distance")
     return out.select("box_key", F.round("distance", 9).alias("distance"), "dist_to_drivable_area")

@@ -54,3 +54,14 @@ def test_ladder_over_the_transform(spark):
     at = spark.createDataFrame([("a", 0.2, 0.2), ("a", 1.6, 0.0), ("a", 2.0, 0.4), ("a", 2.6, 0.0), ("a", 8.4, 0.0), ("a", 8.6, 0.0), ("b", 0.0, 0.0)], "map_id string, x double, y double")
     got = {(r.map_id, r.x): r.dist_to_drivable_area for r in drivable_distance(at, tiles, "map_id").collect()}
     assert got == {("a", 0.2): 0.0, ("a", 1.6): 2.0, ("a", 2.0): 2.0, ("a", 2.6): 8.0, ("a", 8.4): 8.0, ("a", 8.6): 16.0, ("b", 0.0): -1.0}
+
+
+def test_asked_cells_alone_are_told(spark):
+    r = np.random.default_rng(5)
+    mask = [(int(m), int(x), int(y)) for m, x, y in zip(r.integers(0, 2, 40), r.integers(-90, 90, 40), r.integers(-90, 90, 40))]
+    asked = [(int(m), int(x), int(y)) for m, x, y in zip(r.integers(0, 3, 600), r.integers(-110, 110, 600), r.integers(-110, 110, 600))]
+    frame = lambda rows: spark.createDataFrame(rows, "map_id int, ix long, iy long")
+    every = {(x["map_id"], x["ix"], x["iy"]): x["distance"] for x in distance_tiles(frame(mask)).collect()}
+    some = distance_tiles(frame(mask), asked=frame([*asked, asked[0], (0, None, 1)])).collect()
+    assert len(some) == len(set(asked) & set(every)) > 0
+    assert all(every[x["map_id"], x["ix"], x["iy"]] == x["distance"] for x in some)
