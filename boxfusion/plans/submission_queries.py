@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxfusion.plans import fixtures as X
 from boxfusion.plans.queries import query
+from boxfusion.schemas import canonical_class
 from boxfusion.sources import splits
 
 _ROWS = """
@@ -38,9 +39,16 @@ def submission_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     zero = F.lit(0.0)
     full = rows.withColumns({"z": zero, "h": F.lit(1.5), "qw": F.lit(1.0), "qx": zero, "qy": zero, "qz": zero, "vy": zero, "attribute": F.lit(None).cast("string")})
     splits.save_shards(full, frames, path, ("box_key",))
-    good, flawed, tokens = splits.read_submission(spark, path, "fused", score_threshold=0.25, tokens=frames.filter(_KEPT))
+    rows = splits.judged(spark, path, "fused", tokens=frames.filter(_KEPT))
     null = lambda k: F.lit(None).cast(k)
-    out = good.select(F.lit("box").alias("kind"), "sample_token", "box_pos", "class_name", "score", "x", "w", null("string").alias("problem"))
-    bad = flawed.select(F.lit("flaw").alias("kind"), "sample_token", "box_pos", null("string").alias("class_name"), null("double").alias("score"), null("double").alias("x"), null("double").alias("w"), "problem")
-    every = tokens.select(F.lit("frame").alias("kind"), "sample_token", null("int").alias("box_pos"), null("string").alias("class_name"), null("double").alias("score"), null("double").alias("x"), null("double").alias("w"), null("string").alias("problem"))
-    return out.unionByName(bad).unionByName(every)
+
+    def row(kind: str, pos: Column, **known: Column) -> Column:
+        given = {"class_name": null("string"), "score": null("double"), "x": null("double"), "w": null("double"), "problem": null("string")} | known
+        return F.struct(F.lit(kind).alias("kind"), "sample_token", pos.alias("box_pos"), *[v.alias(k) for k, v in given.items()])
+
+    box = row("box", F.col("box_pos"), class_name=canonical_class(F.col("detection_name")), score=F.col("detection_score"), x=F.get("translation", F.lit(0)), w=F.get("size", F.lit(0)))
+    flaw = row("flaw", F.col("box_pos"), problem=F.col("problem"))
+    good = F.col("box_pos").isNotNull() & F.col("problem").isNull() & (F.col("detection_score") >= 0.25)
+    # all in one pass over the files; a token's first box, or its only row without one, tells the frame
+    each = F.array(F.when(good, box), F.when(F.col("problem").isNotNull(), flaw), F.when(F.coalesce("box_pos", F.lit(0)) == 0, row("frame", null("int"))))
+    return rows.select(F.explode(F.filter(each, lambda r: r.isNotNull())).alias("r")).select("r.*")

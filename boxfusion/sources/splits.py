@@ -49,9 +49,9 @@ def read_ranges(spark: SparkSession, path: str) -> DataFrame:
     here = Window.partitionBy("file", "start").orderBy("at")
     rows = rows.withColumns({"o": F.last(opened, ignorenulls=True).over(here.rowsBetween(Window.unboundedPreceding, 0))})
     # a row for each byte range: the token that is open at its end, and how many boxes it has by then
-    ends = rows.groupBy("file", "start").agg(F.max_by("o", "at").alias("o"), F.count_if(F.col("body").isNotNull() & F.col("o").isNull()).alias("early"))
-    tail = rows.groupBy("file", "start", "o").agg(F.count_if(F.col("body").isNotNull()).alias("boxes")).withColumnRenamed("o", "last")
-    ends = ends.alias("e").join(tail.alias("t"), (F.col("e.file") == F.col("t.file")) & (F.col("e.start") == F.col("t.start")) & F.col("e.o").eqNullSafe(F.col("t.last"))).select("e.*", "t.boxes")
+    tail = rows.groupBy("file", "start", "o").agg(F.count_if(F.col("body").isNotNull()).alias("boxes"), F.max("at").alias("at"))
+    last = F.max(F.struct("at", "o", "boxes"))
+    ends = tail.groupBy("file", "start").agg(last.alias("z"), F.coalesce(F.sum(F.when(F.col("o").isNull(), F.col("boxes"))), F.lit(0)).alias("early")).select("file", "start", "z.o", "early", "z.boxes")
     order = Window.orderBy("file", "start")
     back = order.rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.withColumn("part", F.count("o").over(order)).withColumns({"carried": F.last("o.token", ignorenulls=True).over(back)})
@@ -61,27 +61,37 @@ def read_ranges(spark: SparkSession, path: str) -> DataFrame:
     met = rows.join(ends.select("file", "start", "carried", "offset"), ["file", "start"])
     token = F.coalesce("o.token", "carried")
     nth = F.count("body").over(Window.partitionBy("file", "start", "o").orderBy("at")) - 1 + F.when(F.col("o").isNull(), F.col("offset")).otherwise(F.lit(0))
-    boxes = met.filter("body is not null").select(token.alias("sample_token"), nth.cast("int").alias("box_pos"), "body")
     # every token of a row but the last has no box; the last has none if none follows
-    empty = rows.filter((F.size("tokens") > 1) | F.col("body").isNull()).select(F.explode(F.when(F.col("body").isNull(), F.col("tokens")).otherwise(F.slice("tokens", 1, F.size("tokens") - 1))).alias("sample_token"))
-    none = empty.select(F.col("sample_token"), F.lit(None).cast("int").alias("box_pos"), F.lit(None).cast("string").alias("body"))
-    return boxes.unionByName(none)
+    box = F.struct(token.alias("sample_token"), nth.cast("int").alias("box_pos"), F.col("body").alias("body"))
+    empty = F.when(F.col("body").isNull(), F.col("tokens")).when(F.size("tokens") > 1, F.slice("tokens", 1, F.size("tokens") - 1)).otherwise(F.array().cast("array<string>"))
+    none = F.transform("empty", lambda t: F.struct(t.alias("sample_token"), F.lit(None).cast("int").alias("box_pos"), F.lit(None).cast("string").alias("body")))
+    met = met.select("body", box.alias("box"), empty.alias("empty"))
+    return met.select(F.inline(F.concat(F.when(F.col("body").isNotNull(), F.array("box")).otherwise(F.array().cast("array<struct<sample_token:string,box_pos:int,body:string>>")), none)))
 
 
-def read_submission(spark: SparkSession, path: str, expert: str, expert_ord: int = 0, frame: str = "global", score_threshold: float = 0.0, tokens: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(boxes, flawed, frames) of a submission of any size: boxes as all operators take them, of ``score_threshold`` or
-    more; flawed ones (sample_token, box_pos, problem) whatever their score; every token, also those without a box.
-
-    ``tokens`` (sample_token) are kept only, before any box is parsed.  The token of the map counts, not the box's own."""
+def judged(spark: SparkSession, path: str, expert: str, frame: str = "global", tokens: DataFrame | None = None) -> DataFrame:
+    """Every box of a submission of any size in one pass, with ``problem``, and for a token without boxes one row without
+    box_pos; ``tokens`` (sample_token) are kept only, before any box is parsed."""
     rows = read_ranges(spark, path)
     rows = rows.filter(F.when(F.col("sample_token") == "", F.raise_error(F.lit(f"{path} has an empty token"))).otherwise(F.lit(True)))
     if tokens is not None:
         rows = rows.join(tokens.select("sample_token").distinct(), "sample_token", "left_semi")
     kind: StructType = SUBMISSION["results"].dataType.valueType.elementType
-    parsed = rows.filter("body is not null").withColumn("b", F.from_json(F.concat(F.lit("{"), "body", F.lit("}")), kind))
+    parsed = rows.withColumn("b", F.from_json(F.concat(F.lit("{"), "body", F.lit("}")), kind))
     names = [*REQUIRED[1:], "attribute_name"]
-    flat = parsed.select("sample_token", "box_pos", missing_field(F.col("b")).alias("missing"), *[F.col(f"b.{n}").alias(n) for n in names], F.lit(expert).alias("expert"), F.lit(expert_ord).alias("expert_ord"), F.lit(frame).alias("coord_frame"))
-    flat = flat.withColumn("problem", F.coalesce("missing", problem()))
+    is_box = F.col("body").isNotNull()
+    flat = parsed.select("sample_token", "box_pos", F.when(is_box, missing_field(F.col("b"))).alias("missing"), *[F.col(f"b.{n}").alias(n) for n in names], F.lit(expert).alias("expert"), F.lit(frame).alias("coord_frame"))
+    return flat.withColumn("problem", F.when(F.col("box_pos").isNotNull(), F.coalesce("missing", problem())))
+
+
+def read_submission(spark: SparkSession, path: str, expert: str, expert_ord: int = 0, frame: str = "global", score_threshold: float = 0.0, tokens: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(boxes, flawed, frames) of a submission of any size: boxes as all operators take them, of ``score_threshold`` or
+    more; flawed ones (sample_token, box_pos, problem) whatever their score; every token, also those without a box.  Each
+    reads the submission by itself; ``judged`` gives all of it in one pass.
+
+    ``tokens`` (sample_token) are kept only, before any box is parsed.  The token of the map counts, not the box's own."""
+    rows = judged(spark, path, expert, frame, tokens)
+    flat = rows.filter("box_pos is not null").withColumn("expert_ord", F.lit(expert_ord))
     boxes = flatten(flat.filter("problem is null").filter(F.col("detection_score") >= score_threshold))
     return boxes, flat.filter("problem is not null").select("sample_token", "box_pos", "problem"), rows.select("sample_token").distinct()
 

@@ -63,3 +63,11 @@ def test_shards_are_one_object(spark, tmp_path):
     Path(tmp_path / "e.json").write_text('{"results": {"": [], "a": []}}')
     with pytest.raises(Exception, match="empty token"):
         splits.read_submission(spark, str(tmp_path / "e.json"), "x")[2].filter(F.col("sample_token") != "zz").collect()
+
+
+def test_a_submission_is_read_in_few_passes(spark):
+    from boxfusion.plans import queries as Q
+    from tests.conftest import DATA
+
+    plan = Q.QUERIES["submission_roundtrip"](spark, f"{DATA}/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [value") <= 3
