@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,15 +142,20 @@ def log_summary(log: DataFrame, fields: list[str], ts: str = "ts") -> DataFrame:
 
 def describe(rows: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, sample deviation, least, quartiles (linear between values) and greatest, one row for
-    each of ``columns``."""
+    each of ``columns``.  ``rows`` are computed once; one row comes back to the driver."""
     names = ("count", "mean", "std", "min", "p25", "p50", "p75", "max")
-    q = quantiles(rows, columns, [0.25, 0.5, 0.75])
+    rows = rows.select(*columns).persist(StorageLevel.MEMORY_AND_DISK)
 
     def of(c: str):
         values = (F.count(c), F.avg(c), F.stddev_samp(c), F.min(c), *[F.lit(q[c, p]) for p in (0.25, 0.5, 0.75)], F.max(c))
         return F.struct(F.lit(c).alias("feature"), *[v.cast("double").alias(n) for n, v in zip(names, values, strict=True)]).alias(c)
 
-    return rows.agg(*[of(c) for c in columns]).select(F.inline(F.array(*[F.col(c) for c in columns])))
+    try:
+        q = quantiles(rows, columns, [0.25, 0.5, 0.75])
+        one = rows.agg(*[of(c) for c in columns]).select(F.inline(F.array(*[F.col(c) for c in columns])))
+        return rows.sparkSession.createDataFrame(one.collect(), one.schema)
+    finally:
+        rows.unpersist()
 
 
 def router_table(rows: DataFrame, scores: list[str], by: str = "class_id", label: str = "label") -> DataFrame:

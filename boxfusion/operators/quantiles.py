@@ -43,8 +43,10 @@ def quantiles(rows: DataFrame, columns: list[str], at: list[float]) -> dict[tupl
     """For each column and each share of ``at`` the quantile, linear between the values around it; null without values.
 
     Nulls do not count; infinite values lie at the ends and NaN above all."""
-    values = rows.select(F.inline(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns]))).filter("v is not null")
-    values = values.persist(StorageLevel.MEMORY_AND_DISK)
+    # what is held has a row for each of ``rows``, which are taken as they are if they are held already
+    wide = rows.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    wide = wide if rows.is_cached else wide.persist(StorageLevel.MEMORY_AND_DISK)
+    values = wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in columns]))).filter("v is not null")
     try:
         inf = float("inf")
         counts = {r["c"]: r for r in values.groupBy("c").agg(F.count("*").alias("n"), F.count_if(F.col("v") == -inf).alias("least"), F.count_if(F.abs("v") < inf).alias("finite"), F.count_if(F.isnan("v")).alias("nan")).collect()}
@@ -71,4 +73,5 @@ def quantiles(rows: DataFrame, columns: list[str], at: list[float]) -> dict[tupl
 
         return {(c, p): quantile(c, p) for c in columns for p in at}
     finally:
-        values.unpersist()
+        if not rows.is_cached:
+            wide.unpersist()

@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pandas as pd
 
-from boxfusion.operators import features, matching
+from boxfusion.operators import analytics, features, matching
 from boxfusion.plans import queries as Q
 from tests.conftest import DATA
 
@@ -44,3 +44,17 @@ def test_matching_by_frame_equals_matching_by_keys(spark):
     boxes, gt = Q.X.boxes(spark, SF), Q.X.gt(spark, SF)
     each = [matching.match(boxes, gt, Q.KEYS, ("expert_ix",), order=Q.ORDER, frame=f).select("box_key", "matched", "label") for f in (None, Q.FRAME)]
     assert each[0].exceptAll(each[1]).isEmpty() and each[1].exceptAll(each[0]).isEmpty() and not each[0].filter("label = 1").isEmpty()
+
+
+def test_describe_computes_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    rows = spark.range(1000, numPartitions=4).selectExpr("CAST(id AS DOUBLE) AS a", "CAST(id % 7 AS DOUBLE) AS b").mapInPandas(count, "a double, b double")
+    out = {r["feature"]: r for r in analytics.describe(rows, ["a", "b"]).collect()}
+    assert seen.value == 1000
+    assert (out["a"]["count"], out["a"]["min"], out["a"]["p25"], out["a"]["p50"], out["a"]["max"]) == (1000, 0, 249.75, 499.5, 999) and out["b"]["p50"] == 3
