@@ -30,7 +30,8 @@ def verdicts(preds: DataFrame, gts: DataFrame, keys: list[str], model: tuple[str
     In the order of falling score, then ``order``, a prediction takes the nearest ground truth of its ``keys`` that is free
     at the threshold and nearer than it; of equally near ones the first.  Thresholds do not see each other's choices."""
     item = F.struct((-F.col(score)).alias("s"), *order, "x", "y", F.struct("*").alias("row"))
-    p = preds.groupBy(*keys, *model).agg(F.sort_array(F.collect_list(item)).alias("p"))
+    # dealt by the keys at which the ground truth is met, so that groups of models need no shuffle of their own
+    p = preds.repartition(*keys).groupBy(*keys, *model).agg(F.sort_array(F.collect_list(item)).alias("p"))
     truth = F.struct("*") if at is not None else F.struct(gt_pos)
     g = gts.groupBy(*keys).agg(F.collect_list(F.struct(F.col(gt_pos).cast("long").alias("pos"), "x", "y", truth.alias("row"))).alias("g"))
     most, n = max(thresholds), len(thresholds)

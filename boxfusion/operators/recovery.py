@@ -10,15 +10,16 @@ from boxfusion.operators.matching import match
 MOST_SOURCES = 63
 
 
-def masks(preds: DataFrame, gts: DataFrame, keys: list[str], sources: int, source: str = "source", order: tuple[str, ...] = ("box_pos",), gt_pos: str = "gt_pos", threshold: float = 2.0) -> DataFrame:
+def masks(preds: DataFrame, gts: DataFrame, keys: list[str], sources: int, source: str = "source", order: tuple[str, ...] = ("box_pos",), gt_pos: str = "gt_pos", threshold: float = 2.0, frame: list[str] | None = None) -> DataFrame:
     """(keys, gt_pos, found): bit k of ``found`` is set if a box of source k (0 to ``sources`` - 1) takes the ground truth.
 
     Each source is matched by itself, by center distance below ``threshold``.  Every ground truth has a row, of 0
-    if none finds it; boxes of other sources, or of none, find nothing; an empty table of boxes gives zeros."""
+    if none finds it; boxes of other sources, or of none, find nothing; an empty table of boxes gives zeros.
+    ``frame``: those of ``keys`` by which boxes are dealt once, to meet their ground truth; ``keys``, if not given."""
     if not 0 < sources <= MOST_SOURCES:
         raise ValueError(f"1 to {MOST_SOURCES} sources")
-    known = preds.filter(F.col(source).between(0, sources - 1))
-    took = match(known, gts, keys, (source,), order=order, gt_pos=gt_pos, metric="center", threshold=threshold, strict=True, last_wins=False).filter("matched is not null")
+    known = preds.filter(F.col(source).between(0, sources - 1)).repartition(*(frame or keys))
+    took = match(known, gts, keys, (source,), order=order, gt_pos=gt_pos, metric="center", threshold=threshold, strict=True, last_wins=False, frame=frame).filter("matched is not null")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(source).cast("int"))
     each = took.select(*keys, F.col("matched").alias(gt_pos), bit.alias("found"))
     return gts.select(*keys, F.col(gt_pos).cast("long").alias(gt_pos), F.lit(0).cast("long").alias("found")).unionByName(each).groupBy(*keys, gt_pos).agg(F.bit_or("found").alias("found"))

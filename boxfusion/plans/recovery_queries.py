@@ -21,7 +21,7 @@ def found(spark: SparkSession, d: str) -> DataFrame:
     """The boxes kept of all experts' are the fused source."""
     boxes = X.boxes(spark, d)
     kept = nms.suppress(boxes, FRAME, "class_ix", order=ORDER).select(*boxes.columns).withColumn("expert_ix", F.lit(FUSED))
-    return recovery.masks(boxes.unionByName(kept), X.gt(spark, d), KEYS, FUSED + 1, "expert_ix", ORDER)
+    return recovery.masks(boxes.unionByName(kept), X.gt(spark, d), KEYS, FUSED + 1, "expert_ix", ORDER, frame=FRAME)
 
 
 @query(

@@ -58,3 +58,8 @@ def test_describe_computes_its_rows_once(spark):
     out = {r["feature"]: r for r in analytics.describe(rows, ["a", "b"]).collect()}
     assert seen.value == 1000
     assert (out["a"]["count"], out["a"]["min"], out["a"]["p25"], out["a"]["p50"], out["a"]["max"]) == (1000, 0, 249.75, 499.5, 999) and out["b"]["p50"] == 3
+
+
+def test_recovery_deals_boxes_once_to_suppress_and_once_to_match(spark):
+    # boxes, groups to suppress, all sources by frame; truths, their order, truths by frame; masks and their counts
+    assert exchanges(Q.QUERIES["recovery_counts"](spark, SF)) <= 9
