@@ -7,7 +7,10 @@ splits, gets one vector for each class: models x nodes of a level x features x b
 A class has a model of all rows to fit and, where it is calibrated, one without each fold.  They grow side by side, so
 that rounds, early stopping and out-of-fold calibration need no further training: a shorter ensemble is the head of a
 longer one.  Slopes are rounded to a grid on which sums of doubles are exact, so that trees do not depend on how rows
-are parted, nor on tasks that run again."""
+are parted, nor on tasks that run again.
+
+Rows lie in blocks of one class, each column's values as bytes side by side and bins feature by feature, so that a level
+costs a task some passes over bytes and no object for each row."""
 
 from __future__ import annotations
 
@@ -30,6 +33,10 @@ from boxfusion.operators.state import cut
 GROUPS, GRID = 32, 2.0**20
 #: The bin of missing values, after at most as many others.
 MOST_BINS, MISSING = 254, 255
+#: Rows of a block, and of a task's blocks.
+BLOCK, TASK = 1 << 14, 1 << 18
+#: Columns of a block beside ``by``.
+PACKED = {"bins": np.uint8, "y": np.uint8, "held": np.bool_, "fold": np.int16, "h": np.int64, "margins": np.float64}
 
 
 @dataclass
@@ -49,16 +56,32 @@ class Tree:
 
     def places(self, bins: np.ndarray, levels: int | None = None) -> np.ndarray:
         """Where each row of ``bins`` stands after so many levels."""
-        at, every = np.zeros(len(bins), int), np.arange(len(bins))
-        for _ in range(self.depth if levels is None else levels):
-            f = self.feature[at]
-            b = bins[every, f]
-            left = np.where(b == MISSING, self.missing_left[at], b <= self.bin[at])
-            at = np.where(f >= 0, 2 * at + 2 - left, at)
-        return at
+        ends, at = self._ends(bins, self.depth if levels is None else levels)
+        return ends[at]
 
     def values(self, bins: np.ndarray) -> np.ndarray:
-        return self.value[self.places(bins)]
+        ends, at = self._ends(bins, self.depth)
+        return self.value[ends][at]
+
+    def _ends(self, bins: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
+        """The places after so many levels, by the turns that lead there, and each row's turns as one number; rows at
+        leaves turn left.  Nodes are passed one by one, each over whole columns of ``bins``."""
+        column = bins.T
+        at = np.zeros(len(bins), np.uint8 if levels <= 8 else np.uint32)
+        ends = np.zeros(1, int)
+        for level in range(levels):
+            right = np.zeros(len(bins), bool)
+            for turns, k in enumerate(ends):
+                if self.feature[k] < 0:
+                    continue
+                b = column[self.feature[k]]
+                on = b > self.bin[k]
+                if self.missing_left[k]:
+                    on &= b != MISSING
+                right |= on & (at == turns) if level else on
+            at = 2 * at + right
+            ends = np.stack([np.where(self.feature[ends] >= 0, 2 * ends + side, ends) for side in (1, 2)], axis=1).ravel()
+        return ends, at
 
     def split(self, level: int, sums: np.ndarray, allowed: np.ndarray, l2: float, least: float, step: float) -> bool:
         """Splits the nodes of ``level`` by sums (node, feature, bin, slope or curvature), the last bin being the missing
@@ -114,7 +137,7 @@ class Forest:
 
     def binned(self, x: np.ndarray) -> np.ndarray:
         known = [np.where(np.isnan(v), MISSING, np.searchsorted(e, v)) for v, e in zip(x.T, self.edges, strict=True)]
-        return np.stack(known, axis=1).astype(np.uint8)
+        return np.array(known, np.uint8).reshape(len(self.edges), len(x)).T
 
     def margin(self, bins: np.ndarray, model: int = 0, rounds: int | None = None) -> np.ndarray:
         return sum((t.values(bins) for t in self.models[model][: self.rounds if rounds is None else rounds]), np.zeros(len(bins)))
@@ -125,44 +148,74 @@ class Forest:
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         return (h >> np.uint64(40)).astype(float) < share * 2**24
 
-    def sums(self, level: int, some: pd.DataFrame, seed: int, share: float) -> np.ndarray:
-        """Sums of all models' last trees for the nodes of ``level``: (model, node, feature, bin, 2)."""
-        bins, y, fold = matrix(some["bins"]), some["y"].to_numpy(), some["fold"].to_numpy()
-        margins = np.stack(some["margins"].to_numpy())
+    def sums(self, level: int, some: dict[str, np.ndarray], seed: int, share: float) -> np.ndarray:
+        """Sums over a block of all models' last trees for the nodes of ``level``: (model, node, feature, bin, 2)."""
         n, width, first = 2**level, self.width, 2**level - 1
         out = np.zeros((len(self.models), n, len(self.edges), width, 2))
-        use = self.drawn(some["h"].to_numpy(), seed, len(self.models[0]), share) & ~some["held"].to_numpy(bool)
+        use = self.drawn(some["h"], seed, len(self.models[0]), share) & ~some["held"]
         for m, trees in enumerate(self.models):
-            mine = use if m == 0 else use & (fold != m - 1)
-            b, truth = bins[mine], y[mine]
-            z = margins[mine, m] + sum((t.values(b) for t in trees[self.done : -1]), np.zeros(len(b)))
+            mine = np.flatnonzero(use if m == 0 else use & (some["fold"] != m - 1))
+            column, truth = some["bins"].T[:, mine], some["y"][mine]
+            z = some["margins"][mine, m] + sum((t.values(column.T) for t in trees[self.done : -1]), np.zeros(len(mine)))
             p, w = 1 / (1 + np.exp(-np.clip(z, -60, 60))), np.where(truth > 0, self.positive, 1.0)
             g, h = np.round(w * (p - truth) * GRID) / GRID, np.round(w * p * (1 - p) * GRID) / GRID
-            at = trees[-1].places(b, level) - first
-            here = at >= 0
-            b, g, h, at = np.where(b[here] == MISSING, width - 1, b[here]), g[here], h[here], at[here]
-            for f in range(len(self.edges)):
-                cell = at * width + b[:, f]
+            at = trees[-1].places(column.T, level) - first
+            if level and (at < 0).any():
+                here = np.flatnonzero(at >= 0)
+                column, g, h, at = column[:, here], g[here], h[here], at[here]
+            at = at * width
+            for f, b in enumerate(column):
+                cell = at + np.where(b == MISSING, np.uint8(width - 1), b)
                 for k, v in enumerate((g, h)):
                     out[m, :, f, :, k] = np.bincount(cell, weights=v, minlength=n * width).reshape(n, width)
         return out
 
 
-def matrix(packed: pd.Series) -> np.ndarray:
-    """Rows of bins from packed bytes."""
-    return np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1)
+def unpacked(row: object) -> dict[str, np.ndarray]:
+    """A block's columns; of bins and margins, a row for each of its rows."""
+    out = {c: np.frombuffer(getattr(row, c), kind) for c, kind in PACKED.items()}
+    n = len(out["h"])
+    return out | {"bins": out["bins"].reshape(-1, n).T, "margins": out["margins"].reshape(n, -1)}
+
+
+def packed(some: dict[str, np.ndarray]) -> dict[str, bytes]:
+    return {c: np.asarray(some[c].T if c == "bins" else some[c], kind).tobytes() for c, kind in PACKED.items()}
+
+
+def blocks_of(rows: DataFrame, forests: dict, count: int) -> DataFrame:
+    """Blocks of ``rows`` (as of ``prepare``, ``count`` of them), whose margins are 0."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+
+        def block(k: object) -> dict:
+            b = pd.concat(held.pop(k))
+            x = np.stack([np.asarray(v, float) for v in b["x"]])
+            return {"by": k} | packed({c: b[c].to_numpy() for c in ("y", "held", "fold", "h")} | {"bins": forests[k].binned(x), "margins": np.zeros((len(b), len(forests[k].models)))})
+
+        for batch in batches:
+            for k, some in batch.groupby("by"):
+                held.setdefault(k, []).append(some)
+            full = [k for k, some in held.items() if sum(map(len, some)) >= BLOCK]
+            if full:
+                yield pd.DataFrame([block(k) for k in full])
+        if held:
+            yield pd.DataFrame([block(k) for k in list(held)])
+
+    made = rows.filter(F.col("by").isin(list(forests))).mapInPandas(run, f"by {rows.schema['by'].dataType.simpleString()}, " + ", ".join(f"{c} binary" for c in PACKED))
+    return made.repartition(max(1, -(-count // TASK)))  # as many tasks a step as rows ask for
 
 
 def level_sums(rows: DataFrame, forests: dict, level: int, seed: int, share: float) -> dict:
-    """By class: the sums of ``Forest.sums`` over ``rows``."""
+    """By class: the sums of ``Forest.sums`` over the blocks ``rows``."""
     shared = rows.sparkSession.sparkContext.broadcast(forests)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict = {}
         for b in batches:
-            for key, some in b.groupby("by"):
-                found = shared.value[key].sums(level, some, seed, share)
-                total[key] = total[key] + found if key in total else found
+            for row in b.itertuples():
+                found = shared.value[row.by].sums(level, unpacked(row), seed, share)
+                total[row.by] = total[row.by] + found if row.by in total else found
         if total:
             yield pd.DataFrame({"by": list(total), "sums": [v.ravel() for v in total.values()]})
 
@@ -180,24 +233,41 @@ def level_sums(rows: DataFrame, forests: dict, level: int, seed: int, share: flo
 
 
 def _moved_on(rows: DataFrame, forests: dict) -> DataFrame:
-    """``rows`` whose margins hold all trees, with ``steps``: for rows held out, the margin after each of them."""
+    """Blocks whose margins hold all trees, with ``steps``: of rows held out, the margins after each of them, round by round."""
+
+    def moved(row: object) -> dict:
+        f, some = forests[row.by], unpacked(row)
+        apart = np.flatnonzero(some["held"])
+        margins, path = some["margins"].copy(), []
+        for m, trees in enumerate(f.models):
+            for t in trees[f.done :]:
+                margins[:, m] += t.values(some["bins"])
+                if m == 0:
+                    path.append(margins[apart, 0])
+        return {"by": row.by} | packed(some | {"margins": margins}) | {"steps": np.concatenate(path).tobytes()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            margins, steps = [[]] * len(b), [[]] * len(b)
-            for key, at in b.groupby("by").indices.items():
-                some = b.iloc[at]
-                f, bins = forests[key], matrix(some["bins"])
-                now = np.stack(some["margins"].to_numpy())
-                new = np.stack([np.stack([t.values(bins) for t in trees[f.done :]], axis=1) for trees in f.models], axis=1)
-                held = some["held"].to_numpy(bool)
-                path = now[:, :1] + new[:, 0].cumsum(axis=1)
-                for k, v, s, apart in zip(at, now + new.sum(axis=2), path, held, strict=True):
-                    margins[k], steps[k] = v.tolist(), s.tolist() if apart else []
-            yield b.assign(margins=margins, steps=steps)
+            if len(b):
+                yield pd.DataFrame([moved(row) for row in b.itertuples()])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.filter(F.col("by").isin(list(forests))).mapInPandas(run, f"{fields}, steps array<double>")
+    return rows.filter(F.col("by").isin(list(forests))).mapInPandas(run, f"{fields}, steps binary")
+
+
+def _steps(rows: DataFrame) -> DataFrame:
+    """(by, at, score, y) for each row held out and each of the rounds that ``_moved_on`` added."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for row in b.itertuples():
+                y = np.frombuffer(row.y, PACKED["y"])[np.frombuffer(row.held, PACKED["held"])]
+                if len(y):
+                    score = np.frombuffer(row.steps, float)
+                    rounds = len(score) // len(y)
+                    yield pd.DataFrame({"by": row.by, "at": np.repeat(np.arange(rounds), len(y)), "score": score, "y": np.tile(y, rounds)})
+
+    return rows.select("by", "y", "held", "steps").mapInPandas(run, f"by {rows.schema['by'].dataType.simpleString()}, at int, score double, y int")
 
 
 def prepare(rows: DataFrame, features: list[str], by: str, key: list[str], label: str, held: str | None, seed: int, folds: int) -> DataFrame:
@@ -231,11 +301,12 @@ def train(
     fit = ~F.col("held")
     ends = [k / bins for k in range(1, bins)]
     figures = ready.groupBy("by").agg(
-        F.count_if(fit).alias("n"), F.sum(F.when(fit, F.col("y"))).alias("positives"), F.sum(F.when(F.col("held"), F.col("y"))).alias("held_positives"),
+        F.count("*").alias("every"), F.count_if(fit).alias("n"), F.sum(F.when(fit, F.col("y"))).alias("positives"), F.sum(F.when(F.col("held"), F.col("y"))).alias("held_positives"),
         F.array(*[F.coalesce(F.percentile_approx(F.when(fit, F.get("x", F.lit(k))), ends), F.array().cast("array<double>")) for k in range(len(features))]).alias("edges"),
     )
-    forests, limits = {}, {}
+    forests, limits, count = {}, {}, 0
     for r in figures.collect():  # one row for each class
+        count += r["every"]
         positives = r["positives"] or 0
         if positives < min_positives or positives == r["n"]:
             continue
@@ -245,18 +316,7 @@ def train(
     if not forests:
         return {}
 
-    kind = ready.schema["by"].dataType.simpleString()
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            packed, margins = [b""] * len(b), [[]] * len(b)
-            for k, at in b.groupby("by").indices.items():
-                found = forests[k].binned(np.stack([np.asarray(x, float) for x in b["x"].iloc[at]]))
-                for row, v in zip(at, found, strict=True):
-                    packed[row], margins[row] = v.tobytes(), [0.0] * len(forests[k].models)
-            yield b.drop(columns="x").assign(bins=packed, margins=margins)
-
-    ready = cut(ready.filter(F.col("by").isin(list(forests))).mapInPandas(pack, f"by {kind}, y double, held boolean, h bigint, fold int, bins binary, margins array<double>").hint("rebalance"))  # as many tasks a step as bytes ask for
+    ready = cut(blocks_of(ready, forests, count))
     whole = ready
     draw = np.random.default_rng(seed)
     while going := {k: f for k, f in forests.items() if not f.ended}:
@@ -277,9 +337,8 @@ def train(
                 if not grew:
                     break
         ready = cut(_moved_on(ready, going))
-        steps = ready.filter("held").select("by", "y", F.posexplode("steps").alias("at", "score"))
         aps: dict = {}
-        for r in average_precision(steps, ["by", "at"], "score", "y").orderBy("at").collect():  # one row for each class and round
+        for r in average_precision(_steps(ready), ["by", "at"], "score", "y").orderBy("at").collect():  # one row for each class and round
             aps.setdefault(r["by"], []).append(r["ap"] or 0.0)
         ready = ready.drop("steps")
         for k, f in going.items():
@@ -300,14 +359,17 @@ def calibrate(ready: DataFrame, forests: dict, rounds: int = 50) -> dict[object,
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            z = pd.Series(0.0, index=b.index)
-            for (key, fold), some in b.groupby(["by", "fold"]):
-                z[some.index] = forests[key].margin(matrix(some["bins"]), int(fold) + 1)
-            yield pd.DataFrame({"by": b["by"], "y": b["y"], "p": 1 / (1 + np.exp(-np.clip(z, -60, 60)))})
+            for row in b.itertuples():
+                some = unpacked(row)
+                z = np.zeros(len(some["y"]))
+                for fold in np.unique(some["fold"][~some["held"]]):
+                    mine = np.flatnonzero(some["fold"] == fold)
+                    z[mine] = forests[row.by].margin(some["bins"].T[:, mine].T, int(fold) + 1)
+                p = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+                yield pd.DataFrame({"by": row.by, "y": some["y"].astype(float), "p": p})[~some["held"]]
 
     kind = ready.schema["by"].dataType.simpleString()
-    apart = ready.filter(F.col("by").isin(list(forests)) & ~F.col("held"))
-    out = cut(apart.mapInPandas(run, f"by {kind}, y double, p double"))
+    out = cut(ready.filter(F.col("by").isin(list(forests))).mapInPandas(run, f"by {kind}, y double, p double"))
     n = {r["by"]: (r["n1"], r["n0"]) for r in out.groupBy("by").agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0")).collect()}
     at = {k: np.array([0.0, np.log((n1 + 1) / (n0 + 1))]) for k, (n1, n0) in n.items()}
     best, move, before = dict(at), {k: np.zeros(2) for k in n}, {k: np.inf for k in n}
@@ -341,16 +403,16 @@ def predict(rows: DataFrame, forests: dict[object, Forest], features: list[str],
     if taken := {name, raw} & set(rows.columns):
         raise ValueError(f"columns {sorted(taken)} are there already")
 
-    def score(by: pd.Series, x: pd.Series) -> pd.Series:
+    def score(by: pd.Series, x: pd.DataFrame) -> pd.Series:
         p = pd.Series(np.nan, index=by.index)
         for k, at in by.groupby(by).groups.items():
             if k in forests:
-                bins = forests[k].binned(np.stack([np.asarray(v, float) for v in x[at]]))
+                bins = forests[k].binned(x.loc[at].to_numpy(float))
                 p[at] = 1 / (1 + np.exp(-np.clip(forests[k].margin(bins), -60, 60)))
         return p
 
     value = [F.col(f).cast("double") for f in features]
-    p = F.pandas_udf(score, "double")(F.col(class_col), F.array(*[F.when(~F.isnan(v), v) for v in value]))
+    p = F.pandas_udf(score, "double")(F.col(class_col), F.struct(*[F.when(~F.isnan(v), v).alias(f"x{k}") for k, v in enumerate(value)]))
     out = rows.withColumn("__raw", p).withColumn("__raw", F.when(~F.isnan("__raw"), F.col("__raw")))
     better = F.col("__raw")
     for k, f in forests.items():
