@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from boxfusion.functions.geometry import distance
 from boxfusion.operators.ranking import part_of, running
+from boxfusion.operators.state import cut
 
 THRESHOLDS = (0.5, 1.0, 2.0, 4.0)
 #: Errors of matched boxes, and the classes for which each means nothing.
@@ -135,13 +136,16 @@ def evaluate(
     recall is reached precision is 0 and errors are 1; errors that mean nothing for a class are NaN."""
     names = [str(k) for k in range(len(thresholds))]
     of = str(thresholds.index(at)) if errors else None
-    flat = rows.join(n_gt.select(class_col, "n_gt"), class_col).withColumns({f"hit_{k}": F.get("hits", F.lit(int(k))).isNotNull().cast("int") for k in names})
+    flat = rows.join(n_gt.select(class_col, "n_gt"), class_col, "left").withColumns({f"hit_{k}": F.get("hits", F.lit(int(k))).isNotNull().cast("int") for k in names})
     flat = flat.select(*by, *[c for c in tie if c not in (*by, "score")], "score", "n_gt", *[f"hit_{k}" for k in names], *errors)
-    run = ranked(flat, by, tie, {k: F.col(f"hit_{k}") for k in names}, errors, of)
+    flat = cut(flat)  # read by the ranking twice and for what is there, but matched once
+    run = ranked(flat.filter("n_gt is not null"), by, tie, {k: F.col(f"hit_{k}") for k in names}, errors, of)
     mean = lambda e, s, n: F.when(F.col(f"total_n_{e}") == 0, F.lit(1.0)).otherwise(F.when(n > 0, s / n).otherwise(F.lit(0.0)))
     own = {e: mean(e, F.col(f"sum_{e}"), F.col(f"n_{e}")) for e in errors}
     prior = {e: mean(e, F.col(f"sum_{e}") - F.coalesce(e, F.lit(0.0)), F.col(f"n_{e}") - F.col(e).isNotNull().cast("int")) for e in errors}
     run = run.withColumns({f"own_{e}": v for e, v in own.items()} | {f"prior_{e}": v for e, v in prior.items()}) if errors else run
+    if errors:  # read by the levels and at the scores of true positives; nothing else lies on a level
+        run = cut(run.filter(reduce(lambda a, b: a | b, [F.col(f"hit_{k}") == 1 for k in names]) | (F.col("seen") == F.col("total_seen"))))
     keep = ("score", "tp_above", *[f"own_{e}" for e in errors], *[f"prior_{e}" for e in errors]) if errors else ()
     grid = levels(run, by, names, min_recall, keep)
     same = lambda a, b, names: reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in names])
@@ -160,7 +164,7 @@ def evaluate(
     gain = F.greatest(F.col("precision") - min_precision, F.lit(0.0))
     share_of = (100 - round(100 * min_recall)) * (1 - min_precision)
     found = grid.groupBy(*by).agg(F.array(*[F.coalesce(F.sum(F.when(F.col("t") == int(k), gain)), F.lit(0.0)) / share_of for k in names]).alias("aps"), *[F.avg(read(e)).alias(e) for e in errors])
-    every = rows.select(*by).distinct() if every is None else every
+    every = flat.select(*by).distinct() if every is None else every
     out = every.alias("v").join(found.alias("w"), same("v", "w", by), "left").select("v.*", "w.aps", *[F.col(f"w.{e}") for e in errors])
     undefined = {e: F.col(class_col).isin(*UNDEFINED[e]) if e in UNDEFINED else F.lit(False) for e in errors}
     columns = {"aps": F.coalesce("aps", F.array_repeat(F.lit(0.0), len(names)))}
