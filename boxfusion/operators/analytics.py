@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,10 +36,61 @@ def agreement_bins(rows: DataFrame, column: str = "expert_agreement", label: str
 
 
 def correlations(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, r) for the lower triangle of Pearson correlations, in one pass."""
-    pairs = list(itertools.combinations(columns, 2))
-    one = rows.agg(*[F.corr(a, b).alias(f"r{k}") for k, (a, b) in enumerate(pairs)])
-    return one.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{k}").alias("r")) for k, (a, b) in enumerate(pairs)])))
+    """(a, b, r) for the lower triangle of Pearson correlations, in one pass; null where either is constant or both are never
+    known together.
+
+    A task adds up counts, means and sums of squares and products of all pairs as matrices, one row each; these are merged
+    in groups of tasks and then in one."""
+    k, kind = len(columns), "m array<double>"
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            if b.num_rows:
+                total = merged(total, moments(b))
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], ["m"])
+
+    def together(t: pa.Table) -> pa.Table:
+        total = None
+        for m in t.column("m").to_pylist():  # one vector for each task of the group
+            total = merged(total, np.array(m).reshape(4, k, k))
+        return pa.table({"m": pa.array([total.ravel()], pa.list_(pa.float64()))})
+
+    def ended(t: pa.Table) -> pa.Table:
+        n, _, squares, products = np.array(together(t).column("m")[0].as_py()).reshape(4, k, k)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            r = products / np.sqrt(squares * squares.T)
+        at = list(itertools.combinations(range(k), 2))
+        values = [float(r[i, j]) if n[i, j] > 1 and squares[i, j] != 0 and squares[j, i] != 0 else None for i, j in at]
+        return pa.table({"a": [columns[i] for i, _ in at], "b": [columns[j] for _, j in at], "r": pa.array(values, pa.float64())})
+
+    each = rows.select(*[F.col(c).cast("double").alias(c) for c in columns]).mapInArrow(sums, kind)
+    parts = each.groupBy((F.spark_partition_id() % 32).alias("part")).applyInArrow(together, kind)
+    return parts.withColumn("part", F.lit(0)).groupBy("part").applyInArrow(ended, "a string, b string, r double")
+
+
+def moments(b: pa.RecordBatch) -> np.ndarray:
+    """For each pair of columns, over the rows in which both are known: how many, the first's mean and its squares' sum
+    about it, and the sum of products about both."""
+    known = np.stack([np.asarray(c.is_valid()) for c in b.columns], axis=1)
+    x = np.stack([np.asarray(c.fill_null(0.0)) for c in b.columns], axis=1)
+    base = x[known.argmax(axis=0), np.arange(x.shape[1])]  # near the values, so that little is lost; constants are 0 exactly
+    base = np.where(np.isfinite(base), base, 0.0)
+    x, m = np.where(known, x - base, 0.0), known.astype(float)
+    n = m.T @ m
+    s, least = x.T @ m, np.maximum(n, 1)
+    return np.stack([n, base[:, None] + s / least, (x * x).T @ m - s * s / least, x.T @ x - s * s.T / least])
+
+
+def merged(a: np.ndarray | None, b: np.ndarray) -> np.ndarray:
+    """The ``moments`` of the rows of both."""
+    if a is None:
+        return b
+    n = a[0] + b[0]
+    apart, share = np.where((a[0] > 0) & (b[0] > 0), b[1] - a[1], 0.0), b[0] / np.maximum(n, 1)
+    mean = np.where(a[0] > 0, a[1] + apart * share, b[1])
+    return np.stack([n, mean, a[2] + b[2] + apart**2 * a[0] * share, a[3] + b[3] + apart * apart.T * a[0] * share])
 
 
 def label_correlations(rows: DataFrame, columns: list[str], label: str = "label", strong: float = 0.3) -> DataFrame:
@@ -81,12 +135,12 @@ def wins(best: DataFrame) -> DataFrame:
     return known.agg(F.count("*").alias("n"), F.count_if("won").alias("n_won"), F.avg("delta").alias("mean_delta"), F.min("delta").alias("least_delta"), F.max("delta").alias("greatest_delta"))
 
 
-def gap_table(rows: DataFrame, fit: str, by: list[str] | tuple[str, ...] = ("class_id", "model"), score: str = "score", label: str = "label") -> DataFrame:
+def gap_table(rows: DataFrame, fit: str, by: list[str] | tuple[str, ...] = ("class_id", "model"), score: str = "score", label: str = "label", count: str | None = None) -> DataFrame:
     """(by, n_train, n_eval, train_ap, eval_ap, gap_ap, train_auc, eval_auc, diagnosis) from rows of both sides (``fit``: of
-    training), by one ranking for both figures; groups without rows to train or positives to evaluate are left out."""
+    training), by one ranking for both figures; groups without rows to train or positives to evaluate are left out.  ``count``: as of ``metrics.curve``."""
     from boxfusion.operators.metrics import ranking_figures
 
-    each = ranking_figures(rows, [*by, fit], score, label)
+    each = ranking_figures(rows, [*by, fit], score, label, count)
     side = lambda c, name, yes: F.max(F.when(F.col(fit) == yes, F.col(c))).alias(f"{name}_{c}")
     both = each.groupBy(*by).agg(*[side(c, name, yes) for c in ("n", "ap", "auc") for name, yes in (("train", True), ("eval", False))])
     both = both.filter("train_n is not null and eval_ap is not null")

@@ -47,7 +47,8 @@ def peer_features(boxes: DataFrame, frame: list[str], key: list[str], expert: st
     if cell:
         return _joined_features(boxes, frame, key, expert, class_col, least, cell, others)
     whole = Window.partitionBy(*frame)
-    peer = F.struct(F.col(expert).alias("e"), F.col(class_col).alias("c"), *"xywl", F.col("score").alias("s"))
+    ends = {"x0": F.col("x") - F.col("l") / 2, "x1": F.col("x") + F.col("l") / 2, "y0": F.col("y") - F.col("w") / 2, "y1": F.col("y") + F.col("w") / 2}
+    peer = F.struct(F.col(expert).alias("e"), F.col(class_col).alias("c"), *"xywl", F.col("score").alias("s"), *[v.alias(k) for k, v in ends.items()])
     known = boxes.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in frame]))  # a box of no frame has no peers to tell
     at = known.withColumns({"__all": F.collect_list(peer).over(whole), "n_active_experts": F.size(F.collect_set(expert).over(whole)).cast("int")})
 
@@ -55,7 +56,15 @@ def peer_features(boxes: DataFrame, frame: list[str], key: list[str], expert: st
         p = x["p"]
         return F.struct(iou(None, p, inter=x["n"]).alias("i"), p["s"].alias("s"), p["e"].alias("e"), (p["c"] == F.col(class_col)).cast("double").alias("same"))
 
-    shared = F.transform(F.filter("__all", lambda p: p["e"] != F.col(expert)), lambda p: F.struct(p.alias("p"), intersection(None, p).alias("n")))
+    def reaches(p: Column) -> Column:
+        """Few comparisons leave most peers out, as lambdas are slow; areas and overlaps are taken of the rest."""
+        other = p["e"] != F.col(expert)
+        if not least > 0:
+            return other
+        return other & (p["x0"] < F.col("__x1")) & (p["x1"] > F.col("__x0")) & (p["y0"] < F.col("__y1")) & (p["y1"] > F.col("__y0"))
+
+    at = at.withColumns({f"__{k}": v for k, v in ends.items()})
+    shared = F.transform(F.filter("__all", reaches), lambda p: F.struct(p.alias("p"), intersection(None, p).alias("n")))
     apart = F.transform(F.filter(shared, lambda x: x["n"] > 0) if least > 0 else shared, met)
     at = at.withColumns({"__near": F.filter(apart, lambda p: p["i"] >= least), "max_class_score": F.array_max(F.transform(F.filter("__all", lambda p: p["c"].eqNullSafe(F.col(class_col))), lambda p: p["s"]))})
 
@@ -77,7 +86,7 @@ def peer_features(boxes: DataFrame, frame: list[str], key: list[str], expert: st
             "class_agreement": F.when(F.size("__same") > 0, total(F.col("__same")) / F.size("__same")).otherwise(F.lit(-1.0)),
             "n_spatial_overlaps": F.col("n_peer_overlaps"),
         }
-    ).drop("__all", "__near", "__scores", "__same", "__mean")
+    ).drop("__all", "__near", "__scores", "__same", "__mean", *[f"__{k}" for k in ends])
 
 
 def _joined_features(boxes: DataFrame, frame: list[str], key: list[str], expert: str, class_col: str, least: float, cell: float, others: Column) -> DataFrame:

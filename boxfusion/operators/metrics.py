@@ -11,9 +11,10 @@ from boxfusion.operators.ranking import part_of, running
 from boxfusion.schemas import lookup
 
 
-def curve(rows: DataFrame, by: list[str], score: str = "score", label: str = "label") -> DataFrame:
-    """Per distinct score of each group: tp and fp at that threshold, and the totals."""
-    steps = rows.groupBy(*by, score).agg(F.sum(label).alias("t"), F.count("*").alias("n"))
+def curve(rows: DataFrame, by: list[str], score: str = "score", label: str = "label", count: str | None = None) -> DataFrame:
+    """Per distinct score of each group: tp and fp at that threshold, and the totals.  ``count``: a column for how many
+    rows a row stands for, ``label`` then being how many of them are positive."""
+    steps = rows.groupBy(*by, score).agg(F.sum(label).alias("t"), (F.sum(count) if count else F.count("*")).alias("n"))
     out = running(steps, by, part_of(F.col(score)), [F.col(score).desc()], {"tp": F.col("t"), "seen": F.col("n")}, ("tp", "seen"))
     return out.withColumnsRenamed({"total_tp": "positives", "total_seen": "rows"})
 
@@ -34,9 +35,9 @@ def roc_auc(rows: DataFrame, by: list[str], score: str = "score", label: str = "
     return c.groupBy(*by).agg(F.sum(F.when((F.col("positives") > 0) & (negatives > 0), won / (F.col("positives") * negatives))).alias("auc"))
 
 
-def ranking_figures(rows: DataFrame, by: list[str], score: str = "score", label: str = "label") -> DataFrame:
+def ranking_figures(rows: DataFrame, by: list[str], score: str = "score", label: str = "label", count: str | None = None) -> DataFrame:
     """(by, n, positives, ap, auc): ``average_precision`` and ``roc_auc`` by one curve."""
-    c = curve(rows, by, score, label)
+    c = curve(rows, by, score, label, count)
     positives, negatives = F.col("positives"), F.col("rows") - F.col("positives")
     won = F.col("t") * (negatives - (F.col("seen") - F.col("tp")) + (F.col("n") - F.col("t")) / 2)
     ap = F.sum(F.when(positives > 0, F.col("t") / positives * F.col("tp") / F.col("seen")))
