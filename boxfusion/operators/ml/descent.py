@@ -5,7 +5,9 @@ first in groups of tasks and then for each class, and the driver gets one vector
 is that of the weights.  No row goes to the driver, and the sums do not depend on how rows are parted.
 
 A perceptron's layers are normalised by the figures of the steps before, which the same job sums for the next
-step; so a step needs one reading of the rows, and its gradients are those of a fixed function."""
+step; so a step needs one reading of the rows, and its gradients are those of a fixed function.
+
+Rows lie in blocks of one class and batch, as bytes, so that a step makes no object for each row."""
 
 from __future__ import annotations
 
@@ -26,6 +28,8 @@ from boxfusion.operators.state import cut
 
 #: Rows of one forward and backward pass, and groups of tasks whose vectors are added first.
 CHUNK, GROUPS = 1024, 32
+#: Rows of a block, and of a task's blocks.
+BLOCK, TASK = 1 << 13, 1 << 17
 EPS = 1e-5
 
 
@@ -208,22 +212,22 @@ class Fit:
 
 
 def pass_sums(rows: DataFrame, fits: dict, held: bool = True) -> dict:
-    """By class (column ``by``): sums over ``rows`` (by, x, y, held) of gradients, loss and count of rows to fit, loss and
+    """By class (column ``by``): sums over ``rows`` (of ``blocks_of``) of gradients, loss and count of rows to fit, loss and
     count of rows held out, and figures for normalisation."""
     shared = rows.sparkSession.sparkContext.broadcast(fits)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict = {}
         for b in batches:
-            for key, mine in b.groupby("by"):
-                fit = shared.value[key]
-                for at in range(0, len(mine), CHUNK):
-                    some = mine.iloc[at : at + CHUNK]
-                    x, y, apart = np.stack(some["x"].to_numpy()), some["y"].to_numpy(), some["held"].to_numpy(bool)
-                    loss, gradient, seen = fit.sums(x[~apart], y[~apart])
-                    held_loss = fit.sums(x[apart], y[apart])[0] if apart.any() else 0.0
-                    found = np.concatenate([gradient, [loss, (~apart).sum(), held_loss, apart.sum()], seen])
-                    total[key] = total[key] + found if key in total else found
+            for row in b.itertuples():
+                fit, every = shared.value[row.by], np.frombuffer(row.y)
+                values = np.frombuffer(row.x).reshape(len(every), -1)
+                for at in range(0, len(every), CHUNK):
+                    loss, gradient, seen = fit.sums(values[at : at + CHUNK], every[at : at + CHUNK])
+                    n = len(every[at : at + CHUNK])
+                    found = [0 * gradient, [0, 0, loss, n], 0 * seen] if row.held else [gradient, [loss, n, 0, 0], seen]
+                    found = np.concatenate(found)
+                    total[row.by] = total[row.by] + found if row.by in total else found
         if total:
             yield pd.DataFrame({"by": list(total), "sums": list(total.values())})
 
@@ -237,6 +241,30 @@ def pass_sums(rows: DataFrame, fits: dict, held: bool = True) -> dict:
     return out
 
 
+def blocks_of(rows: DataFrame, count: int) -> DataFrame:
+    """(by, held, batch, x, y): blocks of ``rows`` (as of ``prepare``, without nulls in x, ``count`` of them)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: dict = {}
+
+        def block(key: tuple) -> dict:
+            b = pd.concat(kept.pop(key))
+            by, held, batch = key
+            return {"by": by, "held": held, "batch": batch, "x": np.stack(b["x"].to_numpy()).astype(float).tobytes(), "y": b["y"].to_numpy(float).tobytes()}
+
+        for b in batches:
+            for key, some in b.groupby(["by", "held", "batch"]):
+                kept.setdefault(key, []).append(some)
+            full = [key for key, some in kept.items() if sum(map(len, some)) >= BLOCK]
+            if full:
+                yield pd.DataFrame([block(key) for key in full])
+        if kept:
+            yield pd.DataFrame([block(key) for key in list(kept)])
+
+    made = rows.mapInPandas(run, f"by {rows.schema['by'].dataType.simpleString()}, held boolean, batch int, x binary, y binary")
+    return made.repartition(max(1, -(-count // TASK)))  # as many tasks a step as rows ask for
+
+
 def prepare(rows: DataFrame, features: list[str], by: str, key: list[str], label: str, batches: int, seed: int) -> DataFrame:
     """(by, x, y, held, batch): a tenth held out and the rest dealt into batches, by a hash of the key."""
     hashed = F.xxhash64(F.lit(seed), *key)
@@ -267,8 +295,9 @@ def train(
         F.count_if(to_fit).alias("n"), F.count_if("held").alias("n_held"), F.sum(F.when(to_fit, F.col("y"))).alias("positives"),
         F.array(*[F.coalesce(F.avg(c), F.lit(0.0)) for c in columns]).alias("mean"), F.array(*[F.coalesce(F.stddev_pop(c), F.lit(0.0)) for c in columns]).alias("std"),
     )
-    fits, scale = {}, {}
+    fits, scale, count = {}, {}, 0
     for r in figures.collect():  # one row for each class
+        count += r["n"] + r["n_held"]
         if (r["positives"] or 0) < min_positives or not r["n_held"]:
             continue
         w = fitting.initial(len(features), (shape or {}).get("hidden", (256, 128, 64)), seed) if kind == "perceptron" else initial_transformer(len(features), **(shape or {}), seed=seed)
@@ -279,7 +308,8 @@ def train(
 
     named = F.create_map(*[v for k, (m, s) in scale.items() for v in (F.lit(k), F.arrays_zip(F.array(*map(F.lit, m.tolist())).alias("m"), F.array(*map(F.lit, s.tolist())).alias("s")))])
     even = F.zip_with("x", F.element_at(named, F.col("by")), lambda v, z: F.coalesce((v - z["m"]) / z["s"], F.lit(0.0)))
-    ready = cut(ready.filter(F.col("by").isin(list(fits))).withColumn("x", even))
+    scaled = ready.filter(F.col("by").isin(list(fits))).withColumn("x", even)
+    ready = cut(blocks_of(scaled, count))
 
     def split(key: object, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         size = flat(kind, fits[key].w).size
@@ -306,7 +336,7 @@ def train(
                     f.step(gradient / n, decay, clip)
                     f.normalise(seen, n, momentum)
     out = {k: NeuralRouter(kind, f.best, np.zeros(len(features)), np.ones(len(features)), f.heads) for k, f in fits.items()}
-    held = ready.filter("held").select("by", "y", *[F.get("x", F.lit(k)).alias(f"x{k}") for k in range(len(features))])
+    held = scaled.filter("held").select("by", "y", *[F.get("x", F.lit(k)).alias(f"x{k}") for k in range(len(features))])
     scored = cut(predict(held, out, [f"x{k}" for k in range(len(features))], "by").select("by", "p", "y"))
     for k, router in out.items():
         mean, std = scale[k]
