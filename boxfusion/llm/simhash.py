@@ -7,10 +7,10 @@ add up on the way down, and a group whose shared bits differ too much goes whole
 third of all fingerprints share becomes many leaves, spread over tasks.
 
 The patterns are all choices of blocks, under one of which any pair of few differing bits agrees, so
-that no link is lost (``block_patterns``).  Copies at a word similarity of 0.8 differ in some ten
-bits, at which no such choice is selective: these are proposed by bands of MinHashes, indexed the
-same way over sketches of one-bit MinHashes, and each link is verified by the exact similarity of
-the shingle sets before it counts (``copies``).
+that no link is lost (``block_patterns``).  For ``copies`` this index proposes the texts whose fingerprints
+differ in few bits.  At a word similarity of 0.8 some ten bits differ, at which no such choice is
+selective: what lies beyond is proposed by bands of MinHashes, indexed the same way over sketches of
+one-bit MinHashes.  Each link is verified by the exact similarity of the shingle sets before it counts.
 
 Only links that hold components together leave a leaf, a star for each of its components, so that
 no group yields all its pairs; components then come from joining stars until nothing changes.
@@ -113,27 +113,30 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 4)
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, key, more, rank, s1, s2, bands): ``key`` and ``more`` are equal for equal shingle sets; then the
-    Gray rank of the sketch's first word, the sketch, and the hashes of the bands, null if there is no shingle."""
+    """(id, key, more, code, rank, s1, s2, bands): ``key`` and ``more`` are equal for equal shingle sets; then the
+    fingerprint, the Gray rank of the sketch's first word, the sketch, and the hashes of the bands, null if there is no
+    shingle."""
     arrow_rows(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_intdigest
 
         for b in batches:
-            keys, sketches, bands = [], [], []
+            keys, codes, sketches, bands = [], [], [], []
             for t in b.column(1).to_pylist():
-                h = np.unique(shingle_hashes(t, shingle))
+                every = shingle_hashes(t, shingle)
+                codes.append(simhash(every))
+                h = np.unique(every)
                 digest = xxh3_128_intdigest(h.tobytes())
                 keys.append((digest >> 64, digest & (1 << 64) - 1))
                 least = minhashes(h) if len(h) else None
                 sketches.append((0, 0) if least is None else sketch(least))
                 bands.append(None if least is None else band_hashes(least).view(np.int64))
             (key, more), (s1, s2) = (np.array(x, np.uint64).reshape(-1, 2).T.copy() for x in (keys, sketches))
-            columns = [pa.array(_signed(x)) for x in (key, more, gray_rank(s1), s1, s2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns, pa.array(bands, pa.list_(pa.int64()))], ["id", "key", "more", "rank", "s1", "s2", "bands"])
+            columns = [pa.array(_signed(x)) for x in (key, more, codes, gray_rank(s1), s1, s2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns, pa.array(bands, pa.list_(pa.int64()))], ["id", "key", "more", "code", "rank", "s1", "s2", "bands"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, key long, more long, rank long, s1 long, s2 long, bands array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, key long, more long, code long, rank long, s1 long, s2 long, bands array<long>")
 
 
 def block_patterns(blocks: int, most: int) -> list[list[int]]:
@@ -440,17 +443,27 @@ def verified(docs: DataFrame, clusters: DataFrame, id_col: str, text_col: str, s
     return met.groupBy("component_id", "one", "two").applyInArrow(exact, "src long, dst long")
 
 
-def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+def proposed(nodes: DataFrame, most: int) -> DataFrame:
+    """(src, dst): stars over ``nodes`` (code, id and more) whose fingerprints differ in at most ``most`` bits; equal ones
+    meet first, under their least id."""
+    none = F.lit(0).cast("long")
+    firsts = cut(nodes.groupBy("code").agg(F.min("id").alias("id")).select("code", none.alias("s1"), none.alias("s2"), "id"))
+    equal = nodes.join(firsts.select("code", F.col("id").alias("dst")), "code").filter("id <> dst").select(F.col("id").alias("src"), "dst")
+    return equal.unionByName(links(cut(index(firsts, block_patterns(most + 2, most))), most))
+
+
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, most: int = 4) -> DataFrame:
     """Per row of ``docs``: its id and ``component_id``, the least id reached by links of texts whose sets
     of ``shingle``-word shingles have a Jaccard similarity of at least ``least``.
 
-    Equal sets meet in one node.  Bands of MinHashes and sketches propose pairs; their components are
-    the clusters within which every link is verified.  Ids and odd texts as in ``near_duplicates``."""
+    Equal sets meet in one node.  The index of fingerprints proposes the pairs of at most ``most`` differing bits, bands of
+    MinHashes and sketches those beyond; their components are the clusters within which every link is verified.  Ids and odd texts as in ``near_duplicates``."""
     prints = cut(shingle_sets(docs, id_col, text_col, shingle))
-    nodes = cut(prints.filter("id is not null").groupBy("key", "more").agg(F.min(F.struct("id", "rank", "s1", "s2", "bands")).alias("n")).select("key", "more", "n.*"))
+    nodes = cut(prints.filter("id is not null").groupBy("key", "more").agg(F.min(F.struct("id", "code", "rank", "s1", "s2", "bands")).alias("n")).select("key", "more", "n.*"))
+    alike_ = proposed(nodes.filter("bands is not null").select("code", "id"), most)
     tree = cut(tree_of(nodes.filter("bands is not null").select(F.explode("bands").alias("bucket"), "rank", "s1", "s2", "id")))
     # the sketch's first word stands for the fingerprint: its differing bits are among the sketch's
-    near_ = components(links(tree, APART, APART))
+    near_ = components(alike_.unionByName(links(tree, APART, APART)))
     clusters = cut(near_.unionByName(near_.select(F.col("component_id").alias("id"), "component_id")).distinct())
     found = components(verified(docs, clusters, id_col, text_col, shingle, least))
     named = nodes.join(found, "id", "left").select("key", "more", F.coalesce("component_id", "id").alias("component_id"))
