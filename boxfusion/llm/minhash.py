@@ -108,9 +108,9 @@ def _sets(t: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
     return t.column("id").to_numpy(), [np.asarray(x.values, np.int64) for x in t.column("shingles")]
 
 
-def blocks_of(rows: DataFrame) -> DataFrame:
-    """(cluster, blocks): into how many blocks each cluster's ``rows`` are dealt."""
-    n = F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)
+def blocks_of(rows: DataFrame, block: int | None = None) -> DataFrame:
+    """(cluster, blocks): into how many blocks, of ``block`` members (BLOCK), each cluster's ``rows`` are dealt."""
+    n = F.greatest(F.count("*") / (block or BLOCK), F.sum("size") / BLOCK_SHINGLES)
     return cut(rows.groupBy("cluster").agg(F.ceil(n).cast("int").alias("blocks")))
 
 
@@ -118,7 +118,7 @@ def dealt(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     return rows.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
 
 
-def confirmed(sets: DataFrame, least: float) -> DataFrame:
+def confirmed(sets: DataFrame, least: float, block: int | None = None) -> DataFrame:
     """(src, dst): stars that hold together what links of a similarity of ``least`` hold together within clusters.
 
     A cluster is dealt into blocks, and its first member, the hub, comes to each of them: in one round all that hangs together
@@ -149,7 +149,7 @@ def confirmed(sets: DataFrame, least: float) -> DataFrame:
         src, dst = stars(used, place[np.concatenate(i)], place[np.concatenate(j)])
         return pa.table({"src": pa.array(src), "dst": pa.array(dst)})
 
-    blocks = blocks_of(sets)
+    blocks = blocks_of(sets, block)
     rows = dealt(sets, blocks)
     hubs = rows.filter("id = cluster and blocks > 1").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("to <> block").withColumn("block", F.col("to"))
     met = rows.select("cluster", "block", "id", "shingles").unionByName(hubs.select("cluster", "block", "id", "shingles"))
@@ -161,7 +161,7 @@ def confirmed(sets: DataFrame, least: float) -> DataFrame:
     reached = first.filter("dst = cluster").select(F.col("src").alias("id")).distinct()
     rest = rows.filter("blocks > 1 and id <> cluster").select("cluster", "id", "size", "shingles")
     rest = cut(rest.join(reached, "id", "left_anti").select("cluster", "id", "size", "shingles"))
-    against = blocks_of(rest)
+    against = blocks_of(rest, block)
     left = dealt(rest, against).join(many.withColumnRenamed("blocks", "whole"), "cluster").withColumn("own", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)))
     right = dealt(sets, many).join(against.withColumnRenamed("blocks", "parts"), "cluster").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     pairs = left.select("cluster", F.col("block").alias("part"), "own", "id", "shingles", F.lit(True).alias("beyond")).unionByName(right.select("cluster", "part", F.col("block").alias("own"), "id", "shingles", F.lit(False).alias("beyond")))

@@ -23,7 +23,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,10 +38,10 @@ BAND = 4
 #: Differing bits of sketches up to which a pair is a candidate: at a similarity of 0.8 they are 12.8 on
 #: average, 3.4 their standard deviation.
 APART = 30
-#: Documents and shingles of a block, of which two at a time are verified in one task.
-BLOCK, BLOCK_SHINGLES = 512, 1 << 20
-#: Candidates that are told to all tasks by id; if there are more, they join.
-MOST_SENT = 2_000_000
+#: Documents of a block, in which links are verified.
+BLOCK = 512
+#: Edges of a task when components are sought.
+EDGES = 200_000
 
 
 def shingle_hashes(text: str | None, n: int, seed: int = 42) -> np.ndarray:
@@ -407,42 +406,6 @@ def similar(ids: np.ndarray, sets: list[np.ndarray], least: float) -> tuple[np.n
     return np.concatenate([none, *src]), np.concatenate([none, *dst])
 
 
-def verified(docs: DataFrame, clusters: DataFrame, id_col: str, text_col: str, shingle: int, least: float) -> DataFrame:
-    """(src, dst): stars over the exact links of documents within ``clusters`` (id, component_id).
-
-    A cluster is dealt into blocks, and any two of its blocks meet in a task, so that no pair is
-    left out and no task has more than two blocks."""
-    arrow_rows(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    if clusters.limit(MOST_SENT + 1).count() <= MOST_SENT:  # only these texts are shuffled
-        ids = docs.sparkSession.sparkContext.broadcast(pa.array([r["id"] for r in clusters.select("id").collect()], pa.int64()))
-    else:
-        ids, texts = None, texts.join(clusters.select("id"), "id", "left_semi")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if ids is not None:
-                b = b.filter(pc.is_in(b.column(0), ids.value))
-            sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array(sets, pa.list_(pa.int64()))], ["id", "size", "shingles"])
-
-    sets = cut(texts.mapInArrow(run, "id long, size int, shingles array<long>").filter("size > 0").join(clusters, "id"))
-    blocks = sets.groupBy("component_id").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")).filter("blocks > 1")
-    met = sets.join(F.broadcast(blocks), "component_id", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    met = met.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.filter("own <> other or blocks = 1").select("component_id", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "id", "shingles")
-
-    def exact(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        held = [np.asarray(x.values, np.int64) for x in t.column("shingles")]
-        ids = t.column("id").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        src, dst = similar(ids[order], [held[k] for k in order], least)
-        return pa.table({"src": pa.array(src), "dst": pa.array(dst)})
-
-    return met.groupBy("component_id", "one", "two").applyInArrow(exact, "src long, dst long")
-
-
 def proposed(nodes: DataFrame, most: int) -> DataFrame:
     """(src, dst): stars over ``nodes`` (code, id and more) whose fingerprints differ in at most ``most`` bits; equal ones
     meet first, under their least id."""
@@ -458,14 +421,16 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
 
     Equal sets meet in one node.  The index of fingerprints proposes the pairs of at most ``most`` differing bits, bands of
     MinHashes and sketches those beyond; their components are the clusters within which every link is verified.  Ids and odd texts as in ``near_duplicates``."""
+    from .minhash import confirmed, members  # which builds on this module
+
     prints = cut(shingle_sets(docs, id_col, text_col, shingle))
     nodes = cut(prints.filter("id is not null").groupBy("key", "more").agg(F.min(F.struct("id", "code", "rank", "s1", "s2", "bands")).alias("n")).select("key", "more", "n.*"))
     alike_ = proposed(nodes.filter("bands is not null").select("code", "id"), most)
     tree = cut(tree_of(nodes.filter("bands is not null").select(F.explode("bands").alias("bucket"), "rank", "s1", "s2", "id")))
     # the sketch's first word stands for the fingerprint: its differing bits are among the sketch's
-    near_ = components(alike_.unionByName(links(tree, APART, APART)))
+    near_ = components(alike_.unionByName(links(tree, APART, APART)), rows_a_task=EDGES)
     clusters = cut(near_.unionByName(near_.select(F.col("component_id").alias("id"), "component_id")).distinct())
-    found = components(verified(docs, clusters, id_col, text_col, shingle, least))
+    found = components(confirmed(cut(members(docs, clusters, id_col, text_col, shingle)), least, BLOCK), rows_a_task=EDGES)
     named = nodes.join(found, "id", "left").select("key", "more", F.coalesce("component_id", "id").alias("component_id"))
     return prints.select("id", "key", "more").join(named, ["key", "more"], "left").select(F.col("id").alias(id_col), "component_id")
 

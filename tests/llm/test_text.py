@@ -607,3 +607,27 @@ def test_fingerprints_propose_copies(spark):
             low[a] = low[b] = min(low[a], low[b])
     got = {x["id"]: x["component_id"] for x in simhash.components(simhash.proposed(prints.select("code", "id"), 4)).collect()}
     assert [got.get(k, k) for k in range(len(texts))] == low and len(links) > 60
+
+
+def test_copies_of_a_crowd_stay_small(spark, monkeypatch):
+    """A crowd of many blocks is verified in rows that follow from its size, and rounds of few edges lie in few files."""
+    from pyspark.sql.group import GroupedData
+
+    met, files, at = [], [], iter(range(10**6))
+    real, cut = GroupedData.applyInArrow, simhash.checkpointed
+    monkeypatch.setattr(GroupedData, "applyInArrow", lambda self, *a: (met.append(self._df.count()), real(self, *a))[1])
+    monkeypatch.setattr(simhash, "checkpointed", lambda df: (out := cut(df), files.append(out.rdd.getNumPartitions()))[0])
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", 40)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        w = [f"w{k}" for k in range(200)]
+        texts = [" ".join([*w[: k % 190], f"new{next(at)}", *w[k % 190 + 1 :]]) for k in range(160)]
+        got = simhash.copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert {r["component_id"] for r in got} == {0} and len(got) == 160
+    assert 160 <= sum(met) <= 2 * 160
+    assert sum(n > 8 for n in files) <= 2 and len(files) > 8  # the first edges of both searches for components
