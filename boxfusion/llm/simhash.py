@@ -40,6 +40,8 @@ BAND = 4
 APART = 30
 #: Documents of a block, in which links are verified.
 BLOCK = 512
+#: Buckets of several leaves that are told to all tasks; if there are more, leaves meet by bucket.
+MOST_SENT = 500_000
 #: Edges of a task when components are sought.
 EDGES = 200_000
 
@@ -273,9 +275,10 @@ def tree_of(rows: DataFrame) -> DataFrame:
     return leaves(rows.repartitionByRange(n, "bucket", "rank").sortWithinPartitions("bucket", "rank"))
 
 
-def links(tree: DataFrame, most: int = 4, apart: int | None = None) -> DataFrame:
+def links(tree: DataFrame, most: int = 4, apart: int | None = None, most_sent: int = 0) -> DataFrame:
     """(src, dst): stars over what is alike within leaves, and between leaves of one bucket whose shared
-    bits differ in at most ``most``."""
+    bits differ in at most ``most``.  most_sent: up to so many buckets of several leaves are told to the tasks, so that
+    leaves that are alone in theirs are not shuffled."""
 
     def rows_of(values: np.ndarray) -> np.ndarray:
         return np.asarray(values, np.int64).view(np.uint64).reshape(-1, 3)
@@ -313,6 +316,11 @@ def links(tree: DataFrame, most: int = 4, apart: int | None = None) -> DataFrame
 
     own = tree.filter(F.size("ids") > 1).select("rows", "ids").mapInArrow(within, "src long, dst long")
     many = tree.groupBy("bucket").count().filter("count > 1").select("bucket")
+    if most_sent:
+        many = cut(many.coalesce(8))
+        if many.limit(most_sent + 1).count() <= most_sent:
+            many = F.broadcast(many)
+            tree = tree.join(many, "bucket", "left_semi")
     heads = tree.select("bucket", "leaf", "mask", "bits").join(many, "bucket")
     others = heads.select("bucket", F.col("leaf").alias("other"), F.col("mask").alias("other_mask"), F.col("bits").alias("other_bits"))
     differ = F.bit_count(F.col("bits").bitwiseXOR(F.col("other_bits")).bitwiseAND(F.col("mask")).bitwiseAND(F.col("other_mask")))
@@ -412,7 +420,7 @@ def proposed(nodes: DataFrame, most: int) -> DataFrame:
     none = F.lit(0).cast("long")
     firsts = cut(nodes.groupBy("code").agg(F.min("id").alias("id")).select("code", none.alias("s1"), none.alias("s2"), "id"))
     equal = nodes.join(firsts.select("code", F.col("id").alias("dst")), "code").filter("id <> dst").select(F.col("id").alias("src"), "dst")
-    return equal.unionByName(links(cut(index(firsts, block_patterns(most + 2, most))), most))
+    return equal.unionByName(links(cut(index(firsts, block_patterns(most + 2, most))), most, most_sent=MOST_SENT))
 
 
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, most: int = 4) -> DataFrame:
@@ -428,7 +436,7 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     alike_ = proposed(nodes.filter("bands is not null").select("code", "id"), most)
     tree = cut(tree_of(nodes.filter("bands is not null").select(F.explode("bands").alias("bucket"), "rank", "s1", "s2", "id")))
     # the sketch's first word stands for the fingerprint: its differing bits are among the sketch's
-    near_ = components(alike_.unionByName(links(tree, APART, APART)), rows_a_task=EDGES)
+    near_ = components(alike_.unionByName(links(tree, APART, APART, MOST_SENT)), rows_a_task=EDGES)
     clusters = cut(near_.unionByName(near_.select(F.col("component_id").alias("id"), "component_id")).distinct())
     found = components(confirmed(cut(members(docs, clusters, id_col, text_col, shingle)), least, BLOCK), rows_a_task=EDGES)
     named = nodes.join(found, "id", "left").select("key", "more", F.coalesce("component_id", "id").alias("component_id"))

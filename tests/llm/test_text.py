@@ -631,3 +631,13 @@ def test_copies_of_a_crowd_stay_small(spark, monkeypatch):
     assert {r["component_id"] for r in got} == {0} and len(got) == 160
     assert 160 <= sum(met) <= 2 * 160
     assert sum(n > 8 for n in files) <= 2 and len(files) > 8  # the first edges of both searches for components
+
+
+def test_links_with_buckets_told(spark):
+    """Leaves of the buckets that are told to the tasks yield the components of those that meet by bucket."""
+    r = random.Random(3)
+    codes = sorted({c ^ (1 << r.randrange(40)) ^ (1 << r.randrange(40)) for c in (r.getrandbits(40) for _ in range(12)) for _ in range(150)})
+    rows = spark.createDataFrame([(c, 0, 0, k) for k, c in enumerate(codes)], "code long, s1 long, s2 long, id long")
+    tree = simhash.cut(simhash.leaves(simhash.dealt(rows, [list(range(40, 64))]).coalesce(1).sortWithinPartitions("bucket", "rank")))
+    assert tree.count() > 1
+    assert {tuple(x) for x in simhash.components(simhash.links(tree, most_sent=10)).collect()} == {tuple(x) for x in simhash.components(simhash.links(tree)).collect()} != set()
