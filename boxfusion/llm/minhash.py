@@ -111,11 +111,16 @@ def _sets(t: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
 def blocks_of(rows: DataFrame, block: int | None = None) -> DataFrame:
     """(cluster, blocks): into how many blocks, of ``block`` members (BLOCK), each cluster's ``rows`` are dealt."""
     n = F.greatest(F.count("*") / (block or BLOCK), F.sum("size") / BLOCK_SHINGLES)
-    return cut(rows.groupBy("cluster").agg(F.ceil(n).cast("int").alias("blocks")))
+    return rows.groupBy("cluster").agg(F.ceil(n).cast("int").alias("blocks"))
 
 
-def dealt(rows: DataFrame, blocks: DataFrame) -> DataFrame:
-    return rows.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+def told(rows: DataFrame) -> DataFrame:
+    """``rows``, if few, for all tasks, so that the sets that they meet are not shuffled."""
+    return F.broadcast(rows) if rows.limit(MOST_SENT + 1).count() <= MOST_SENT else rows
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
 
 
 def confirmed(sets: DataFrame, least: float, block: int | None = None) -> DataFrame:
@@ -149,21 +154,22 @@ def confirmed(sets: DataFrame, least: float, block: int | None = None) -> DataFr
         src, dst = stars(used, place[np.concatenate(i)], place[np.concatenate(j)])
         return pa.table({"src": pa.array(src), "dst": pa.array(dst)})
 
-    blocks = blocks_of(sets, block)
-    rows = dealt(sets, blocks)
+    many = cut(blocks_of(sets, block).filter("blocks > 1"))
+    several = told(many)
+    rows = dealt(sets.join(several, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))))
     hubs = rows.filter("id = cluster and blocks > 1").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("to <> block").withColumn("block", F.col("to"))
     met = rows.select("cluster", "block", "id", "shingles").unionByName(hubs.select("cluster", "block", "id", "shingles"))
     first = cut(met.groupBy("cluster", "block").applyInArrow(within, "cluster long, src long, dst long"))
-    many = blocks.filter("blocks > 1")
     if not many.limit(1).count():
         return first.select("src", "dst")
     # the hub has the least id of its cluster, so the stars of its component point to it
-    reached = first.filter("dst = cluster").select(F.col("src").alias("id")).distinct()
-    rest = rows.filter("blocks > 1 and id <> cluster").select("cluster", "id", "size", "shingles")
-    rest = cut(rest.join(reached, "id", "left_anti").select("cluster", "id", "size", "shingles"))
-    against = blocks_of(rest, block)
-    left = dealt(rest, against).join(many.withColumnRenamed("blocks", "whole"), "cluster").withColumn("own", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)))
-    right = dealt(sets, many).join(against.withColumnRenamed("blocks", "parts"), "cluster").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    reached = cut(first.filter("dst = cluster").join(several, "cluster", "left_semi").select(F.col("src").alias("id")).distinct())
+    rest = rows.filter("blocks > 1 and id <> cluster").select("cluster", "id", "size", "shingles").join(told(reached), "id", "left_anti")
+    rest = cut(rest.select("cluster", "id", "size", "shingles"))
+    against = cut(blocks_of(rest, block))
+    few = told(against)
+    left = dealt(rest.join(few, "cluster")).join(told(many.withColumnRenamed("blocks", "whole")), "cluster").withColumn("own", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)))
+    right = dealt(sets.join(several, "cluster")).join(told(against.withColumnRenamed("blocks", "parts")), "cluster").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     pairs = left.select("cluster", F.col("block").alias("part"), "own", "id", "shingles", F.lit(True).alias("beyond")).unionByName(right.select("cluster", "part", F.col("block").alias("own"), "id", "shingles", F.lit(False).alias("beyond")))
     return first.select("src", "dst").unionByName(pairs.groupBy("cluster", "part", "own").applyInArrow(between, "src long, dst long"))
 

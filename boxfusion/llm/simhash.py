@@ -227,15 +227,19 @@ def dealt(nodes: DataFrame, patterns: list[list[int]]) -> DataFrame:
     return nodes.select("code", "s1", "s2", "id").mapInArrow(run, ", ".join(f"{f} long" for f in fields))
 
 
-def leaves(rows: DataFrame) -> DataFrame:
+def leaves(rows: DataFrame, alone: bool = True) -> DataFrame:
     """Of sorted ``rows`` (bucket, rank, s1, s2, id): leaves of at most LEAF members of one bucket, with
     a number of their own, the mask and the bits of what they share; rows: code and sketch of each
-    member, one after another.  To be written before it is used twice, as numbers follow from tasks."""
+    member, one after another.  To be written before it is used twice, as numbers follow from tasks.
+
+    alone: whether the only member of a bucket has a leaf, which links it to nothing; members of a task's first and last
+    bucket always have one, as these may go on in other tasks."""
     schema = "bucket long, leaf long, mask long, bits long, rows array<long>, ids array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = [np.empty(0, np.int64)] * 5
         number = TaskContext.get().partitionId() << 40
+        first = before = None
         for b in itertools.chain(batches, [None]):
             if b is not None:
                 held = [np.concatenate([h, np.asarray(b.column(k), np.int64)]) for k, h in enumerate(held)]
@@ -247,6 +251,16 @@ def leaves(rows: DataFrame) -> DataFrame:
             cuts = np.unique(np.concatenate([starts, *(np.arange(s, e, LEAF) for s, e in zip(starts, ends, strict=True) if e - s > LEAF)]))
             last = len(bucket) if b is None else cuts[-1]  # the last leaf may go on
             begin = cuts[cuts < last]
+            own, size = bucket[begin], np.diff(np.r_[begin, last])
+            if len(begin) and not alone:
+                first = own[0] if first is None else first
+                after = own[-1] if b is None else bucket[last]
+                keep = (size > 1) | (own == first) | (own == np.r_[own[0] if before is None else before, own[:-1]]) | (own == np.r_[own[1:], after])
+                before = own[-1]
+                kept = np.repeat(keep, size)
+                held = [np.r_[x[:last][kept], x[last:]] for x in held]
+                own, size = own[keep], size[keep]
+                last, begin = int(size.sum()), np.cumsum(size) - size
             if len(begin):
                 rank = held[1][:last].view(np.uint64)
                 code = (rank ^ (rank >> np.uint64(1))).view(np.int64)
@@ -254,7 +268,7 @@ def leaves(rows: DataFrame) -> DataFrame:
                 at = np.r_[begin, last].astype(np.int32)
                 flat = np.stack([code, held[2][:last], held[3][:last]], axis=1).ravel()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[begin]), pa.array(number + np.arange(len(begin))), pa.array(mask), pa.array(bits), pa.ListArray.from_arrays(pa.array(at * 3), pa.array(flat)), pa.ListArray.from_arrays(pa.array(at), pa.array(held[4][:last]))],
+                    [pa.array(own), pa.array(number + np.arange(len(begin))), pa.array(mask), pa.array(bits), pa.ListArray.from_arrays(pa.array(at * 3), pa.array(flat)), pa.ListArray.from_arrays(pa.array(at), pa.array(held[4][:last]))],
                     ["bucket", "leaf", "mask", "bits", "rows", "ids"],
                 )
                 number += len(begin)
@@ -270,9 +284,9 @@ def index(nodes: DataFrame, patterns: list[list[int]]) -> DataFrame:
 
 def tree_of(rows: DataFrame) -> DataFrame:
     """The leaves of ``rows`` (bucket, rank, s1, s2, id), which are dealt by ranges of bucket and rank, so
-    that one bucket may fill many tasks."""
+    that one bucket may fill many tasks.  The only members of their buckets are left out."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return leaves(rows.repartitionByRange(n, "bucket", "rank").sortWithinPartitions("bucket", "rank"))
+    return leaves(rows.repartitionByRange(n, "bucket", "rank").sortWithinPartitions("bucket", "rank"), alone=False)
 
 
 def links(tree: DataFrame, most: int = 4, apart: int | None = None, most_sent: int = 0) -> DataFrame:

@@ -641,3 +641,48 @@ def test_links_with_buckets_told(spark):
     tree = simhash.cut(simhash.leaves(simhash.dealt(rows, [list(range(40, 64))]).coalesce(1).sortWithinPartitions("bucket", "rank")))
     assert tree.count() > 1
     assert {tuple(x) for x in simhash.components(simhash.links(tree, most_sent=10)).collect()} == {tuple(x) for x in simhash.components(simhash.links(tree)).collect()} != set()
+
+
+def test_lone_leaves_are_not_written(spark):
+    """The only members of their buckets, nearly all of an index's rows, are left out, and no link goes with them: buckets
+    that go on in another task or batch, or in several leaves, keep all their leaves."""
+    r = random.Random(5)
+    codes = [r.getrandbits(24) << 40 for _ in range(4000)]
+    crowd = 0x123456 << 40
+    codes = sorted({*codes, *(crowd ^ (r.getrandbits(20) << 8) for _ in range(simhash.LEAF + 1)), *(c ^ 1 for c in codes[::40])})
+    rows = spark.createDataFrame([(int(np.uint64(c).astype(np.int64)), 0, 0, k) for k, c in enumerate(codes)], "code long, s1 long, s2 long, id long")
+    dealt = simhash.dealt(rows, [list(range(40, 64))])
+    tree = simhash.cut(simhash.tree_of(dealt))
+    ranged = dealt.repartitionByRange(8, "bucket", "rank").sortWithinPartitions("bucket", "rank")
+    whole = simhash.cut(simhash.leaves(ranged))
+    met = {x["bucket"] for x in whole.groupBy("bucket").agg(F.sum(F.size("ids")).alias("n")).filter("n > 1").collect()}
+    assert len(met) > 100 and met <= {x["bucket"] for x in tree.collect()}
+    assert tree.count() <= len(met) + 8 * 4 < whole.count()
+    found, want = ({tuple(x) for x in simhash.components(simhash.links(t)).collect()} for t in (tree, whole))
+    assert found == want != set()
+
+
+def test_small_clusters_are_not_held_twice(spark, monkeypatch):
+    """Only what is beyond the hub of a large cluster is shuffled again, and sets do not meet the counts of their clusters by
+    a shuffle."""
+    from boxfusion.llm import minhash
+
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    r = random.Random(4)
+    rows = []
+    for c in range(0, 3000, 100):  # one of 90, else of 3 documents; some are far from the first
+        base = list(range(c * 1000, c * 1000 + 100))
+        for k in range(90 if c == 0 else 3):
+            s = sorted({*base[: 60 if k % 30 == 2 else 97], *(r.getrandbits(60) for _ in range(2))})
+            rows.append((c, c + k, len(s), s))
+    sets = simhash.cut(spark.createDataFrame(rows, "cluster long, id long, size long, shingles array<long>").repartition(4))
+    held = minhash.confirmed(sets, 0.8)
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
+    got = {x["id"]: x["component_id"] for x in simhash.components(held).collect()}
+    low, full = {x[1]: x[1] for x in rows}, {x[1]: set(x[3]) for x in rows}
+    links = [(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and len(full[a[1]] & full[b[1]]) >= 0.8 * len(full[a[1]] | full[b[1]])]
+    while any(low[a] != low[b] for a, b in links):
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+    assert {i: got.get(i, i) for i in low} == low
