@@ -1,10 +1,11 @@
-"""Lineage cuts of iterative operators."""
+"""Lineage cuts of iterative operators, and tables held on disk while they are read again."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -17,3 +18,39 @@ def cut(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="boxfusion-"))
     return df.checkpoint()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for ``name`` in the folder that the cluster shares for checkpoints; one of this machine's own only where
+    all runs on it."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{shared or tempfile.mkdtemp(prefix='boxfusion-')}/{name}-{uuid.uuid4().hex}"
+
+
+#: Files of a query's shuffles go when the query ends, not when the driver next collects garbage.
+SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write(df: DataFrame, path: str, form: str = "parquet", **options: str) -> None:
+    """Writes ``df`` at ``path``; the files of its shuffles are removed when it stands."""
+    spark = df.sparkSession
+    before = spark.conf.get(SWEEP)
+    spark.conf.set(SWEEP, "true")
+    try:
+        df.write.format(form).options(**options).save(path)
+    finally:
+        spark.conf.set(SWEEP, before)
+
+
+def hold(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written at ``path`` and read again: a fraction of a checkpoint's disk, as columns are compressed."""
+    write(df, path, compression="zstd")
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder of Spark's own making, in whatever file system it is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boxfusion.operators.state import hold, remove, scratch
 from boxfusion.plans import fixtures as X
 from boxfusion.plans.queries import query
 from boxfusion.schemas import canonical_class
 from boxfusion.sources import splits
 
+#: Boxes of a shard, about.
+SHARD = 1 << 19
+
 _ROWS = """
 SELECT concat('s', CAST(scene_id AS STRING), '-', CAST(frame_idx AS STRING)) AS sample_token, box_key, x, y, l,
   CASE WHEN box_key % 23 = 3 THEN -w WHEN box_key % 23 = 4 THEN 0*w ELSE w END AS w,
@@ -31,15 +35,19 @@ _KEPT = "substring(sample_token, length(sample_token)) <> '7'"
         FROM (SELECT *, row_number() OVER (PARTITION BY sample_token ORDER BY score DESC, box_key) - 1 AS box_pos FROM rows) WHERE {_KEPT}""",
 )
 def submission_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Written as shards in the shared folder and read by byte ranges, with a threshold and a set of tokens."""
-    boxes = X.boxes(spark, d)
+    """Written as shards in the shared folder and read by byte ranges, with a threshold and a set of tokens.
+
+    Boxes and frames are held as Parquet, shards are packed (one after another they are still one JSON object, by zcat)."""
+    path = scratch(spark, "submission")
+    boxes = hold(X.boxes(spark, d).drop("expert_ix", "class_ix"), f"{path}/boxes")
     rows = spark.sql(_ROWS, boxes=boxes)
-    frames = spark.sql(_FRAMES, rows=rows, boxes=boxes)
-    path = splits.scratch(spark, "submission")
+    frames = hold(spark.sql(_FRAMES, rows=rows, boxes=boxes), f"{path}/frames")
     zero = F.lit(0.0)
     full = rows.withColumns({"z": zero, "h": F.lit(1.5), "qw": F.lit(1.0), "qx": zero, "qy": zero, "qz": zero, "vy": zero, "attribute": F.lit(None).cast("string")})
-    splits.save_shards(full, frames, path, ("box_key",))
-    rows = splits.judged(spark, path, "fused", tokens=frames.filter(_KEPT))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    splits.save_shards(full, frames, f"{path}/shards", ("box_key",), shards=max(n, -(-boxes.count() // SHARD)), compression="gzip")
+    remove(spark, f"{path}/boxes")
+    rows = splits.judged(spark, f"{path}/shards", "fused")
     null = lambda k: F.lit(None).cast(k)
 
     def row(kind: str, pos: Column, **known: Column) -> Column:
@@ -51,4 +59,5 @@ def submission_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     good = F.col("box_pos").isNotNull() & F.col("problem").isNull() & (F.col("detection_score") >= 0.25)
     # all in one pass over the files; a token's first box, or its only row without one, tells the frame
     each = F.array(F.when(good, box), F.when(F.col("problem").isNotNull(), flaw), F.when(F.coalesce("box_pos", F.lit(0)) == 0, row("frame", null("int"))))
-    return rows.select(F.explode(F.filter(each, lambda r: r.isNotNull())).alias("r")).select("r.*")
+    told = rows.select(F.explode(F.filter(each, lambda r: r.isNotNull())).alias("r")).select("r.*")
+    return splits.of_tokens(told, frames.filter(_KEPT)).select(told.columns)
