@@ -19,9 +19,9 @@ def curve(rows: DataFrame, by: list[str], score: str = "score", label: str = "la
     return out.withColumnsRenamed({"total_tp": "positives", "total_seen": "rows"})
 
 
-def average_precision(rows: DataFrame, by: list[str], score: str = "score", label: str = "label") -> DataFrame:
-    """Sum over thresholds of the gain in recall times precision; null without positives."""
-    c = curve(rows, by, score, label)
+def average_precision(rows: DataFrame, by: list[str], score: str = "score", label: str = "label", count: str | None = None) -> DataFrame:
+    """Sum over thresholds of the gain in recall times precision; null without positives.  ``count``: as of ``curve``."""
+    c = curve(rows, by, score, label, count)
     return c.groupBy(*by).agg(F.max("rows").alias("n"), F.max("positives").alias("positives"), F.sum(F.when(F.col("positives") > 0, F.col("t") / F.col("positives") * F.col("tp") / F.col("seen"))).alias("ap"))
 
 

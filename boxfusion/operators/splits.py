@@ -47,6 +47,10 @@ def group_folds(rows: DataFrame, group: str = "scene_id", folds: int = 5) -> Dat
 
 def stratified_folds(rows: DataFrame, key: list[str], label: str = "label", folds: int = 3, seed: int = 42) -> DataFrame:
     """``rows`` with ``fold``, each label dealt evenly in the order of a hash of the key."""
-    hashed = rows.withColumn("__hash", F.xxhash64(F.lit(seed), *key))
-    out = running(hashed, [label], F.shiftright("__hash", 52), [F.col("__hash").desc(), *map(F.col, key)], {"__at": F.lit(1)})
-    return out.withColumn("fold", ((F.col("__at") - 1) % folds).cast("int")).drop("__hash", "__at")
+    return folds_by(rows.withColumn("__hash", F.xxhash64(F.lit(seed), *key)), ["__hash", *key], label, folds).drop("__hash")
+
+
+def folds_by(rows: DataFrame, order: list[str], label: str = "label", folds: int = 3) -> DataFrame:
+    """``rows`` with ``fold``, each label dealt evenly, by falling values of a hash, the first of ``order``, then its rest."""
+    out = running(rows, [label], F.shiftright(order[0], 52), [F.col(order[0]).desc(), *map(F.col, order[1:])], {"__at": F.lit(1)})
+    return out.withColumn("fold", ((F.col("__at") - 1) % folds).cast("int")).drop("__at")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,20 +35,27 @@ def scratch(spark: SparkSession, name: str) -> str:
 SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def write(df: DataFrame, path: str, form: str = "parquet", **options: str) -> None:
-    """Writes ``df`` at ``path``; the files of its shuffles are removed when it stands."""
-    spark = df.sparkSession
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Queries that run within leave no files of shuffles."""
     before = spark.conf.get(SWEEP)
     spark.conf.set(SWEEP, "true")
     try:
-        df.write.format(form).options(**options).save(path)
+        yield
     finally:
         spark.conf.set(SWEEP, before)
 
 
-def hold(df: DataFrame, path: str) -> DataFrame:
-    """``df`` written at ``path`` and read again: a fraction of a checkpoint's disk, as columns are compressed."""
-    write(df, path, compression="zstd")
+def write(df: DataFrame, path: str, form: str = "parquet", **options: str) -> None:
+    """Writes ``df`` at ``path``; the files of its shuffles are removed when it stands."""
+    with swept(df.sparkSession):
+        df.write.format(form).options(**options).save(path)
+
+
+def hold(df: DataFrame, path: str, **options: str) -> DataFrame:
+    """``df`` written at ``path`` and read again: less disk than a checkpoint, as columns are packed and files of shuffles
+    do not stay."""
+    write(df, path, compression="zstd", **options)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

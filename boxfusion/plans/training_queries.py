@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from boxfusion.operators import metrics
 from boxfusion.operators.ml import boosting, descent, neural
-from boxfusion.operators.state import cut
+from boxfusion.operators.state import cut, hold, scratch
 from boxfusion.plans.queries import NUMERIC, query, router_rows
 
 SHAPE = {"hidden": (16, 8)}
@@ -30,9 +30,9 @@ def perceptron_router(spark: SparkSession, d: str) -> DataFrame:
 BOOST = {"rounds": 30, "patience": 5, "depth": 3, "step": 0.3, "bins": 32, "calibrated": (2,)}
 
 
-def boosted(spark: SparkSession, d: str) -> tuple[DataFrame, dict]:
-    """Rows with the probabilities of their class's forest, and the forests."""
-    rows = cut(router_rows(spark, d).select("box_key", "class_id", "label", *NUMERIC))
+def boosted(spark: SparkSession, d: str, folder: str) -> tuple[DataFrame, dict]:
+    """Rows with the probabilities of their class's forest, and the forests; ``folder`` holds the rows."""
+    rows = hold(router_rows(spark, d).select("box_key", "class_id", "label", *NUMERIC), f"{folder}/rows")
     held = F.pmod(F.xxhash64(F.lit(42), "box_key"), F.lit(10)) == 0
     rows = rows.withColumn("held_out", held)
     forests = boosting.train(rows, NUMERIC, key=["box_key"], held="held_out", **BOOST)
@@ -42,13 +42,13 @@ def boosted(spark: SparkSession, d: str) -> tuple[DataFrame, dict]:
 @query()
 def boosted_router(spark: SparkSession, d: str) -> DataFrame:
     """The probability of each row by its class's boosted trees, before and after calibration."""
-    return boosted(spark, d)[0].select("box_key", "class_id", "label", "held_out", F.round("raw", 6).alias("raw"), F.round("p", 6).alias("p"))
+    return boosted(spark, d, scratch(spark, "boosted"))[0].select("box_key", "class_id", "label", "held_out", F.round("raw", 6).alias("raw"), F.round("p", 6).alias("p"))
 
 
 @query()
 def boosted_router_report(spark: SparkSession, d: str) -> DataFrame:
     """Each class's best round and the rounds grown, and on rows held out and not its precision, area and Brier scores."""
-    scored, forests = boosted(spark, d)
+    scored, forests = boosted(spark, d, scratch(spark, "boosted"))
     by = ["class_id", "held_out"]
     scored = cut(scored.filter("p is not null").select(*by, "label", "raw", "p"))
     named = lambda f, kind: F.element_at(F.create_map(*[F.lit(v) for k, forest in forests.items() for v in (k, f(forest))]) if forests else F.create_map().cast(f"map<int,{kind}>"), F.col("class_id"))
