@@ -302,8 +302,10 @@ _ROWS["rows"] = "SELECT m.box_key, m.scene_id, m.frame_idx, m.expert_ix, m.class
 NUMERIC = ["detection_score", "dist_from_ego", "box_width", "box_length", "n_peer_overlaps", "max_peer_iou", "mean_peer_score", "score_variance", "expert_agreement", "class_agreement", "max_class_score", "n_active_experts"]
 
 
-def router_rows(spark: SparkSession, d: str) -> DataFrame:
-    out = dataset.build(X.boxes(spark, d), X.gt(spark, d), X.gt_frames(spark, d), FRAME, KEY, "class_ix", "expert_ix", ORDER)
+def router_rows(spark: SparkSession, d: str, boxes: DataFrame | None = None) -> DataFrame:
+    """``boxes``: those of the fixture, where they are held."""
+    boxes = X.boxes(spark, d) if boxes is None else boxes
+    out = dataset.build(boxes, spark.sql(X.GT, boxes=boxes), spark.sql(X.GT_FRAMES, boxes=boxes), FRAME, KEY, "class_ix", "expert_ix", ORDER)
     return out.withColumn("class_id", F.col("class_ix"))
 
 
